@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_join
+from . import bpe_automaton, minhash_join
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,8 +18,14 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_join.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
 
 
+def op9_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    """Encodes and decodes every text with the 50k byte-level vocabulary; digests of both results."""
+    return bpe_automaton.encode_decode(_table(spark, folder, "documents"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op9_bpe_automaton": op9_bpe_automaton,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables in reasonable time.
