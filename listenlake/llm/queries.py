@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_automaton, minhash_join
+from . import bpe_automaton, minhash_join, secret_scan
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_join.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text: counts of the fixed patterns, a digest of their spans, and all spans."""
+    found = secret_scan.scan(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
+
+
 def op9_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     """Encodes and decodes every text with the 50k byte-level vocabulary; digests of both results."""
     return bpe_automaton.encode_decode(_table(spark, folder, "documents"), keep_text=False)
@@ -25,6 +32,7 @@ def op9_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op9_bpe_automaton": op9_bpe_automaton,
 }
 
