@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, minhash_join, secret_scan
+from . import bpe_automaton, minhash_join, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Judges every URL of ``pages`` by the rules, else by the models fitted to the URLs that rules decide."""
+    return url_filter.judge(_table(spark, folder, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Three-word shingles, similarity 0.85: each document with its group and whether it is the one that stays."""
     return minhash_join.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
@@ -31,6 +36,7 @@ def op9_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_bpe_automaton": op9_bpe_automaton,
