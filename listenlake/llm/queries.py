@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, minhash_join, secret_scan, url_filter
+from . import bpe_automaton, decontaminate, minhash_join, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,13 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten-word windows of ``benchmark`` in every document."""
+    found = decontaminate.overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated", "longest")
+
+
 def op9_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     """Encodes and decodes every text with the 50k byte-level vocabulary; digests of both results."""
     return bpe_automaton.encode_decode(_table(spark, folder, "documents"), keep_text=False)
@@ -39,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
     "op9_bpe_automaton": op9_bpe_automaton,
 }
 
