@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, minhash_join, secret_scan, url_filter
+from . import bpe_automaton, decontaminate, minhash_join, secret_scan, url_filter, vp_search
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_join.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
 
 
+def op6_vp_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth row of ``embeddings``, searched exactly."""
+    rows = _table(spark, folder, "embeddings")
+    return vp_search.search(rows, rows.where("vec_id % 100 = 0"), k=10, factor=1.0)
+
+
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every text: counts of the fixed patterns, a digest of their spans, and all spans."""
     found = secret_scan.scan(_table(spark, folder, "documents"))
@@ -45,6 +51,7 @@ def op9_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_vp_search": op6_vp_search,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe_automaton": op9_bpe_automaton,
