@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, minhash_join, secret_scan, url_filter, vp_search
+from . import bpe_automaton, decontaminate, minhash_join, secret_scan, toxicity, url_filter, vp_search
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_join.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every text; rows whose crc32 leaves 0 modulo 5 teach nothing and are marked as held out."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score_documents(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_vp_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every hundredth row of ``embeddings``, searched exactly."""
     rows = _table(spark, folder, "embeddings")
@@ -51,6 +59,7 @@ def op9_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_vp_search": op6_vp_search,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
