@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, minhash_join, secret_scan, toxicity, url_filter, vp_search
+from . import bpe_automaton, decontaminate, minhash_join, quality_neighbours, secret_scan, toxicity, url_filter, vp_search
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,14 @@ def op9_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_automaton.encode_decode(_table(spark, folder, "documents"), keep_text=False)
 
 
+def op10_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score for every text; rows whose crc32 leaves 1 modulo 3 teach nothing and are marked as held out."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = quality_neighbours.fit(docs, labels.where(~held_out))
+    return quality_neighbours.score_documents(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe_automaton": op9_bpe_automaton,
+    "op10_quality_neighbours": op10_quality_neighbours,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables in reasonable time.
