@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, minhash_join, quality_neighbours, secret_scan, toxicity, url_filter, vp_search
+from . import bpe_automaton, decontaminate, line_dedup, minhash_join, quality_neighbours, secret_scan, toxicity, url_filter, vp_search
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document after all but the first of each group of similar lines are taken out: counts, and a digest of the rest."""
+    docs = line_dedup.without_repeats(_table(spark, folder, "documents").select("doc_id", "text"), percent=80)
+    return docs.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_vp_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every hundredth row of ``embeddings``, searched exactly."""
     rows = _table(spark, folder, "embeddings")
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_vp_search": op6_vp_search,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
