@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (single-machine tests) one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only where none is set (single-machine tests) a new one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_folder(spark))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
 
 
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
