@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, line_dedup, minhash_join, quality_neighbours, secret_scan, toxicity, url_filter, vp_search
+from . import bpe_automaton, decontaminate, edit_counts, line_dedup, minhash_join, quality_neighbours, secret_scan, toxicity, url_filter, vp_search
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"))
 
 
+def op2_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document, and again after e-mail and IP addresses in it are replaced."""
+    docs = _table(spark, folder, "documents")
+    return edit_counts.count_with_edits(docs, edit_counts.redactions(F.col("text")))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Three-word shingles, similarity 0.85: each document with its group and whether it is the one that stays."""
     return minhash_join.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
@@ -72,6 +78,7 @@ def op10_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_edit_counts": op2_edit_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
