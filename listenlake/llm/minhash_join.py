@@ -27,7 +27,7 @@ COORDINATES = 64
 MATCHES = 42
 #: A posting list of more documents is compared in blocks; shorter ones are expanded into at most 120 pairs.
 LONG_LIST = 16
-BLOCK = 512
+BLOCK = 2048
 
 _KEYS = mix(np.arange(1000, 1000 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 
