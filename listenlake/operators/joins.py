@@ -78,15 +78,18 @@ def rescue_annotations(annotations: DataFrame, blocks: DataFrame, probe: int = 6
     # probes as patterns that take any run of blanks for another
     quoted = lambda c: F.regexp_replace(F.regexp_replace(squeeze(F.col(c)), r"([.*+?^${}()|\[\]\\])", r"\\$1"), " ", r"\\s+")
     lost = rows.where("not same and coalesce(excerpt, '') <> ''").withColumns({"hp": quoted("head"), "tp": quoted("tail")})
-    found = lost.join(blocks.select("document_id", "pos", "text"), "document_id")
-    at = F.regexp_instr("text", F.col("hp"))
-    heads = found.where(at > 0).groupBy(*keys).agg(F.min_by(F.struct("pos", at.alias("at"), F.length(F.regexp_extract("text", F.col("hp"), F.lit(0))).alias("n")), "pos").alias("h"))
-    behind = found.where("tp is not null").join(heads, keys).where("pos >= h.pos")
+    lost = lost.select(*keys, "hp", "tp")
+    text = blocks.select(F.col("document_id").alias("__d"), "pos", "text")
+    # the patterns are tried within the join, so that only blocks that hold one come out of it
+    met = lost.join(text, (F.col("document_id") == F.col("__d")) & (F.regexp_instr("text", F.col("hp")) > 0))
+    place = F.struct("pos", F.regexp_instr("text", F.col("hp")).alias("at"), F.length(F.regexp_substr("text", F.col("hp"))).alias("n"))
+    heads = met.groupBy(*keys, "hp", "tp").agg(F.min(place).alias("h"))
     rest = F.when(F.col("pos") == F.col("h.pos"), F.substring("text", F.col("h.at"), F.length("text"))).otherwise(F.col("text"))
-    shift = F.when(F.col("pos") == F.col("h.pos"), F.col("h.at") - 1).otherwise(0)
-    behind = behind.withColumns({"rest": rest, "shift": shift}).withColumn("at", F.regexp_instr("rest", F.col("tp"))).where("at > 0")
-    stop = F.col("shift") + F.col("at") - 1 + F.length(F.regexp_extract("rest", F.col("tp"), F.lit(0)))
-    tails = behind.groupBy(*keys).agg(F.min_by(F.struct("pos", stop.alias("end")), "pos").alias("t"))
+    behind = heads.where("tp is not null").join(text, (F.col("document_id") == F.col("__d")) & (F.col("pos") >= F.col("h.pos")) & (F.regexp_instr(rest, F.col("tp")) > 0))
+    behind = behind.withColumns({"rest": rest, "shift": F.when(F.col("pos") == F.col("h.pos"), F.col("h.at") - 1).otherwise(0)})
+    stop = F.col("shift") + F.regexp_instr("rest", F.col("tp")) - 1 + F.length(F.regexp_substr("rest", F.col("tp")))
+    tails = behind.groupBy(*keys).agg(F.min(F.struct("pos", stop.alias("end"))).alias("t"))
+    heads = heads.select(*keys, "h")
     out = rows.join(heads, keys, "left").join(tails, keys, "left")
     moved = F.col("h").isNotNull() & (F.col("tail").isNull() | F.col("t").isNotNull())
     end_pos = F.when(F.col("tail").isNull(), F.col("h.pos")).otherwise(F.col("t.pos"))
@@ -245,7 +248,8 @@ def reconcile_study(sections: DataFrame, nodes: DataFrame, least_prose: int = 40
     beyond the title.  ``queued``: the rest.  ``sections``: ``document_id, ord, node_id, title, text, source_hash``; ``nodes``, of
     the current prompt version: ``document_id, ord, node_id, source_hash, status, summary``.
     """
-    own = nodes.select("document_id", "node_id", F.col("source_hash").alias("h"), F.col("status").alias("st"), F.col("summary").alias("own_summary"))
+    own = nodes.groupBy("document_id", "node_id").agg(F.max_by(F.struct(F.col("source_hash").alias("h"), F.col("status").alias("st"), F.col("summary").alias("own_summary")), "ord").alias("own"))  # the last of an id counts
+    own = own.select("document_id", "node_id", "own.*")
     rows = sections.join(own, ["document_id", "node_id"], "left").withColumn("exact", F.coalesce((F.col("st") == "ready") & (F.col("h") == F.col("source_hash")), F.lit(False)))
     last = nodes.where("status = 'ready' and coalesce(summary, '') <> ''").groupBy("document_id", "source_hash").agg(F.max_by(F.struct(F.col("node_id").alias("from"), "summary"), "ord").alias("spare"))
     rows = rows.join(last, ["document_id", "source_hash"], "left")

@@ -237,7 +237,7 @@ def explain_context(blocks: DataFrame, selections: DataFrame, before: int = 1200
     )
     tail, head = F.right("b", F.lit(before)), F.left("a", F.lit(after))
     b = F.when(F.length("b") > before, F.regexp_replace(tail, r"^\S+\s", "")).otherwise(F.col("b"))
-    a = F.when(F.length("a") > after, F.regexp_replace(head, r"(?<=.)\s\S*$", "")).otherwise(F.col("a"))
+    a = F.when(F.length("a") > after, F.regexp_replace(head, r"(?s)(?<=.)\s\S*\z", "")).otherwise(F.col("a"))
     return met.select("document_id", "selection_id", b.alias("before"), a.alias("after"))
 
 

@@ -51,14 +51,10 @@ def reading_minutes(v: Views) -> DataFrame:
     return aggregates.reading_minutes(_timed(v))
 
 
-_QUERIES = "select user_id as document_id, event_id as query_id, value * 3 - 50 as second from events"
-
-
 @query(
-    f"""select document_id, query_id, seg_idx, round(least(est_duration, greatest(0, at - (stop - est_duration))), 6) as offset_s from (select q.document_id, query_id, at, seg_idx, est_duration, stop, row_number() over (partition by q.document_id, query_id order by seg_idx) as rn
- from (select document_id, query_id, least(greatest(0, second), total) as at from ({_QUERIES}) join (select document_id, max(stop) as total from ends group by document_id) using (document_id)) q join ends e on e.document_id = q.document_id and stop >= at) where rn = 1""".replace(
-        "ends", "(select *, sum(est_duration) over (partition by document_id order by seg_idx rows unbounded preceding) as stop from timed)", 1
-    ).replace("join ends e", "join (select *, sum(est_duration) over (partition by document_id order by seg_idx rows unbounded preceding) as stop from timed) e"),
+    """select document_id, query_id, seg_idx, round(least(est_duration, greatest(0, wanted - (stop - est_duration))), 6) as offset_s from (select q.document_id, query_id, wanted, seg_idx, est_duration, stop, row_number() over (partition by q.document_id, query_id order by seg_idx) as rn
+ from (select document_id, query_id, least(greatest(0, second), total) as wanted from (select user_id as document_id, event_id as query_id, value * 3 - 50 as second from events) join (select document_id, max(stop) as total from (select document_id, sum(est_duration) over (partition by document_id order by seg_idx rows unbounded preceding) as stop from timed) group by document_id) using (document_id)) q
+ join (select *, sum(est_duration) over (partition by document_id order by seg_idx rows unbounded preceding) as stop from timed) e on e.document_id = q.document_id and stop >= wanted) where rn = 1""",
     "timed",
 )
 def locate_time(v: Views) -> DataFrame:
@@ -153,8 +149,8 @@ def page_backfill(v: Views) -> DataFrame:
 
 
 @query(
-    """select b.document_id, b.pos, array_to_string(list_concat([title], list_transform(list_sort(list({'pos': o.pos, 't': o.title}) filter (where o.pos is not null)), x -> x.t)), ' › ') as crumb from blocks b join library l on l.document_id = b.document_id
- left join (select *, min(pos) filter (where true) over () as unused from outline) o on o.document_id = b.document_id and o.pos <= b.pos and not exists (select 1 from outline x where x.document_id = b.document_id and x.pos > o.pos and x.pos <= b.pos and x.level <= o.level) group by b.document_id, b.pos, title""",
+    """select b.document_id, b.pos, array_to_string(list_concat([l.title], list_transform(list_sort(list({'pos': o.pos, 't': o.title}) filter (where o.pos is not null)), lambda x: x.t)), ' › ') as crumb from blocks b join library l on l.document_id = b.document_id
+ left join outline o on o.document_id = b.document_id and o.pos <= b.pos and not exists (select 1 from outline x where x.document_id = b.document_id and x.pos > o.pos and x.pos <= b.pos and x.level <= o.level) group by b.document_id, b.pos, l.title""",
     "outline",
     "library",
 )
@@ -229,8 +225,8 @@ def annotation_passages(v: Views) -> DataFrame:
 
 
 @query(
-    """select document_id, annotation_id, case when length(t) <= 400 then t else left(t, 300) || '…' || right(t, 99) end as excerpt from (select a.document_id, annotation_id, trim(regexp_replace(string_agg(substring(text, case when pos = start_pos then start_offset else 0 end + 1, greatest(0, case when pos = end_pos then end_offset else length(text) end - case when pos = start_pos then start_offset else 0 end)), ' ' order by pos), '\\s+', ' ', 'g')) as t,
- bool_and((pos <> start_pos or start_offset <= length(text)) and (pos <> end_pos or end_offset <= length(text))) as fits, any_value(start_pos < end_pos or start_offset < end_offset) as forward from annotations a join blocks b on b.document_id = a.document_id and pos between start_pos and end_pos group by a.document_id, annotation_id) where fits and forward and t <> ''""",
+    """select document_id, annotation_id, case when length(t) <= 400 then t else left(t, 300) || '…' || right(t, 99) end as excerpt from (select *, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as t from (select a.document_id, annotation_id, string_agg(substring(text, case when pos = start_pos then start_offset else 0 end + 1, greatest(0, case when pos = end_pos then end_offset else length(text) end - case when pos = start_pos then start_offset else 0 end)), ' ' order by pos) as raw,
+ bool_and((pos <> start_pos or start_offset <= length(text)) and (pos <> end_pos or end_offset <= length(text))) as fits, any_value(start_pos < end_pos or start_offset < end_offset) as forward from annotations a join blocks b on b.document_id = a.document_id and pos between start_pos and end_pos group by a.document_id, annotation_id)) where fits and forward and raw <> ''""",
     "annotations",
 )
 def annotation_excerpt(v: Views) -> DataFrame:
@@ -350,14 +346,15 @@ def segment_diff(v: Views) -> DataFrame:
 
 
 _NODES = "select document_id, pos as ord, node_id, source_hash, status, summary from study_nodes"
+_OWN = f"select * from ({_NODES}) qualify row_number() over (partition by document_id, node_id order by ord desc) = 1"
 
 
 @query(
     f"""select document_id, node_id, case when exact then 'kept' when rescued then 'rescued' when length(trim(replace(text, title, ''))) < 40 then 'settled' else 'queued' end as action, case when exact then own when rescued then spare end as summary from (select *, not exact and rn = 1 and spare_id is not null and (kept_ord is null or kept_ord > ord) as rescued
  from (select s.*, n.summary as own, coalesce(n.status = 'ready' and n.source_hash = s.source_hash, false) as exact, r.node_id as spare_id, r.summary as spare, k.ord as kept_ord, row_number() over (partition by s.document_id, s.source_hash, coalesce(n.status = 'ready' and n.source_hash = s.source_hash, false) order by s.ord) as rn
- from (select document_id, pos as ord, 'study:' || block_id as node_id, title, title || ' ' || repeat('x', pos) as text, sha256(title) as source_hash from outline) s left join ({_NODES}) n using (document_id, node_id)
+ from (select document_id, pos as ord, 'study:' || block_id as node_id, title, title || ' ' || repeat('x', pos) as text, sha256(title) as source_hash from outline) s left join ({_OWN}) n using (document_id, node_id)
  left join (select document_id, source_hash, arg_max(node_id, ord) as node_id, arg_max(summary, ord) as summary from ({_NODES}) where status = 'ready' and coalesce(summary, '') <> '' group by document_id, source_hash) r on r.document_id = s.document_id and r.source_hash = s.source_hash
- left join (select o.document_id, 'study:' || block_id as node_id, o.pos as ord from outline o join ({_NODES}) m on m.document_id = o.document_id and m.node_id = 'study:' || block_id and m.status = 'ready' and m.source_hash = sha256(o.title)) k on k.document_id = s.document_id and k.node_id = r.node_id))""",
+ left join (select o.document_id, 'study:' || block_id as node_id, o.pos as ord from outline o join ({_OWN}) m on m.document_id = o.document_id and m.node_id = 'study:' || block_id and m.status = 'ready' and m.source_hash = sha256(o.title)) k on k.document_id = s.document_id and k.node_id = r.node_id))""",
     "outline",
     "study_nodes",
 )
@@ -367,11 +364,7 @@ def reconcile_study(v: Views) -> DataFrame:
 
 
 def _nodes(v: Views) -> DataFrame:
-    pos = v.outline.select("document_id", F.col("pos").alias("ord"), "block_id")
-    rows = v.study_nodes.withColumn("block_id", F.regexp_replace("node_id", "^study:", ""))
-    # a node's place is that of the heading it was written for; shifted ids are six blocks further on
-    shifted = pos.select("document_id", "ord", F.when(F.col("ord") % 4 == 0, F.concat(F.lit("b"), (F.col("ord") + 6).cast("string"))).otherwise(F.col("block_id")).alias("block_id"))
-    return rows.join(shifted, ["document_id", "block_id"]).where("(ord % 5 = 4) = (status = 'failed') and (ord % 7 = 6) = (summary is null)").select("document_id", "ord", "node_id", "source_hash", "status", "summary", "title", "level")
+    return v.study_nodes.withColumnRenamed("pos", "ord")
 
 
 @query("select b.document_id, b.pos, min(seg_idx) as marker from blocks b left join segments s on s.document_id = b.document_id and s.block_pos = b.pos group by b.document_id, b.pos", "segments")
@@ -503,7 +496,7 @@ def narration_queue(v: Views) -> DataFrame:
 
 
 @query(
-    f"""select document_id, seg_idx, row_number() over (partition by document_id order by seg_idx < at, seg_idx) as rank from (select document_id, seg_idx, segment_id, greatest(0, least(coalesce(current, 0), max(seg_idx) over (partition by document_id))) as at from ({_SHORT}) left join (select document_id, document_id % 40 - 5 as current from library where document_id % 4 > 0) using (document_id)) s
+    f"""select document_id, seg_idx, row_number() over (partition by document_id order by seg_idx < start_at, seg_idx) as rank from (select document_id, seg_idx, segment_id, greatest(0, least(coalesce(current, 0), max(seg_idx) over (partition by document_id))) as start_at from ({_SHORT}) left join (select document_id, document_id % 40 - 5 as current from library where document_id % 4 > 0) using (document_id)) s
  where not exists (select 1 from audio_variants a where a.document_id = s.document_id and a.segment_id = s.segment_id)""",
     "timed",
     "library",

@@ -49,12 +49,12 @@ def looks_like_markdown(v: Views) -> DataFrame:
 
 
 @query(
-    """select source, count(*) filter (where n > 0) as documents, sum(n) as removed_chars from (select source, length(t) - length(regexp_replace(regexp_replace(t, ' ?' || chr(57856) || '[^' || chr(57856) || chr(57857) || ']{0,120}' || chr(57857), '', 'g'), ' ?\\bturn\\d+(?:file|search|news|image|video|fetch|forecast|sports|finance)\\d+\\b', '', 'g')) as n
+    """select source, count(*) filter (where n > 0) as documents, cast(sum(n) as bigint) as removed_chars from (select source, length(t) - length(regexp_replace(regexp_replace(t, ' ?' || chr(57856) || '[^' || chr(57856) || chr(57857) || ']{0,120}' || chr(57857), '', 'g'), ' ?\\bturn\\d+(?:file|search|news|image|video|fetch|forecast|sports|finance)\\d+\\b', '', 'g')) as n
  from (select source, case when doc_id % 3 = 0 then text || ' ' || chr(57856) || 'filecite turn0' || chr(57857) || ' end' when doc_id % 3 = 1 then text || ' turn0search3' else text end as t from documents)) group by source"""
 )
 def strip_citation_artifacts(v: Views) -> DataFrame:
     k = F.col("document_id") % 3
-    text = F.when(k == 0, F.concat("text", F.lit(" filecite turn0 end"))).when(k == 1, F.concat("text", F.lit(" turn0search3"))).otherwise(F.col("text"))
+    text = F.when(k == 0, F.concat("text", F.lit(" \ue200filecite turn0\ue201 end"))).when(k == 1, F.concat("text", F.lit(" turn0search3"))).otherwise(F.col("text"))
     found = predicates.strip_citation_artifacts(v.documents.select("source", text.alias("text")))
     return found.groupBy("source").agg(F.count(F.when(F.col("removed_chars") > 0, 1)).alias("documents"), F.sum("removed_chars").alias("removed_chars"))
 
@@ -116,7 +116,7 @@ def explode_blocks(v: Views) -> DataFrame:
 
 
 @query(
-    """select document_id, class, count(*) as lines, sum(n) as n_chars from (select document_id, length(l) as n, case when regexp_matches(l, '^\\s{0,3}(```|~~~)') then 'fence' when inside then 'code' when regexp_matches(l, '^\\s*$') then 'blank'
+    """select document_id, class, count(*) as lines, cast(sum(n) as bigint) as n_chars from (select document_id, length(l) as n, case when regexp_matches(l, '^\\s{0,3}(```|~~~)') then 'fence' when inside then 'code' when regexp_matches(l, '^\\s*$') then 'blank'
  when regexp_matches(l, '^\\s{0,3}#{1,6}\\s+\\S') then 'heading' when regexp_matches(l, '^\\s{0,3}(?:-{3,}|\\*{3,}|_{3,})\\s*$') then 'rule' when regexp_matches(l, '^\\s*(?:[-+*]|\\d+[.)])\\s+\\S') then 'list' when regexp_matches(l, '^\\s{0,3}>') then 'quote'
  when regexp_matches(l, '^\\s*\\|.*\\|\\s*$') then 'table' else 'prose' end as class from (select *, coalesce(sum(cast(regexp_matches(l, '^\\s{0,3}(```|~~~)') as int)) over (partition by document_id order by p rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as inside
  from (select doc_id as document_id, unnest(a) as l, generate_subscripts(a, 1) as p from (select doc_id, string_split('# Top' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || '- item' || chr(10) || text, chr(10)) as a from documents)))) group by document_id, class"""
@@ -318,7 +318,7 @@ _GREEK_SQL = modeltext.GREEK
 
 
 @query(
-    f"""select document_id, seg_idx, len(list_filter(a, x -> not list_contains(r, x))) = 0 as grounded from (select document_id, seg_idx, list_concat(regexp_extract_all(lower(answer), '{_GREEK_SQL}'), regexp_extract_all(answer, '\\b[A-Z]\\b')) as a, list_concat(regexp_extract_all(lower(text), '{_GREEK_SQL}'), regexp_extract_all(text, '\\b[A-Z]\\b')) as r
+    f"""select document_id, seg_idx, len(list_filter(a, lambda x: not list_contains(r, x))) = 0 as grounded from (select document_id, seg_idx, list_concat(regexp_extract_all(lower(answer), '{_GREEK_SQL}'), regexp_extract_all(answer, '\\b[A-Z]\\b')) as a, list_concat(regexp_extract_all(lower(text), '{_GREEK_SQL}'), regexp_extract_all(text, '\\b[A-Z]\\b')) as r
  from (select document_id, seg_idx, 'alpha and ' || case when seg_idx % 3 = 0 then 'beta' when seg_idx % 3 = 1 then 'B' else 'C' end as answer, case when seg_idx % 2 = 0 then 'alpha over B with beta' else 'Alpha and C' end as text from segments))""",
     "segments",
 )

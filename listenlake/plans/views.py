@@ -79,7 +79,7 @@ class Views:
         """Stored notes for the outline: some ids shifted, some failed, some without a summary."""
         pos = F.col("pos")
         node = F.when(pos % 4 == 0, F.concat(F.lit("study:b"), (pos + 6).cast("string"))).otherwise(F.concat(F.lit("study:"), "block_id"))
-        return self.outline.select("document_id", node.alias("node_id"), "title", "level", F.sha2("title", 256).alias("source_hash"), F.when(pos % 5 == 4, "failed").otherwise("ready").alias("status"), F.when(pos % 7 != 6, F.concat(F.lit("Note on "), "title")).alias("summary"))
+        return self.outline.select("document_id", node.alias("node_id"), "title", "level", F.sha2("title", 256).alias("source_hash"), F.when(pos % 5 == 4, "failed").otherwise("ready").alias("status"), F.when(pos % 7 != 6, F.concat(F.lit("Note on "), "title")).alias("summary"), "pos")
 
     @property
     def tool_calls(self) -> DataFrame:
