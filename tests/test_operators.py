@@ -65,7 +65,7 @@ def test_sentences_and_words(spark):
 
 def test_split_long_never_cuts_a_span(spark):
     text = "a" * 60 + ", " + "b" * 60 + "; " + "c" * 90
-    df = spark.createDataFrame([(1, 0, text, [(150, 170)]), (1, 1, "short", [])], "document_id long, seg_idx int, text string, spans array<struct<start:int,end:int>>")
+    df = spark.createDataFrame([(1, 0, text, [(121, 130), (150, 170)]), (1, 1, "short", [])], "document_id long, seg_idx int, text string, spans array<struct<start:int,end:int>>")
     out = generators.split_long(df, 100).orderBy("seg_idx", "part").collect()
     assert "".join(r.text for r in out if r.seg_idx == 0) == text and out[-1].text == "short"
     assert [r.start for r in out if r.seg_idx == 0] == [0, 61, 150] and out[0].text.endswith(",")
