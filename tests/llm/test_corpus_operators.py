@@ -85,6 +85,19 @@ def test_line_dedup_equals_brute_force(spark, docs, texts, none, monkeypatch, pa
     assert set(got[0].asDict()) == {*docs.columns, "n_lines", "n_removed"} and line_dedup.without_repeats(none).count() == 0
 
 
+def test_lines_of_50_to_90_characters_are_linked_after_one_edit(spark):
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n - 2)).join("<>") for n in range(50, 91) for _ in range(3)]
+    rows = []
+    for i, x in enumerate(base):
+        at = rng.randrange(10, len(x) - 10)
+        rows += [(2 * i, x), (2 * i + 1, x[:at] + "#" + x[at + 1 :])]
+    sets = {i: {x[k : k + 5] for k in range(len(x) - 4)} for i, x in rows}
+    want = {i for i in sets if i % 2 and similar(sets[i], sets[i - 1], 80)}
+    got = {r.doc_id for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 80).where("n_removed = 1").collect()}
+    assert len(want) >= 0.95 * len(base) and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_vp_search_is_exact(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(700, 8)).round(1)
