@@ -1,8 +1,11 @@
 """Operators on single texts against the libraries and patterns that define them."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -159,3 +162,31 @@ def test_url_rules_and_model(spark, none):
     fresh = spark.createDataFrame([("goodz7.example/news/1", 0), ("spamz7.example/casino/1", 1), ("", 0)], "text string, side int")
     score = [r.s for r in fresh.select(model.score(F.col("text")).alias("s")).collect()]
     assert score[0] >= model.threshold > score[1] and score[2] == 0
+
+
+def test_url_model_counts_exact_contexts(spark):
+    rng = random.Random(3)
+    pick = lambda: "".join(rng.choice("abcé/") for _ in range(rng.randint(0, 12)))
+    sample = [(pick(), rng.randint(0, 1)) for _ in range(300)]
+    model = url_filter.fit(spark.createDataFrame(sample, "text string, side int"))
+    used = [(t.encode(), s) for t, s in sample if zlib.crc32(t.encode()) % 4]
+    seen, context = Counter(), Counter()
+    for text, s in used:
+        for i in range(len(text)):
+            for k in range(6):
+                before = (min(i, k) < k) * b"^" + text[max(0, i - k) : i]
+                seen[s, k, before, text[i]] += 1
+                context[s, k, before] += 1
+    texts = [pick() for _ in range(60)] + ["xyz"]
+    got = {r.row: r.score for r in model.scores(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    for n, text in enumerate(t.encode() for t in texts):
+        total = 0.0
+        for i in range(len(text)):
+            p = [1 / 256, 1 / 256]
+            for k in range(6):
+                before = (min(i, k) < k) * b"^" + text[max(0, i - k) : i]
+                p = [(seen[s, k, before, text[i]] + 2 * p[s]) / (context[s, k, before] + 2) for s in (0, 1)]
+            total += math.log(p[0] / p[1])
+        assert (n in got) == bool(text) and (not text or abs(got[n] - total / len(text)) < 1e-8)
+    frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert all(abs(r.s - got.get(r.row, 0.0)) < 1e-8 for r in frame.select("row", model.score(F.col("text")).alias("s")).collect())
