@@ -188,16 +188,17 @@ def fit(examples: DataFrame) -> UrlModel:
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, model: UrlModel | None = None, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """A verdict on every URL: that of the longest rule that fits, else that of the model.
+    """A verdict on every URL: that of the longest rule that fits, else that of the model, which reads the whole URL.
 
     Returns ``page_id, host, path, rule, verdict, score``.  Without a ``model`` one is fitted to the URLs of the table that rules
-    decide.  A null URL, or one without ``://``, has an empty host and path and a score of 0; a URL is allowed if its score reaches
-    the model's threshold.  Null and repeated ids and repeated URLs pass through row by row; other columns are not read.
+    decide.  A null URL, or one without ``://``, has an empty host and path; a null or empty one has a score of 0.  A URL
+    is allowed if its score reaches the model's threshold.  Null and repeated ids and repeated URLs pass through row by row; other
+    columns are not read.
     """
     host, path = host_and_path(F.col(url_column))
-    pages = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
+    pages = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_column), F.lit("")).alias("text"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    pages = settled(pages.withColumns({"rule": rule, "ruled": verdict, "text": F.concat("host", "path")}))  # numbered once
+    pages = settled(pages.withColumns({"rule": rule, "ruled": verdict}))  # numbered once
     if model is None:
         model = fit(pages.select("text", F.when(F.col("ruled") == "allow", 0).when(F.col("ruled") == "block", 1).alias("side")))
     pages = pages.join(model.scores(pages), "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -190,3 +190,12 @@ def test_url_model_counts_exact_contexts(spark):
         assert (n in got) == bool(text) and (not text or abs(got[n] - total / len(text)) < 1e-8)
     frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     assert all(abs(r.s - got.get(r.row, 0.0)) < 1e-8 for r in frame.select("row", model.score(F.col("text")).alias("s")).collect())
+
+
+def test_url_model_reads_the_whole_url(spark):
+    rng = random.Random(7)
+    urls = [f"http://{h}/{p}{i}?{q}={rng.randint(0, 99)}" for i in range(300) for h, p, q in (("x.org", "fr/", "article"), ("y.net", "", "casino"))]
+    urls += ["http://z.info/p?article=7", "http://z.info/p?casino=7", "article=7&article=8", "casino=7&casino=8"]
+    by = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [by[i].verdict for i in (600, 601)] == ["allow", "block"] and by[600].score > by[601].score
+    assert by[602].score > by[603].score and by[602].score != 0 and by[602].host == ""
