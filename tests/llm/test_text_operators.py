@@ -60,6 +60,15 @@ def test_secret_spans(spark, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_random_letters_are_secrets_and_long_words_are_not(spark):
+    rng = random.Random(13)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.choice([16, 20, 32]))) for _ in range(100)]
+    words = "internationalization Geschwindigkeitsbegrenzung anticonstitutionnellement desproporcionadamente wykorzystywanie sygesikringsbeviset ---------------- /usr/local/share/applications MAXIMUM_BUFFER_LENGTH".split()
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(keys + words)], "doc_id long, text string")).collect()}
+    assert sum(got[i] == f"random:2:{2 + len(t)}" for i, t in enumerate(keys)) >= 95
+    assert not any(got[100 + i] for i in range(len(words)))
+
+
 def test_secret_screen_never_misses(docs):
     rng = random.Random(5)
     bits = ["password", "passwd:", "secret = 'x", "TOKEN", "api_key=", "apikey: ", "AKIA", "ABCDEF0123456789", "abcdef", "0123456789ab", " ", "=", ":", '"', "word", "é"]
