@@ -65,16 +65,19 @@ def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest shingle hash of each text, which copies and most near copies share."""
+    """Adds the number and two sums of the distinct shingle hashes of each text, which only copies share."""
     for batch in slices(batches):
         data, at = text_bytes(batch.column("text"))
         starts, ends, owner = word_spans(data, at, LETTERS)
-        low = np.zeros(batch.num_rows, dtype=np.uint64)
+        size, one, two = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
         if len(starts):
             value, of = shingles(word_hashes(data, starts, ends), owner, batch.num_rows, 3)
-            count = np.bincount(of, minlength=batch.num_rows)
-            low[count > 0] = np.minimum.reduceat(value, (np.cumsum(count) - count)[count > 0])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("toxic"), pa.array(low.view(np.int64))], names=["doc_id", "text", "toxic", "low"])
+            edges = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
+            for i, (begin, end) in enumerate(zip(edges, edges[1:])):
+                own = np.unique(value[begin:end])
+                size[i], one[i], two[i] = len(own), own.sum(), mix(own).sum()
+        digest = [pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("toxic"), *digest], names=["doc_id", "text", "toxic", "n", "d1", "d2"])
 
 
 class Cues:
@@ -186,15 +189,15 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
     """A model from texts and from ``labels (doc_id, toxic)``, of which ``LABELLED_ROWS`` at most, in hash order, are read.
 
-    Only the cues are learnt from labels.  Null labels, ids and texts teach nothing; copies among the labelled texts count
-    once.  Without any toxic label the fixed lexicons remain; without documents every text scores like one without cues.
+    Only the cues are learnt from labels.  Null labels, ids and texts teach nothing; labelled texts with one and the same
+    set of word shingles count once.  Without any toxic label the fixed lexicons remain; without documents every text scores like one without cues.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     labels = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     some = F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    examples = rows.where("text is not null").join(some, "doc_id").select("doc_id", "text", "toxic").mapInArrow(_fingerprints, f"doc_id {kind}, text string, toxic int, low long")
-    examples = examples.groupBy("low", "toxic").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text")).select("text", "toxic")
+    examples = rows.where("text is not null").join(some, "doc_id").select("doc_id", "text", "toxic").mapInArrow(_fingerprints, f"doc_id {kind}, text string, toxic int, n long, d1 long, d2 long")
+    examples = examples.groupBy("n", "d1", "d2", "toxic").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text")).select("text", "toxic")
     examples = settled(examples)
     counts = examples.mapInArrow(_mined, "feature long, kind int, pos long, neg long").groupBy("feature", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     size = examples.agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,15 @@ def test_toxicity_learns_unseen_forms(spark, none):
     assert toxicity.score_documents(none, plain).count() == 0 and toxicity.score_documents(docs, plain).count() == len(rows) + 4
 
 
+def test_toxicity_keeps_texts_that_share_a_passage(spark):
+    rng = random.Random(15)
+    shared = "garden window paper silver"
+    texts = [f"{shared} {prose(rng, 3)} {'grumfling' if i % 2 else 'plain'} {i}" for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(202)), "text": [*texts, texts[0], texts[1].upper()], "toxic": [0] * 202})
+    marks = [tuple(r[c] for c in r if c not in ("doc_id", "text", "toxic")) for out in toxicity._fingerprints(iter([batch])) for r in out.to_pylist()]
+    assert len(set(marks)) == 200 and marks[200] == marks[0] and marks[201] == marks[1]
+
+
 def test_quality_votes(spark, none):
     rng = random.Random(8)
     rows = [(i, prose(rng, 40) if i % 3 else " ".join(w + "%%%" for w in prose(rng, 40).split()), int(i % 3 > 0)) for i in range(400)]
