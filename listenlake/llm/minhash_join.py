@@ -13,6 +13,7 @@ compared block against block inside tasks, which return a spanning forest of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from .graph import components, settled
 from .textops import NOT_SPACE, mix, shingles, slices, text_bytes, word_hashes, word_spans
 
 COORDINATES = 64
-#: Coordinates in which a pair must agree.  Fewer agree with probability 1e-4 at similarity 0.85 exactly, 1e-9 at 0.9.
-MATCHES = 42
+#: A pair at exactly the wanted similarity is missed with this probability at most.
+MISS = 5e-5
 #: A posting list of more documents is compared in blocks; shorter ones are expanded into at most 120 pairs.
 LONG_LIST = 16
 BLOCK = 2048
@@ -32,6 +33,17 @@ BLOCK = 2048
 _KEYS = mix(np.arange(1000, 1000 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 
 
+def matches(percent: int) -> int:
+    """Coordinates in which a pair must agree: as many as ``MISS`` allows at ``percent``, but one at least (for 85: 42, missed with
+    probability 3e-5; for 80: 38, with 4.3e-5)."""
+    p, miss = percent / 100, 0.0
+    for k in range(COORDINATES):
+        miss += comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if miss > MISS:
+            return max(1, k)
+    return COORDINATES
+
+
 def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingle hashes side by side, and where those of each text begin and how many they are."""
     data, at = text_bytes(batch.column("text"))
@@ -142,7 +154,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # of a document's postings in order of rarity, those of one document come first; the rest of its prefix is read
     mine = posted.join(shared, "key").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    most = COORDINATES - MATCHES + 1
+    most = COORDINATES - matches(percent) + 1
     read = mine.where(F.size("keys") > COORDINATES - most).select("rep", "n_shingles", F.explode(F.slice("keys", 1, F.size("keys") - (COORDINATES - most))).alias("p")).select("rep", "n_shingles", "p.key")
     read = settled(read)
     sizes = read.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")

@@ -63,6 +63,14 @@ def test_near_duplicates_equal_brute_force(docs, texts, none, monkeypatch, width
     assert minhash_join.near_duplicates(none).count() == 0
 
 
+def test_matches_follow_the_similarity():
+    draws = np.random.default_rng(2)
+    for percent, want in ((85, 42), (80, 38)):
+        assert minhash_join.matches(percent) == want
+        assert (draws.binomial(64, percent / 100, 400_000) < want).mean() < 1e-4
+    assert minhash_join.matches(100) == 64 and minhash_join.matches(10) == 1
+
+
 def solid(line):
     return line.strip(" \t\n\x0b\x0c\r") != ""
 
