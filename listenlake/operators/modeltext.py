@@ -173,13 +173,16 @@ def _letter_share(text: Column) -> Column:
 
 
 def gate_narration(answers: DataFrame, params: DataFrame) -> DataFrame:
-    """Adds ``clean``, null for a reject, and ``reason``: empty, notation, letters, shape, or ok.
+    """Adds ``clean``, null for a reject, and ``reason``: empty, notation, letters, skip, shape, or ok.
 
-    ``answers``: ``kind, answer``.  Inline phrases lose their full stop and must fit whole; a symbol explanation is one sentence that
-    opens with ``Here`` and says what something is; longer answers end with the last sentence that fits, but keep the first.
+    ``answers``: ``kind, answer``; ``params``: ``kind, max_chars`` and, if wanted, ``math_prose``.  Inline phrases lose their full stop
+    and must fit whole.  A symbol explanation opens with ``Here`` and says what something is; it is one sentence, or with the
+    ``math_prose`` of ``explanation`` all that fits, cut at a sentence end; with ``reading`` it is prose like any other.  An answer to an
+    equation that begins with ``skip`` declines.  Longer answers end with the last sentence that fits, but keep the first.
     """
-    rows = answers.join(F.broadcast(params.select("kind", "max_chars")), "kind", "left").withColumn("__t", _plain(F.coalesce("answer", F.lit(""))))
-    text = F.col("__t")
+    prose = F.col("math_prose") if "math_prose" in params.columns else F.lit(None).cast("string")
+    rows = answers.join(params.select("kind", "max_chars", F.coalesce(prose, F.lit("")).alias("__prose")), "kind", "left").withColumn("__t", _plain(F.coalesce("answer", F.lit(""))))
+    text, style = F.col("__t"), F.coalesce("__prose", F.lit(""))
     inline = strip(F.regexp_replace(text, "[.!?]+$", ""))
     first = F.regexp_extract(text, r"^[^.!?]+[.!?]", 0)
     here = text.rlike(r"(?i)^here\b") & ~text.rlike(r"(?i)^here (?:we|the symbols|are the)\b") & first.rlike(r"(?i)\b(?:is|are|stands for|means|denotes)\b")
@@ -194,11 +197,16 @@ def gate_narration(answers: DataFrame, params: DataFrame) -> DataFrame:
         ),
     )["kept"]
     capped = F.when((F.coalesce("max_chars", F.lit(0)) > 0) & (F.length(text) > F.col("max_chars")) & (F.size(sentences) > 0), F.trim(packed)).otherwise(text)
-    shape = F.when(F.col("kind") == "math-inline", (inline != "") & (F.length(inline) <= F.col("max_chars"))).when(F.col("kind") == "math-block", here).otherwise(F.lit(True))
-    reason = F.when(text == "", "empty").when(text.rlike(FORBIDDEN), "notation").when(_letter_share(text) < 0.55, "letters").when(~shape, "shape").otherwise("ok")
-    clean = F.when(F.col("kind") == "math-inline", inline).when(F.col("kind") == "math-block", F.trim(first)).otherwise(capped)
+    part = F.left(text, F.col("max_chars").cast("int"))
+    ends = F.transform(F.array(*(F.locate(end, F.reverse(part)) for end in (" .", " !", " ?"))), lambda at: F.when(at > 0, F.length(part) - at).otherwise(0))
+    whole = F.when((F.coalesce("max_chars", F.lit(0)) <= 0) | (F.length(text) <= F.col("max_chars")), text).when(F.array_max(ends) > 1, F.left(part, F.array_max(ends))).otherwise(first)
+    equation = F.col("kind") == "math-block"
+    meaning = equation & (style != "reading")
+    shape = F.when(F.col("kind") == "math-inline", (inline != "") & (F.length(inline) <= F.col("max_chars"))).when(meaning, here).otherwise(F.lit(True))
+    reason = F.when(text == "", "empty").when(text.rlike(FORBIDDEN), "notation").when(_letter_share(text) < 0.55, "letters").when(equation & text.rlike(r"(?i)^skip\b"), "skip").when(~shape, "shape").otherwise("ok")
+    clean = F.when(F.col("kind") == "math-inline", inline).when(meaning & (style == "explanation"), F.trim(whole)).when(meaning, F.trim(first)).otherwise(capped)
     rows = rows.withColumn("reason", reason)
-    return rows.withColumn("clean", F.when(F.col("reason") == "ok", clean)).drop("__t", "max_chars")
+    return rows.withColumn("clean", F.when(F.col("reason") == "ok", clean)).drop("__t", "__prose", "max_chars")
 
 
 def gate_explanation(answers: DataFrame) -> DataFrame:

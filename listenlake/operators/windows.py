@@ -206,16 +206,17 @@ SLOT = "⟪the narration speaks here⟫"
 def context_window(blocks: DataFrame, constructs: DataFrame, before: int = 260, after: int = 220) -> DataFrame:
     """``document_id, pos, context``: prose before a construct, a slot, and the next prose, cut at a sentence end.
 
-    Prose is carried in windows over the blocks; the one before a block grows until it is long enough, so no more blocks are read
-    than are needed.  ``constructs`` has ``document_id, pos``.
+    Prose is told apart first and measured by its running length, so that the window before a block holds as much of it as is
+    needed, however many tables or images stand between.  ``constructs`` has ``document_id, pos``.
     """
     prose = F.when(F.col("kind").isin(*CONTEXT_KINDS) & (F.trim("text") != ""), F.col("text"))
     order = _in_order("pos")
     rows = blocks.select("document_id", "pos", prose.alias("prose"))
-    rows = rows.withColumn("length", F.sum(F.coalesce(F.length("prose") + 1, F.lit(0))).over(order.rowsBetween(*_BEFORE)))
-    past = F.array_compact(F.collect_list("prose").over(order.rowsBetween(-before, -1)))
-    rows = rows.withColumns({"past": past, "next": F.first("prose", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
-    text = F.right(F.array_join("past", " "), F.lit(before))
+    rows = rows.withColumn("length", F.sum(F.coalesce(F.length("prose") + 1, F.lit(0))).over(order.rowsBetween(*_UPTO)))
+    enough = Window.partitionBy("document_id", F.col("prose").isNull()).orderBy("length").rangeBetween(-before, 0)
+    rows = rows.withColumn("tail", F.when(F.col("prose").isNotNull(), F.right(F.array_join(F.collect_list("prose").over(enough), " "), F.lit(before))))
+    rows = rows.withColumns({"past": F.last("tail", ignorenulls=True).over(order.rowsBetween(*_BEFORE)), "next": F.first("prose", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+    text = F.coalesce("past", F.lit(""))
     follow = squeeze(F.coalesce("next", F.lit("")))
     clipped = F.left(follow, F.lit(after))
     ends = F.array(*(F.length(clipped) - F.locate(e, F.reverse(clipped)) for e in (" .", " !", " ?")))

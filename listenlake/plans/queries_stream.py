@@ -31,19 +31,21 @@ def _events(v: Views) -> DataFrame:
     return _stream(v, "events").select(F.col("user_id").alias("document_id"), F.concat(F.lit("s"), (F.col("event_id") % 20).cast("string")).alias("segment_id"), F.col("value").alias("start_s"), (F.col("value") + (F.col("event_id") % 50) / 10.0).alias("end_s"), F.col("ts").cast("timestamp").alias("event_ts"))
 
 
-def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream has put out once all input is read: the last state in complete mode, all rows in append mode."""
+def _drained(df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream in append mode has put out once all input is read."""
     spark = df.sparkSession
     folder = _shared(spark)
-    how = "overwrite" if mode == "complete" else "append"
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{folder}/out")).trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{folder}/out")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 @query("select document_id, time_bucket(interval '1 hour', event_ts) as window_start, round(sum(end_s - start_s), 6) as heard_s, count(*) as n_events from listen_events group by 1, 2", "listen_events")
 def stream_activity(v: Views) -> DataFrame:
-    out = _drained(playback.stream_activity(_events(v)), "complete")
+    folder = _shared(v.spark)
+    stream = playback.stream_activity(_events(v)).withColumn("key", F.concat_ws(" ", "document_id", "window_start"))
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").foreachBatch(lambda batch, n: library.upsert_latest(batch.withColumn("batch", F.lit(n)), f"{folder}/heard", key="key", at="batch")).trigger(availableNow=True).start().awaitTermination()
+    out = library.read_latest(v.spark, f"{folder}/heard")
     return out.select("document_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.round("heard_s", 6).alias("heard_s"), "n_events")
 
 
@@ -56,14 +58,23 @@ def stream_latest_position(v: Views) -> DataFrame:
 
 @query("select distinct sha256(text) as fingerprint from documents")
 def stream_import_dedup(v: Views) -> DataFrame:
-    docs = _stream(v, "documents").select(F.sha2("text", 256).alias("fingerprint"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("event_ts"))
+    docs = _stream(v, "documents").select(F.sha2("text", 256).alias("fingerprint"), F.timestamp_seconds(1_700_000_000 + F.col("doc_id") % 500_000).alias("event_ts"))
     return _drained(playback.stream_import_dedup(docs), "append").select("fingerprint")
 
 
-@query(None)
+@query(
+    """select * from (with t as (select document_id, segment_id as block_id, event_ts, case when event_ts < lag(event_ts) over w + interval 30 minutes then 0 else 1 end as new from listen_events window w as (partition by document_id order by event_ts)),
+ s as (select *, sum(new) over (partition by document_id order by event_ts, block_id rows unbounded preceding) as n from t)
+ select document_id, min(event_ts) as session_start, max(event_ts) + interval 30 minutes as session_end, array_to_string(list_sort(list_distinct(list(block_id))), ',') as blocks, max_by(block_id, struct_pack(e := event_ts, b := block_id)) as last_block from s group by document_id, n)""",
+    "listen_events",
+)
 def stream_sessions(v: Views) -> DataFrame:
-    touches = _events(v).select("document_id", F.col("segment_id").alias("block_id"), "event_ts")
-    return _drained(playback.stream_sessions(touches), "append")
+    def touches(events: DataFrame) -> DataFrame:
+        return events.select("document_id", F.col("segment_id").alias("block_id"), "event_ts")
+
+    closed, batch = _drained(playback.stream_sessions(touches(_events(v))), "append"), v.listen_events.withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    found = closed.unionByName(playback.open_sessions(touches(batch)))
+    return found.select("document_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), F.array_join("blocks", ",").alias("blocks"), "last_block")
 
 
 @query("select document_id, segment_id, round(start_s, 6) as start_s, round(end_s, 6) as end_s from merged", "merged")

@@ -163,7 +163,17 @@ def outline_text(v: Views) -> DataFrame:
     return windows.outline_text(v.outline, most=5)
 
 
-@query(None)
+@query(
+    """select * from (with p as (select document_id, pos, text, sum(length(text) + 1) over (partition by document_id order by pos) as r from blocks where kind in ('paragraph', 'heading', 'list-item', 'quote', 'footnote', 'definition-term', 'definition-description') and trim(text) <> ''),
+ t as (select document_id, pos, right(string_agg(text, ' ') over (partition by document_id order by r range between 260 preceding and current row), 260) as b from p),
+ c as (select document_id, pos from blocks where kind = 'list-item'),
+ n as (select c.document_id, c.pos, coalesce(t.b, '') as b, coalesce(regexp_replace(trim(p.text), '\\s+', ' ', 'g'), '') as f from c asof left join t on c.document_id = t.document_id and c.pos > t.pos asof left join p on c.document_id = p.document_id and c.pos < p.pos),
+ l as (select *, left(f, 220) as clipped from n),
+ e as (select *, list_max(list_filter([length(clipped) - instr(reverse(clipped), ' .'), length(clipped) - instr(reverse(clipped), ' !'), length(clipped) - instr(reverse(clipped), ' ?')], lambda x: x < length(clipped))) as cut from l),
+ a as (select document_id, pos, b, case when length(f) <= 220 then f when cut - 1 > 66 then left(clipped, cut) else clipped end as a from e)
+ select document_id, pos, case when b = '' and a = '' then '' else array_to_string(list_filter([b, '⟪the narration speaks here⟫', a], lambda x: x <> ''), ' ') end as context from a)""",
+    "blocks",
+)
 def context_window(v: Views) -> DataFrame:
     return windows.context_window(v.blocks, v.blocks.where("kind = 'list-item'").select("document_id", "pos"))
 
@@ -184,7 +194,7 @@ def pack_to_budget(v: Views) -> DataFrame:
 
 
 @query(
-    """select document_id, range_id, string_agg(case when total <= 600 then piece end, '' order by seg_idx) as text, bool_or(total > 600) as truncated from (select *, sum(length(piece)) over (partition by document_id, range_id order by seg_idx rows unbounded preceding) as total from (select document_id, range_id, seg_idx,
+    """select document_id, range_id, coalesce(string_agg(case when total <= 600 then piece end, '' order by seg_idx), '') as text, bool_or(total > 600) as truncated from (select *, sum(length(piece)) over (partition by document_id, range_id order by seg_idx rows unbounded preceding) as total from (select document_id, range_id, seg_idx,
  case when lag(block_pos) over w is null then '' when lag(block_pos) over w = block_pos then ' ' else chr(10) || chr(10) end || '⟦' || seg_idx || '⟧ ' || regexp_replace(trim(text), '\\s+', ' ', 'g') as piece from segments join (select distinct document_id, seg_idx // 10 as range_id from segments) using (document_id) where seg_idx between range_id * 10 and range_id * 10 + 12 window w as (partition by document_id, range_id order by seg_idx))) group by document_id, range_id""",
     "segments",
 )

@@ -60,11 +60,22 @@ def stream_listened(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id", "segment_id").transformWithStateInPandas(_Ranges(), "document_id long, segment_id string, ranges array<struct<start_s:double,end_s:double>>", "Update", "None")
 
 
+def sessions(touches: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """``document_id, session_start, session_end, blocks, last_block``: conversations told apart by pauses, of a table or a stream with
+    a watermark.  Of blocks touched last at one time the largest is named."""
+    found = touches.groupBy("document_id", F.session_window("event_ts", gap)).agg(F.sort_array(F.collect_set("block_id")).alias("blocks"), F.max(F.struct("event_ts", "block_id")).alias("last"))
+    return found.select("document_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "blocks", F.col("last.block_id").alias("last_block"))
+
+
 def stream_sessions(touches: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """``document_id, session_start, session_end, blocks, last_block``: conversations told apart by pauses; append mode."""
-    windows = touches.withWatermark("event_ts", late).groupBy("document_id", F.session_window("event_ts", gap))
-    found = windows.agg(F.sort_array(F.collect_set("block_id")).alias("blocks"), F.max_by("block_id", "event_ts").alias("last_block"))
-    return found.select("document_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "blocks", "last_block")
+    """The same as a stream in append mode: a session comes out once the watermark has passed its end."""
+    return sessions(touches.withWatermark("event_ts", late), gap)
+
+
+def open_sessions(touches: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """What ``stream_sessions`` still holds back when it stops after ``touches``: the sessions that end beyond the watermark."""
+    reached = touches.agg((F.max("event_ts") - F.expr(f"interval {late}")).alias("reached"))
+    return sessions(touches, gap).join(F.broadcast(reached), F.col("session_end") > F.col("reached")).drop("reached")  # one row
 
 
 def stream_import_dedup(docs: DataFrame, late: str = "7 days") -> DataFrame:
@@ -75,7 +86,8 @@ def stream_import_dedup(docs: DataFrame, late: str = "7 days") -> DataFrame:
 def stream_activity(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """``document_id, window_start, window_end, heard_s, n_events``: seconds heard in tumbling or sliding windows.
 
-    What comes later than the watermark is dropped, and shows in the query's progress as rows dropped by watermark.
+    Made for update mode, in which windows behind the watermark leave the state.  What comes later than the watermark is dropped,
+    and shows in the query's progress as rows dropped by watermark.
     """
     window = F.window("event_ts", width, slide) if slide else F.window("event_ts", width)
     summed = events.withWatermark("event_ts", late).groupBy("document_id", window).agg(F.sum(F.abs(F.col("end_s") - F.col("start_s"))).alias("heard_s"), F.count("*").alias("n_events"))

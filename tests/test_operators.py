@@ -1,6 +1,10 @@
 """Literal cases whose answers are known, for the operators that SQL does not check, and a few that it does."""
 
+import os
 import random
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +226,38 @@ def test_predicates_on_literals(spark):
 def test_compose_article(spark):
     df = spark.createDataFrame([("T", "Ann", "ann", "2024-03-05", "https://www.a.io/x", "Body"), ("T", None, "Site", None, "https://a.io", "# T!\nBody")], "title string, author string, site string, published string, url string, text string")
     assert [r.markdown for r in generators.compose_article(df).collect()] == ["# T\n\n*By Ann · a.io · March 5, 2024*\n\nBody", "*Site*\n\n# T!\nBody"]
+
+
+def test_narration_gate_declines_and_keeps_whole_explanations(spark):
+    long = "Here x is the rate of it. It grows with y over time. It falls with z at last."
+    answers = [("math-block", "Skip this one"), ("math-block", long), ("table-row", "skip it is a plain word")]
+    df = spark.createDataFrame(answers, "kind string, answer string")
+
+    def gated(prose, most):
+        params = spark.createDataFrame([("math-block", most, prose), ("table-row", 0, None)], "kind string, max_chars int, math_prose string")
+        return {(r.kind, r.reason): r.clean for r in modeltext.gate_narration(df, params).collect()}
+
+    one, whole, cut = gated(None, 400), gated("explanation", 400), gated("explanation", 60)
+    assert one["math-block", "skip"] is None and one["table-row", "ok"] == "skip it is a plain word"
+    assert one["math-block", "ok"] == "Here x is the rate of it." and whole["math-block", "ok"] == long
+    assert cut["math-block", "ok"] == "Here x is the rate of it. It grows with y over time."
+
+
+def test_context_looks_past_what_is_not_prose(spark):
+    rows = [(1, 0, "paragraph", "The lead prose.")] + [(1, i, "table", "cells") for i in range(1, 300)] + [(1, 300, "math", "x"), (1, 301, "paragraph", "What follows.")]
+    blocks = spark.createDataFrame(rows, "document_id long, pos int, kind string, text string")
+    got = windows.context_window(blocks, blocks.where("kind = 'math'").select("document_id", "pos")).first()
+    assert got.context == f"The lead prose. {windows.SLOT} What follows."
+
+
+def test_entry_works_without_the_corpus_operators(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for part in ("listenlake", "tests", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = os.path.join(root, part)
+        if os.path.isdir(source):
+            shutil.copytree(source, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif os.path.exists(source):
+            shutil.copy(source, tmp_path / part)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2:3].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
