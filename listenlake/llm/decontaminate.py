@@ -1,10 +1,11 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each task cuts its documents into shards of a few MB and builds a suffix array of each: the word positions of the shard in the
-lexicographic order of the words that follow.  Only order as deep as a window is needed, and suffixes whose first and last words
-begin and end no window are left out, which loses nothing.  Every suffix of every benchmark item is then looked up by binary
-search; equal ranges give the places of verbatim matches, and matches that follow one another in both texts join into longer
-ones.  The benchmark is read in blocks of a bounded number of words, so what travels to the executors has a fixed size.
+Each task cuts its documents into shards of about a MB and builds the suffix array of each: all word positions of the shard, in the
+lexicographic order of the words that follow, to the depth of a window.  Every suffix of every benchmark item is then looked up
+by binary search; equal ranges give the places of verbatim matches, and matches that follow one another in both texts join into
+longer ones.  Words are numbered within a shard, and a suffix with a word that the shard lacks needs no search.
+
+The benchmark is read in blocks of a bounded number of words, so what travels to the executors has a fixed size.
 """
 
 from __future__ import annotations
@@ -15,24 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .textops import LETTERS, mix, slices, text_bytes, word_hashes, word_spans
+from .textops import LETTERS, slices, text_bytes, word_hashes, word_spans
 
 #: Consecutive words that make a match; an item of fewer words is matched as a whole.
 WINDOW = 10
 #: Words of benchmark text that are searched for at once, as an average over blocks dealt out by hash.
 BLOCK_WORDS = 1_000_000
 #: Bytes of text in a shard.
-SHARD_BYTES = 1 << 22
-_BITS = 22
-
-
-def _slot(x: np.ndarray) -> np.ndarray:
-    return (mix(x) >> np.uint64(64 - _BITS)).astype(np.int64)
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+SHARD_BYTES = 1 << 20
 
 
 def _keys(words: np.ndarray, at: np.ndarray, depth: np.ndarray, window: int) -> np.ndarray:
@@ -46,74 +39,49 @@ def _keys(words: np.ndarray, at: np.ndarray, depth: np.ndarray, window: int) ->
 class Probes:
     """The suffixes of a block of items, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        """``items``: id and text."""
         self.window = window
+        #: The ids; in what follows an item is its place among them.
+        self.ids = sorted({i for i, _ in items})
+        place = {i: n for n, i in enumerate(self.ids)}
         data, at = text_bytes(pa.array([text for _, text in items], pa.string()))
         starts, ends, owner = word_spans(data, at, LETTERS)
-        hashes = word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        self.vocabulary = np.unique(hashes)
-        words = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.uint32)
+        self.hashes = word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
         count = np.bincount(owner, minlength=len(items))
         length = np.minimum(window, count)[owner]
-        left = (np.cumsum(count)[owner] - np.arange(len(words))) if len(words) else np.zeros(0, np.int64)
-        begin = np.flatnonzero(left >= length)  # a window begins here
-        self.at, self.length = begin, length[begin]
-        self.item = np.array([i for i, _ in items], dtype=np.int64)[owner[begin]]
-        self.keys = _keys(words, begin, self.length, window) if len(begin) else np.zeros(0, "S1")
-        high = [key.ljust(4 * int(n), b"\0") + b"\xff" * (4 * (window - int(n))) for key, n in zip(self.keys.tolist(), self.length)]
-        self.high = np.array(high, dtype=f"S{4 * window}") if high else self.keys
-        self.known = np.zeros(1 << _BITS, dtype=bool)
-        self.known[_slot(self.vocabulary)] = True
-        self.first, self.last = np.zeros(1 << _BITS, dtype=bool), np.zeros(1 << _BITS, dtype=bool)
-        if len(begin):
-            two = self.length > 1
-            second = np.where(two, words[np.minimum(begin + 1, len(words) - 1)], 0)
-            self.first[_slot(_pair(words[begin], second))] = True
-            whole = begin[self.length == window]
-            if window > 1:
-                self.last[_slot(_pair(words[whole + window - 2], words[whole + window - 1]))] = True
-        self.single, self.short = bool((self.length == 1).any()), bool((self.length < window).any())
-
-    def _ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Each word's number in the vocabulary, from 1; 0 for words that no item has."""
-        out = np.zeros(len(hashes), dtype=np.uint32)
-        maybe = np.flatnonzero(self.known[_slot(hashes)])
-        place = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
-        same = self.vocabulary[place] == hashes[maybe]
-        out[maybe[same]] = place[same] + 1
-        return out
+        left = np.cumsum(count)[owner] - np.arange(len(owner))
+        self.at = np.flatnonzero(left >= length)  # a window begins here
+        self.length = length[self.at]
+        self.item = np.array([place[i] for i, _ in items], dtype=np.int64)[owner[self.at]]
 
     def find(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word position and probe of every verbatim match in a shard."""
+        """Word position and window of every verbatim match in a shard."""
         none = np.zeros(0, dtype=np.int64)
-        if not len(hashes) or not len(self.keys):
+        if not len(hashes) or not len(self.at):
             return none, none
-        words, w = self._ids(hashes), self.window
-        # how many words from here on are known to the items and of the same text, up to a window
-        depth = np.zeros(len(words), dtype=np.int64)
-        breaks = np.flatnonzero(np.r_[True, (words[1:] == 0) | (words[:-1] == 0) | (owner[1:] != owner[:-1]), True])
-        depth = np.minimum(w, np.repeat(breaks[1:], np.diff(breaks)) - np.arange(len(words)))
-        after = np.r_[words[1:], np.uint32(0)]
-        begins = (words > 0) & (depth > 1) & self.first[_slot(_pair(words, after))]
-        if not self.short and w > 1:
-            begins &= depth == w
-            at = np.flatnonzero(begins)
-            at = at[self.last[_slot(_pair(words[at + w - 2], words[at + w - 1]))]]
-        else:
-            if self.single:
-                begins |= (words > 0) & self.first[_slot(_pair(words, np.zeros_like(words)))]
-            at = np.flatnonzero(begins)
-        if not len(at):
+        vocabulary, words = np.unique(hashes, return_inverse=True)
+        words = (words + 1).astype(np.uint32)
+        place = np.minimum(np.searchsorted(vocabulary, self.hashes), len(vocabulary) - 1)
+        known = vocabulary[place] == self.hashes
+        lacking = np.r_[0, np.cumsum(~known)]
+        sought = np.flatnonzero(lacking[self.at + self.length] == lacking[self.at])
+        if not len(sought):
             return none, none
-        keys = _keys(words, at, depth[at], w)
-        order = np.argsort(keys, kind="stable")
-        array, at = keys[order], at[order]  # the suffix array
-        low, high = np.searchsorted(array, self.keys, "left"), np.searchsorted(array, self.high, "right")
+        # the suffix array, and as many words of each suffix as a window has, within its own text
+        ends = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) + 1
+        depth = np.minimum(self.window, np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(words)))
+        keys = _keys(words, np.arange(len(words)), depth, self.window)
+        order = np.argsort(keys)
+        keys = keys[order]
+        size = self.length[sought]
+        wanted = _keys(np.where(known, place + 1, 0).astype(np.uint32), self.at[sought], size, self.window)
+        beyond = wanted.view(np.uint8).reshape(len(sought), -1).copy()
+        beyond[np.arange(4 * self.window) >= 4 * size[:, None]] = 255
+        low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, beyond.view(keys.dtype).ravel(), "right")
         n = np.maximum(0, high - low)
-        probe = np.repeat(np.arange(len(n)), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        at = at[place]
-        return at, probe
+        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return order[rank], np.repeat(sought, n)
 
     def longest(self, at: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each match the words of the run of matches that it begins, and itself; later ones of a run get 0."""
@@ -127,10 +95,7 @@ class Probes:
         return words, order
 
 
-_OUT = "n_words long, hits array<int>, items array<long>, longest int, longest_item long, longest_at int"
-
-
-def _search(probes: Probes):
+def _search(probes: Probes, item_type: pa.DataType, last: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SHARD_BYTES):
             rows = batch.num_rows
@@ -149,18 +114,15 @@ def _search(probes: Probes):
                 words, _ = probes.longest(at, probe)
                 text = owner[at]
                 for i in np.unique(of).tolist():
-                    own = hit[of == i] - begin[i]
-                    hits[i] = np.union1d(np.array(hits[i], dtype=np.int64), own).tolist()
+                    hits[i] = np.union1d(np.array(hits[i], dtype=np.int64), hit[of == i] - begin[i]).tolist()
                     mine = np.flatnonzero(text == i)
-                    items[i] = np.union1d(np.array(items[i], dtype=np.int64), probes.item[probe[mine]]).tolist()
+                    items[i] = sorted({*items[i], *(probes.ids[k] for k in np.unique(probes.item[probe[mine]]).tolist())})
                     top = mine[np.lexsort((at[mine], -words[mine]))[0]]
                     if words[top] > best[0][i]:
-                        best[0][i], best[1][i], best[2][i] = int(words[top]), int(probes.item[probe[top]]), int(at[top] - begin[i])
-            kept = [batch.column(c) for c in ("doc_id", "text")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64())), pa.array(best[0], pa.int32()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.int32())],
-                names=["doc_id", "text", "n_words", "hits", "items", "longest", "longest_item", "longest_at"],
-            )
+                        best[0][i], best[1][i], best[2][i] = int(words[top]), probes.ids[int(probes.item[probe[top]])], int(at[top] - begin[i])
+            kept = {c: batch.column(c) for c in (("doc_id",) if last else ("doc_id", "text"))}
+            found = [pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(item_type)), pa.array(best[0], pa.int32()), pa.array(best[1], item_type), pa.array(best[2], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*kept.values(), *found], names=[*kept, "n_words", "hits", "items", "longest", "longest_item", "longest_at"])
 
     return work
 
@@ -168,20 +130,23 @@ def _search(probes: Probes):
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """Verbatim benchmark passages in every document: one row per document.
 
-    Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased.  Returns ``doc_id, text, n_words,
+    Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased.  Returns ``doc_id, n_words,
     hits`` (positions of words inside a match, ascending), ``items`` (ids of items with a match, ascending), ``longest,
     longest_item, longest_at`` (words, item and first word of the longest match; 0 and null without one) and ``contaminated``.
 
     A null or empty text has no words.  Items with a null id or without words match nothing; items that share an id or a text
-    each count under their id.  Null and repeated document ids pass through row by row, an empty benchmark leaves all clean, and
-    other columns are not read.
+    each count under their id.  Ids may be of any type that can be ordered.  A text longer than a shard is a shard of its own.  Null
+    and repeated document ids pass through row by row, an empty benchmark leaves all clean, and other columns are not read.
     """
-    items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text_column).alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text_column).alias("text")).where("item_id is not null and text is not null")
     words = items.agg(F.sum(F.size(F.split("text", r"[^\p{Alnum}\P{ASCII}]+")))).first()[0] or 0
     blocks = max(1, -(-words // BLOCK_WORDS))
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<long>").alias("items"), F.lit(0).alias("longest"), F.lit(None).cast("long").alias("longest_item"), F.lit(None).cast("int").alias("longest_at"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    named = items.schema["item_id"].dataType
+    kind, item = docs.schema[id_column].dataType.simpleString(), named.simpleString()
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast(f"array<{item}>").alias("items"), F.lit(0).alias("longest"), F.lit(None).cast(item).alias("longest_item"), F.lit(None).cast("int").alias("longest_at"))
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        rows = rows.mapInArrow(_search(Probes([(r.item_id, r.text) for r in part], window)), f"doc_id {kind}, text string, {_OUT}")
+        last = block == blocks - 1
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_WORDS words
+        head = f"doc_id {kind}" if last else f"doc_id {kind}, text string"
+        rows = rows.mapInArrow(_search(Probes([(r.item_id, r.text) for r in part], window), to_arrow_type(named), last), f"{head}, n_words long, hits array<int>, items array<{item}>, longest int, longest_item {item}, longest_at int")
     return rows.withColumn("contaminated", F.size("hits") > 0)

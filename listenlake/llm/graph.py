@@ -22,6 +22,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a table that may be broadcast; a join with a larger one shuffles.
+BROADCAST_BYTES = 1 << 24
+
+
+def checked(small: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """A settled table of short rows, to be broadcast if all its rows fit in ``BROADCAST_BYTES``."""
+    return F.broadcast(small) if row_bytes * small.count() <= BROADCAST_BYTES else small
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node that occurs in ``links``; the component is the smallest node reachable.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.  A longer text makes a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -82,16 +82,23 @@ def word_spans(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(at, starts, side="right") - 1
 
 
-_powers = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
+_powers: list[np.ndarray] = []
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_MULTIPLIER, _INVERSE)):
-            steps = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _powers_to(n: int) -> list[np.ndarray]:
+    """The multiplier's powers and their inverses; only as many as a usual slice needs are kept."""
+
+    def made(size: int) -> list[np.ndarray]:
+        steps = [np.full(size, base, dtype=np.uint64) for base in (_MULTIPLIER, _INVERSE)]
+        for step in steps:
+            step[0] = 1
+        return [np.multiply.accumulate(step) for step in steps]
+
+    if n > SLICE_BYTES + 1:
+        return made(n)
+    if not _powers:
+        _powers.extend(made(SLICE_BYTES + 1))
+    return _powers
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
