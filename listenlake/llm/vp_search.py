@@ -5,7 +5,9 @@ the distances of all others to it, the nearer half inside, the others outside, d
 triangle inequality a half cannot hold anything closer than ``|d(query, vantage) - bound|``; it is skipped if ``factor`` times
 that gap exceeds the distance of the query's k-th best so far.  Factor 1 is exact; larger ones skip more.
 
-Queries travel in blocks: each shard meets each block once.  A shard returns at most k rows a query, which a second shuffle merges.
+Queries go down a tree together, a block at a time, so that each node costs a few matrix steps.  First every query searches one
+shard; the distance of its k-th best there travels with it to all other shards, where it prunes from the start.  The queries are a
+stated set: each block of them meets each shard once, and a shard returns at most k rows a query, which a second shuffle merges.
 """
 
 from __future__ import annotations
@@ -15,16 +17,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settled
+
 LEAF = 128
 #: Rows of a shard and queries of a block, on average.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 2048
+SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
-def _distances(columns: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Euclidean distances, summed coordinate by coordinate, so that the same in whatever batch a row stands."""
-    total = np.zeros(columns.shape[1])
-    for j in range(len(query)):
-        d = columns[j] - query[j]
+def _distances(columns: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all queries to all columns, summed coordinate by coordinate, so that the same in whatever block a row stands."""
+    total = np.zeros((queries.shape[1], columns.shape[1]))
+    for x, q in zip(columns, queries):
+        d = x[None, :] - q[:, None]
         total += d * d
     return np.sqrt(total)
 
@@ -33,7 +37,7 @@ class Tree:
     """A vantage-point tree over the rows of ``x``; ``ids`` break ties."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((*x.T[::-1], ids))
         self.ids, self.columns = ids[order], np.ascontiguousarray(x[order].T)
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(ids)))
@@ -45,38 +49,54 @@ class Tree:
             self.nodes[at] = (None, rows)
             return at
         vantage = rows[len(rows) // 2]
-        d = _distances(self.columns[:, rows], self.columns[:, vantage])
+        d = _distances(self.columns[:, rows], self.columns[:, [vantage]])[0]
         inner = np.zeros(len(rows), dtype=bool)
         inner[np.argpartition(d, len(rows) // 2)[: len(rows) // 2]] = True  # halves stay even when distances tie
         bounds = d[inner].min(), d[inner].max(), d[~inner].min(), d[~inner].max()
         self.nodes[at] = (vantage, bounds, self._build(rows[inner]), self._build(rows[~inner]))
         return at
 
-    def nearest(self, query: np.ndarray, own: int, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of the k nearest rows but ``own``, nearest first, ties to the smaller id."""
-        best_d, best_i = np.zeros(0), np.zeros(0, dtype=np.int64)
-        todo = [(0.0, self.root)]
-        while todo:
-            gap, at = todo.pop()
-            worst = best_d[-1] if len(best_d) == k else np.inf
-            if factor * gap > worst:
-                continue
-            node = self.nodes[at]
-            if node[0] is None:
-                rows = node[1]
-                d = _distances(self.columns[:, rows], query)
-                d, i = np.concatenate([best_d, d]), np.concatenate([best_i, self.ids[rows]])
-                fine = i != own
-                d, i = d[fine], i[fine]
-                order = np.lexsort((i, d))[:k]
-                best_d, best_i = d[order], i[order]
-                continue
-            vantage, (in_low, in_high, out_low, out_high), inside, outside = node
-            d = float(np.sqrt(((self.columns[:, vantage] - query) ** 2).sum()))
-            slack = 1e-12 * (d + out_high)  # more than rounding can add
-            gaps = [(max(gap, in_low - d - slack, d - in_high - slack), inside), (max(gap, out_low - d - slack, d - out_high - slack), outside)]
-            todo += sorted(gaps, key=lambda g: -g[0])  # the more promising half is taken first
-        return best_d, best_i
+
+class Block:
+    """Queries that search trees together: their vectors as columns, own ids, and the nearest rows found so far."""
+
+    def __init__(self, own: np.ndarray, x: np.ndarray, worst: np.ndarray, k: int, factor: float):
+        self.own, self.columns, self.worst, self.factor = own, np.ascontiguousarray(x.T), worst, factor
+        self.d, self.i = np.full((len(own), k), np.inf), np.full((len(own), k), np.iinfo(np.int64).max)
+
+    def search(self, tree: Tree) -> None:
+        if len(self.own):
+            self._visit(tree, tree.root, np.arange(len(self.own)), np.zeros(len(self.own)))
+
+    def _visit(self, tree: Tree, at: int, some: np.ndarray, gap: np.ndarray) -> None:
+        """The part of a tree below a node, for the queries that it may still help."""
+        open_ = self.factor * gap <= self.worst[some]
+        some, gap = some[open_], gap[open_]
+        if not len(some):
+            return
+        node = tree.nodes[at]
+        if node[0] is None:
+            self._leaf(tree, node[1], some)
+            return
+        vantage, (in_low, in_high, out_low, out_high), inside, outside = node
+        d = _distances(tree.columns[:, [vantage]], self.columns[:, some])[:, 0]
+        slack = 1e-12 * (d + out_high)  # more than rounding can add
+        gaps = [np.maximum(gap, np.maximum(low - d, d - high) - slack) for low, high in ((in_low, in_high), (out_low, out_high))]
+        nearer = gaps[0] <= gaps[1]  # the more promising half is taken first
+        for side, choice in ((inside, nearer), (outside, ~nearer), (outside, nearer), (inside, ~nearer)):
+            self._visit(tree, side, some[choice], gaps[0 if side == inside else 1][choice])
+
+    def _leaf(self, tree: Tree, rows: np.ndarray, some: np.ndarray) -> None:
+        d = _distances(tree.columns[:, rows], self.columns[:, some])
+        ids = np.broadcast_to(tree.ids[rows], d.shape)
+        d[ids == self.own[some][:, None]] = np.inf
+        better = np.flatnonzero(d.min(axis=1) <= self.worst[some])
+        some = some[better]
+        d, ids = np.concatenate([self.d[some], d[better]], axis=1), np.concatenate([self.i[some], ids[better]], axis=1)
+        k = self.d.shape[1]
+        order = np.lexsort((ids, d), axis=1)[:, :k]
+        self.d[some], self.i[some] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+        self.worst[some] = np.minimum(self.worst[some], self.d[some, -1])
 
 
 def usable(vector: Column) -> Column:
@@ -88,32 +108,46 @@ def usable(vector: Column) -> Column:
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows of each query by Euclidean distance, in double precision.
 
-    Returns ``query_id, rank`` (from 1)``, vec_id, score``; ties go to the smaller id, and a row with the query's own id is no
-    candidate.  With fewer than ``k`` candidates all are returned.  Vectors that are null, empty, zero, or hold a null or
-    non-finite component take no part, nor do null ids; vectors of different lengths are never compared.  Rows that repeat an
-    id count once, the first in vector order; repeated vectors under different ids each count.  Other columns are not read.
+    Returns ``query_id, rank`` (from 1)``, vec_id, score``; ties go to the smaller id, and rows with the query's own id are no
+    candidates.  With fewer than ``k`` candidates all are returned.  Vectors that are null, empty, zero, or hold a null or
+    non-finite component take no part, nor do null ids; ids are whole numbers, and vectors of different lengths are never compared.
+    Rows that repeat an id are candidates each; a query id is asked once, with the first of its vectors in vector order.
+    Empty tables give an empty one; other columns are not read.
     """
+
     def clean(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_column).cast("long").alias("id"), F.transform(vector_column, lambda v: v.cast("double")).alias("vector"))
-        return df.where(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"))
+        return df.where(F.col("id").isNotNull() & usable(F.col("vector")))
 
-    base, asked = clean(rows), clean(queries)
+    base = clean(rows)
+    asked = settled(clean(queries).groupBy("id").agg(F.min("vector").alias("vector")))
     shards = max(1, -(-base.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    base = base.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.select("id", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    base = base.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)))
+    asked = asked.withColumns({"home": F.pmod(F.xxhash64("id", F.lit(2)), F.lit(shards)), "block": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")})
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for size, group in left.groupby(left["vector"].map(len)) if len(left) else ():
             own = right[right["vector"].map(len) == size]
-            if len(own):
-                tree = Tree(group["id"].to_numpy(np.int64), np.array(group["vector"].tolist(), dtype=np.float64))
-                for query, vector in zip(own["id"].tolist(), own["vector"]):
-                    d, i = tree.nearest(np.asarray(vector, dtype=np.float64), query, k, factor)
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": i, "score": d}))
+            if not len(own):
+                continue
+            tree = Tree(group["id"].to_numpy(np.int64), np.array(group["vector"].tolist(), dtype=np.float64))
+            for start in range(0, len(own), BLOCK_QUERIES):
+                part = own.iloc[start : start + BLOCK_QUERIES]
+                block = Block(part["id"].to_numpy(np.int64), np.array(part["vector"].tolist(), dtype=np.float64), part["worst"].to_numpy(np.float64).copy(), k, factor)
+                block.search(tree)
+                found = np.isfinite(block.d)
+                out.append(pd.DataFrame({"query_id": np.repeat(block.own, found.sum(axis=1)), "vec_id": block.i[found], "score": block.d[found]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
-    found = base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    kind = "query_id long, vec_id long, score double"
+    first = asked.select("id", "vector", F.col("home").alias("shard"), F.lit(float("inf")).alias("worst"))
+    near = settled(base.groupBy("shard").cogroup(first.groupBy("shard")).applyInPandas(meet, kind))
+    reach = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("score")).otherwise(F.lit(float("inf"))).alias("worst"))
+    asked = asked.join(reach.withColumnRenamed("query_id", "id"), "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("shard <> home")
+    asked = asked.select("id", "vector", "shard", "block", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    dealt = base.select("id", "vector", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(meet, kind).unionByName(near)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
