@@ -4,12 +4,13 @@ The automaton starts as one state that loops on each of the 256 byte tokens.  Me
 merge gadget: for the merge ``u v -> w`` the state behind ``u`` loses its ``v`` arc, every state that still has a ``u`` arc gains
 a ``w`` arc, and ``w`` leads to a copy of the state behind ``v``.  States are therefore named by the token that leads to them,
 and what a gadget changes is stated by three numbers: ``u``, ``v`` and the rank at which ``w`` came into being.  Writing
-every arc out would take 50,000 by 50,000 cells; the compiled tables hold the gadgets, and an arc is looked up by walking the
-gadgets that copied it (``_open``), each answer being kept in a transition table.
+every arc out would take 50,000 by 50,000 cells; the compiled tables hold the gadgets, and whether an arc survived is decided by
+walking the gadgets that copied it (``_open``), once, the answer being kept in the transition table.
 
 A sequence of tokens is a path through the automaton exactly if it is the encoding of the bytes it spells, and each prefix of
-a word has one such path.  Encoding walks a word from the left and keeps the state behind each prefix: one look-up for each
-token that ends there.  Decoding emits the bytes on the arcs.
+a word has one such path.  Encoding reads a word once, byte by byte, through a deterministic automaton of all arc labels, whose states
+say which tokens end at a byte; of these the one with an arc from the state behind the prefix before it is taken.  Decoding
+emits the bytes on the arcs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -48,8 +50,6 @@ class Automaton:
         #: Strings that are one token wherever they stand in a text.
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.label = {i: bytes(letters[c] for c in token) for token, i in ids.items()}
-        self.arcs = {label: i for i, label in self.label.items()}
-        self.longest = max(map(len, self.arcs))
         self.gadget: dict[int, tuple[int, int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
         for k, merge in enumerate(model["merges"]):
@@ -58,6 +58,12 @@ class Automaton:
             self.rank.setdefault((u, v), k)
             self.gadget.setdefault(w, (u, v, k))
         self.transitions: dict[tuple[int, int], bool] = {}
+        #: Every label that can be built, a character for a byte, and the tokens that end at each byte of a word, longest first.
+        self.ending = ahocorasick.Automaton()
+        for i, label in self.label.items():
+            if len(label) == 1 or i in self.gadget:
+                self.ending.add_word(label.decode("latin-1"), (i, len(label)))
+        self.ending.make_automaton()
         self.label |= {i: content.encode() for content, i in self.added.items()}
 
     def _open(self, state: int, token: int) -> bool:
@@ -83,32 +89,30 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Token ids of one pre-token."""
-        whole = self.arcs.get(word)
-        behind: list[int] = []  # the last token of the encoding of each prefix
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.arcs.get(word[start:end])
-                if token is None or (start == 0 and token != whole and not self._builds(token)):
+        behind = [0] * len(word)  # the last token of the encoding of each prefix
+        size = [0] * len(word)
+        known, step = self.transitions.get, self._step
+        for end, (token, length) in self.ending.iter(word.decode("latin-1")):
+            if size[end]:
+                continue
+            before = end - length
+            if before >= 0:
+                pair = (behind[before], token)
+                arc = known(pair)
+                if not (step(pair) if arc is None else arc):
                     continue
-                if start == 0 or self._step(behind[start - 1], token):
-                    behind.append(token)
-                    break
-        out, end = [], len(word)
-        while end:
-            out.append(behind[end - 1])
-            end -= len(self.label[behind[end - 1]])
+            behind[end], size[end] = token, length
+        out, end = [], len(word) - 1
+        while end >= 0:
+            out.append(behind[end])
+            end -= size[end]
         return out[::-1]
 
-    def _builds(self, token: int) -> bool:
-        return len(self.label[token]) == 1 or token in self.gadget
-
-    def _step(self, state: int, token: int) -> bool:
-        known = self.transitions.get((state, token))
-        if known is None:
-            if len(self.transitions) >= 4 * REMEMBERED:
-                self.transitions.clear()
-            known = self.transitions[state, token] = self._builds(token) and self._open(state, token)
-        return known
+    def _step(self, pair: tuple[int, int]) -> bool:
+        if len(self.transitions) >= 4 * REMEMBERED:
+            self.transitions.clear()
+        arc = self.transitions[pair] = self._open(*pair)
+        return arc
 
     def decode(self, ids: list[int]) -> str:
         """The text that the arcs spell; bytes that are no UTF-8 become U+FFFD."""

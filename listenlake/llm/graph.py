@@ -31,6 +31,16 @@ def checked(small: DataFrame, row_bytes: int = 16) -> DataFrame:
     return F.broadcast(small) if row_bytes * small.count() <= BROADCAST_BYTES else small
 
 
+def starred(crowd: DataFrame) -> DataFrame:
+    """``head, id`` for the members ``key, id`` of large buckets: of each bucket, the member that is in most of them is the head.
+
+    Copies with a few changes each share buckets with their origin more than with one another, so that one head serves most of them.
+    """
+    central = settled(crowd.groupBy("id").agg(F.count("*").alias("n")))
+    heads = settled(crowd.join(central, "id").groupBy("key").agg(F.max(F.struct("n", "id")).alias("top")).select("key", F.col("top.id").alias("head")))
+    return settled(crowd.join(heads, "key").select("head", "id").distinct())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node that occurs in ``links``; the component is the smallest node reachable.
 

@@ -4,10 +4,12 @@ Every document gets a signature of 64 coordinates, each the smallest of its shin
 Jaccard similarity s agree in a coordinate with probability s, so a pair at the threshold agrees in far more than ``T`` of
 them.  Documents are posted under each (coordinate, value) pair.  As a pair that agrees in ``T`` of ``K`` coordinates must
 share one of any ``K - T + 1`` taken in a common order, only that many of a document's postings, the rarest first, are read
-(the prefix); postings that hold one document are never read (the skip).  The pairs that meet are confirmed on full sets.
+(the prefix); postings that hold one document are never read (the skip).  For the pairs that meet, the coordinates that collide are
+counted; those with ``T`` or more are retained, and confirmed on full sets.
 
-Documents with one and the same set are one class from the start, so exact copies cost one row each.  Long posting lists are
-compared block against block inside tasks, which return a spanning forest of the links found: no list is expanded into rows.
+Documents with one and the same set are one class from the start, so exact copies cost one row each.  No long posting list is expanded
+into pairs: its members are first compared with one head, and only lists that are then still in several components are compared block
+against block inside tasks, which return a spanning forest of the links found.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, settled
+from .graph import checked, components, settled, starred
 from .textops import NOT_SPACE, mix, shingles, slices, text_bytes, word_hashes, word_spans
 
 COORDINATES = 64
@@ -159,23 +161,39 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     read = settled(read)
     sizes = read.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = settled(read.join(sizes, "key"))
-    wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
-    sets = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, set array<long>"))
-
-    short = lists.where(F.col("m") <= LONG_LIST)
+    short, long = lists.where(F.col("m") <= LONG_LIST), lists.where(F.col("m") > LONG_LIST)
     x, y = short.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("na")), short.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"))
     fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = x.join(y, "key").where(fits).select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xset")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("yset")), "b")
-    confirmed = pairs.select("a", "b", "xset", "yset").mapInArrow(_confirm(percent), "a long, b long")
-
-    long = lists.where(F.col("m") > LONG_LIST).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    long = long.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    parts = long.select("key", "rep", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    parts = parts.select("rep", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    joined = parts.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    blocked = joined.groupBy("key", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(_block_links(percent)(iter(t.select(["rep", "set"]).to_batches()))), "a long, b long")
-    return confirmed.unionByName(blocked)
+    large = starred(long.select("key", F.col("rep").alias("id")))
+    stars = large.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    met = settled(x.join(y, "key").where(fits).select("a", "b").unionByName(stars).distinct())
+    sig = classes.select("rep", "sig")
+    counted = met.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    collisions = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda same: same))
+    pairs = settled(counted.where(collisions >= matches(percent)).select("a", "b"))
+
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xset")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("yset")), "b")
+    links = settled(both.select("a", "b", "xset", "yset").mapInArrow(_confirm(percent), "a long, b long"))
+
+    # long lists of one head overlap widely and are taken together
+    found = components(links).withColumnRenamed("node", "id")
+    apart = settled(large.join(found, "id", "left").select("head", "id", F.coalesce("component", "id").alias("component")))
+    open_ = settled(apart.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low < high"))
+    if open_.isEmpty():
+        return links
+    left = settled(apart.join(open_.select("head", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "head").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    parts = left.select("head", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    parts = parts.select(F.col("id").alias("rep"), "head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    joined = parts.join(_sets_of(docs, left.select(F.col("id").alias("doc_id")), width).withColumnRenamed("doc_id", "rep"), "rep")
+    blocked = joined.groupBy("head", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(_block_links(percent)(iter(t.select(["rep", "set"]).to_batches()))), "a long, b long")
+    return links.unionByName(blocked)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``doc_id, set``: the whole shingle sets of some documents."""
+    wanted = checked(settled(wanted.distinct()))
+    return settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, set array<long>"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -185,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     are pairs with ``100 * intersection >= percent * union`` on whole sets; groups are their connected components.
 
     Returns ``doc_id, n_shingles, component_id, kept``.  A null or empty text has no shingles and is linked with nothing, even
-    with another empty one.  Rows that repeat a whole text are linked; rows that repeat an id are that id's rows, each
+    with another empty one.  Ids are whole numbers.  Rows that repeat a whole text are linked; rows that repeat an id are that id's rows, each
     returned.  A null id stays null: such a row takes no part and is its own kept group.  Other columns are not read.
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
