@@ -222,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return ToxicityModel(cues, np.r_[np.zeros(len(cues.hash)), -4.0], {})
     mask = np.array([r.mask for r in seen])
     posterior, label = label_model(mask, np.array([float(r.n) for r in seen]))
-    train = examples.select("text").mapInArrow(matched, "mask long, cues array<int>, numbers array<int>").orderBy("mask", "cues", "numbers").toPandas()  # at most LABELLED_ROWS rows
+    train = examples.select("text").mapInArrow(matched, "mask long, cues array<int>, numbers array<int>").toPandas()  # at most LABELLED_ROWS rows
+    train = train.iloc[sorted(range(len(train)), key=lambda i: (train["mask"].iat[i], tuple(train["cues"].iat[i]), tuple(train["numbers"].iat[i])))]  # in one order whatever the partitions
     target = posterior[np.minimum(np.searchsorted(mask, train["mask"].to_numpy(np.int64)), len(mask) - 1)]
     row = np.repeat(np.arange(len(train)), train["cues"].map(len).to_numpy(np.int64) if len(train) else 0)
     flat = [np.concatenate([*train[c], np.zeros(0, np.int64)]).astype(np.int64) for c in ("cues", "numbers")]
