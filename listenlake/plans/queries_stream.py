@@ -106,7 +106,14 @@ def clean_page_text(v: Views) -> DataFrame:
     return generators.clean_page_text(_pages(v).withColumn("text", F.concat(F.lit("```text\nR E A D  M E\n"), "text", F.lit("\n```"))))
 
 
-@query(None)
+@query(
+    """select document_id, pos, -1 as at, block_id as construct_id, case when pos % 5 = 0 then 'math-block' else 'code-block' end as kind, text as source from blocks where pos % 5 in (0, 2)
+ union all select document_id, pos, 0, block_id || ':r0', 'table-row', replace(text, ' ', ', ') from blocks where pos % 5 = 1
+ union all select document_id, pos, 1, block_id || ':r1', 'table-row', replace(text, '.', ', ') from blocks where pos % 5 = 1
+ union all select document_id, pos, 0, block_id || ':m0', 'math-inline', text from blocks where pos % 5 > 2 and pos % 2 = 0
+ union all select document_id, pos, 0, block_id || ':img0', 'image', left(text, 20) from blocks where pos % 5 > 2 and pos % 2 = 1 and trim(left(text, 20)) <> ''""",
+    "blocks",
+)
 def construct_inventory(v: Views) -> DataFrame:
     kind = F.when(F.col("pos") % 5 == 0, "math").when(F.col("pos") % 5 == 1, "table").when(F.col("pos") % 5 == 2, "code").otherwise("paragraph")
     cells = F.when(kind == "table", F.array(F.split("text", " "), F.split("text", "\\.")))
@@ -128,13 +135,20 @@ def image_budget(v: Views) -> DataFrame:
     return windows.image_budget(images)
 
 
-@query(None)
+@query(
+    """select document_id, pos as image_no, cast(2000 * strlen(left(text, 3)) as bigint) as bytes, count(*) over (partition by document_id, left(text, 3)) as repeats, count(*) over (partition by document_id, left(text, 3)) >= 3 or 2000 * strlen(left(text, 3)) < 4096 as decoration from blocks""",
+    "blocks",
+)
 def repeated_images(v: Views) -> DataFrame:
     images = v.blocks.select("document_id", F.col("pos").alias("image_no"), F.repeat(F.left("text", F.lit(3)), F.lit(2000)).cast("binary").alias("content"))
     return aggregates.repeated_images(images)
 
 
-@query(None)
+@query(
+    """select document_id, count(*) as unreadable, count(*) filter (where got) as recognized, count(*) filter (where got and native_chars < 40) as replaced, count(*) filter (where not got) as left_out from
+ (select document_id, length(text) as native_chars, page % 2 = 1 and trim(text) <> '' as got from (select document_id, page, string_agg(text, chr(10) order by pos) as text from blocks group by document_id, page) where length(text) < 3000 and page % 3 <> 1) group by document_id""",
+    "blocks",
+)
 def ocr_outcome(v: Views) -> DataFrame:
     pages = _pages(v).withColumn("native_chars", F.length("text"))
     reason = F.when(F.col("page") % 3 == 0, "scanned").when(F.col("page") % 3 == 1, "sparse-text").otherwise("garbled")
