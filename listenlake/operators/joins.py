@@ -272,7 +272,7 @@ def reconcile_narrations(constructs: DataFrame, entries: DataFrame, prompts: Dat
     ``constructs``: ``document_id, ord, construct_id, kind, source_hash``; ``entries``: ``document_id, construct_id, kind, status,
     source_hash, prompt_version, prompt_hash, origin``; ``prompts``: ``kind, prompt_hash``.
     """
-    current = entries.join(F.broadcast(prompts.withColumnRenamed("prompt_hash", "now")), "kind", "left")
+    current = entries.join(prompts.withColumnRenamed("prompt_hash", "now"), "kind", "left")
     good = (F.col("origin") == "manual") | ((F.col("prompt_version") == prompt_version) & F.col("prompt_hash").eqNullSafe(F.col("now")))
     current = current.withColumn("good", F.coalesce(good, F.lit(False)) & (F.col("status") == "ready"))
     own = current.select("document_id", "construct_id", F.col("source_hash").alias("h"), F.col("status").alias("st"), F.col("good").alias("own_good"))

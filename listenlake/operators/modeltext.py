@@ -76,7 +76,7 @@ def narration_requests(constructs: DataFrame, templates: DataFrame, params: Data
     With a budget of 0 there is nothing to ask and the entry is settled.  ``constructs``: ``document_id, construct_id, kind, source,
     header, context``; ``templates``: ``kind, template``; ``params``: see ``budgets``.
     """
-    rows = constructs.join(F.broadcast(templates), "kind", "left").join(F.broadcast(params), "kind", "left")
+    rows = constructs.join(templates, "kind", "left").join(params, "kind", "left")
     long = F.col("kind").isin("mermaid", "code-block") & (F.length("source") > most)
     tail = F.when(F.col("kind") == "mermaid", "\n%% diagram continues").otherwise("\n… snippet continues")
     source = F.when(long, F.concat(F.left("source", F.lit(most)), tail)).otherwise(F.col("source"))

@@ -93,6 +93,35 @@ def stream_listened(v: Views) -> DataFrame:
     return rows.select("document_id", "segment_id", F.round("r.start_s", 6).alias("start_s"), F.round("r.end_s", 6).alias("end_s"))
 
 
+# --- tables that are written, merged and streamed back
+
+
+@query("select doc_id as document_id, n_chars + case when lang = 'en' then 1 else 0 end as n_chars, lang as language from documents")
+def write_corpus(v: Views) -> DataFrame:
+    path = f"{_shared(v.spark)}/corpus"
+    rows = v.documents.select("document_id", "n_chars", F.col("lang").alias("language"))
+    library.write_corpus(rows, path, "language")
+    library.write_corpus(rows.where("language = 'en'").withColumn("n_chars", F.col("n_chars") + 1), path, "language")
+    return v.spark.read.schema(rows.schema).parquet(path)
+
+
+@query("select document_id, max(event_ts) as updated_at from listen_events group by document_id", "listen_events")
+def upsert_latest(v: Views) -> DataFrame:
+    path = f"{_shared(v.spark)}/latest"
+    rows = v.listen_events.select("document_id", F.col("event_ts").alias("updated_at"), (F.substring("segment_id", 2, 9).cast("int") % 2).alias("half"))
+    for half in (0, 1):
+        library.upsert_latest(rows.where(F.col("half") == half).drop("half"), path)
+    return library.read_latest(v.spark, path).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query("select document_id, segment_id, count(*) as n_events, min(start_s) as first_s, max(end_s) as last_s from listen_events group by document_id, segment_id", "listen_events")
+def read_listen_stream(v: Views) -> DataFrame:
+    folder = _shared(v.spark)
+    v.listen_events.select(*(F.col(f.name).cast(f.dataType) for f in library.LISTEN_EVENTS)).write.parquet(f"{folder}/in")
+    rows = _drained(library.read_listen_stream(v.spark, f"{folder}/in"))
+    return rows.groupBy("document_id", "segment_id").agg(F.count("*").alias("n_events"), F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"))
+
+
 # --- operators whose rules SQL does not express, over the tables
 
 
@@ -156,7 +185,16 @@ def ocr_outcome(v: Views) -> DataFrame:
     return aggregates.ocr_outcome(stats, pages.where("page % 2 = 1").select("document_id", "page", "text"))
 
 
-@query(None)
+@query(
+    """select * from (with c as (select document_id, pos as ord, block_id as construct_id, case when pos % 2 = 0 then 'image' else 'table-row' end as kind, sha256(text) as source_hash from blocks),
+ e as (select document_id, case when ord % 8 = 1 then construct_id || 'x' else construct_id end as construct_id, kind, source_hash, ord % 9 = 8 as failed, ord % 9 <> 8 and (ord % 5 = 0 or (ord % 2 = 0 and kind = 'image')) as good from c where ord % 4 <> 3),
+ r as (select c.*, coalesce(e.good and e.source_hash = c.source_hash, false) as exact, coalesce(e.failed and e.source_hash = c.source_hash, false) as failed from c left join e on e.document_id = c.document_id and e.construct_id = c.construct_id),
+ s as (select document_id, source_hash, kind, max(construct_id) as spare from e where good group by document_id, source_hash, kind),
+ w as (select r.*, s.spare, row_number() over (partition by r.document_id, r.source_hash, r.kind, r.exact order by ord) = 1 as first_one from r left join s on s.document_id = r.document_id and s.source_hash = r.source_hash and s.kind = r.kind),
+ x as (select w.*, w.exact or (not w.failed and first_one and spare is not null and t.document_id is null) as ready from w left join (select document_id, construct_id from r where exact) t on t.document_id = w.document_id and t.construct_id = w.spare)
+ select document_id, construct_id, case when ready then 'ready' when failed then 'failed' else 'pending' end as status, not ready as queued from x)""",
+    "blocks",
+)
 def reconcile_narrations(v: Views) -> DataFrame:
     constructs = v.blocks.select("document_id", F.col("pos").alias("ord"), F.col("block_id").alias("construct_id"), F.when(F.col("pos") % 2 == 0, "image").otherwise("table-row").alias("kind"), F.sha2("text", 256).alias("source_hash"))
     known = constructs.where("ord % 4 <> 3")

@@ -34,19 +34,19 @@ def timeline(v: Views) -> DataFrame:
 _LENGTHS = "select document_id, 's' || seg_idx as segment_id, est_duration as d from timed"
 
 
-@query(
-    f"""select document_id, round(coalesce(heard_s, 0), 6) as heard_s, round(total_s, 6) as total_s, round(coalesce(heard_s, 0) / total_s, 6) as share from (select document_id, sum(d) as total_s from ({_LENGTHS}) group by document_id)
- left join (select document_id, sum(least(d, end_s) - least(d, start_s)) as heard_s from merged join ({_LENGTHS}) using (document_id, segment_id) group by document_id) using (document_id)""",
-    "timed",
-    "merged",
-)
+_LISTENED = f"""select document_id, round(coalesce(heard_s, 0), 6) as heard_s, round(total_s, 6) as total_s, round(coalesce(heard_s, 0) / total_s, 6) as share from (select document_id, sum(d) as total_s from ({_LENGTHS}) group by document_id)
+ left join (select document_id, sum(least(d, end_s) - least(d, start_s)) as heard_s from merged join ({_LENGTHS}) using (document_id, segment_id) group by document_id) using (document_id)"""
+_MINUTES = "select document_id, greatest(1, cast(floor(sum(est_duration) / 60 + 0.5) as bigint)) as minutes from timed group by document_id"
+
+
+@query(_LISTENED, "timed", "merged")
 def listened_progress(v: Views) -> DataFrame:
     segs = _timed(v).withColumn("segment_id", F.concat(F.lit("s"), F.col("seg_idx").cast("string")))
     found = aggregates.listened_progress(windows.merge_ranges(v.listen_events), segs)
     return found.select("document_id", _r("heard_s"), _r("total_s"), _r("share"))
 
 
-@query("select document_id, greatest(1, cast(floor(sum(est_duration) / 60 + 0.5) as bigint)) as minutes from timed group by document_id", "timed")
+@query(_MINUTES, "timed")
 def reading_minutes(v: Views) -> DataFrame:
     return aggregates.reading_minutes(_timed(v))
 
@@ -74,11 +74,11 @@ def estimate_word_timing(v: Views) -> DataFrame:
 
 @query(
     """select w.document_id, w.seg_idx, word_idx, round(start_c / 10.0, 6) as start_s, round((start_c + length(word)) / 10.0, 6) as end_s from (select document_id, seg_idx, word_idx, word, coalesce(sum(length(word) + 1) over (partition by document_id, seg_idx order by word_idx rows between unbounded preceding and 1 preceding), 0) as start_c
- from (select document_id, seg_idx, generate_subscripts(w, 1) - 1 as word_idx, unnest(w) as word from (select document_id, seg_idx, regexp_extract_all(text, '[\\p{L}\\p{N}]+') as w from segments where seg_idx < 3))) w""",
+ from (select document_id, seg_idx, generate_subscripts(w, 1) - 1 as word_idx, unnest(w) as word from (select document_id, seg_idx, regexp_extract_all(text, '[\\p{L}\\p{N}]+') as w from segments))) w""",
     "segments",
 )
 def word_timing_from_chars(v: Views) -> DataFrame:
-    segs = v.segments.where("seg_idx < 3").select("document_id", "seg_idx", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+    segs = v.segments.select("document_id", "seg_idx", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
     starts = F.transform("w", lambda x, i: F.struct(i.alias("word_idx"), F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y) + 1).alias("start"), F.length(x).alias("n")))
     words = segs.select("document_id", "seg_idx", F.explode(starts).alias("x")).select("document_id", "seg_idx", "x.word_idx", "x.start", (F.col("x.start") + F.col("x.n")).alias("end"))
     chars = words.select("document_id", "seg_idx", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("char_pos"))
@@ -180,11 +180,11 @@ def context_window(v: Views) -> DataFrame:
 
 @query(
     """select document_id, selection_id, case when length(b) > 300 then regexp_replace(right(b, 300), '^\\S+\\s', '') else b end as before, case when length(a) > 100 then regexp_replace(left(a, 100), '\\s\\S*$', '') else a end as after from (select s.document_id, selection_id, coalesce(string_agg(text, chr(10) order by pos) filter (where pos <= sp), '') as b, coalesce(string_agg(text, chr(10) order by pos) filter (where pos > sp + 1), '') as a
- from (select document_id, block_id as selection_id, pos as sp from blocks where pos % 6 = 2) s join blocks b on b.document_id = s.document_id group by s.document_id, selection_id)""",
+ from (select document_id, block_id as selection_id, pos as sp from blocks) s join blocks b on b.document_id = s.document_id group by s.document_id, selection_id)""",
     "blocks",
 )
 def explain_context(v: Views) -> DataFrame:
-    picked = v.blocks.where("pos % 6 = 2").select("document_id", F.col("block_id").alias("selection_id"), F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"))
+    picked = v.blocks.select("document_id", F.col("block_id").alias("selection_id"), F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"))
     return windows.explain_context(v.blocks, picked, before=300, after=100)
 
 
@@ -299,11 +299,11 @@ def _new(v: Views) -> DataFrame:
 
 @query(
     f"""select p.document_id, p.segment_id as pointer_id, coalesce(case when i.text = p.text then i.segment_id end, (select arg_min(n.segment_id, n.seg_idx) from ({_NEW}) n where n.document_id = p.document_id and n.text = p.text), (select arg_min(n.segment_id, n.seg_idx) from ({_NEW}) n where n.document_id = p.document_id and contains(lower(n.text), lower(p.text)))) as segment_id
- from segments p left join ({_NEW}) i on i.document_id = p.document_id and i.segment_id = p.segment_id where p.seg_idx % 5 = 0""",
+ from segments p left join ({_NEW}) i on i.document_id = p.document_id and i.segment_id = p.segment_id""",
     "segments",
 )
 def migrate_segment(v: Views) -> DataFrame:
-    pointers = v.segments.where("seg_idx % 5 = 0").select("document_id", F.col("segment_id").alias("pointer_id"), "segment_id", F.col("text").alias("excerpt"))
+    pointers = v.segments.select("document_id", F.col("segment_id").alias("pointer_id"), "segment_id", F.col("text").alias("excerpt"))
     return joins.migrate_segment(pointers, v.segments, _new(v))
 
 
@@ -324,10 +324,11 @@ def cached_progress(v: Views) -> DataFrame:
     return aggregates.cached_progress(_short(v), v.audio_variants).select("document_id", _r("share"))
 
 
-@query(f"select document_id from (select *, exists (select 1 from audio_variants a where a.document_id = s.document_id and a.segment_id = s.segment_id) as cached from ({_SHORT}) s where seg_idx between 1 and 3) group by document_id having coalesce(sum(case when cached then est_duration end), 0) / sum(est_duration) >= 0.9999 and not bool_or(document_id % 5 = 0)", "timed", "audio_variants")
+@query(f"select document_id from (select *, document_id % 3 = 0 or seg_idx % 4 = 1 or exists (select 1 from audio_variants a where a.document_id = s.document_id and a.segment_id = s.segment_id) as cached from ({_SHORT}) s) group by document_id having coalesce(sum(case when cached then est_duration end), 0) / sum(est_duration) >= 0.9999 and not bool_or(document_id % 5 = 0)", "timed", "audio_variants")
 def prepared_gate(v: Views) -> DataFrame:
-    segs = _short(v).where("seg_idx between 1 and 3").withColumn("pending", F.col("document_id") % 5 == 0)
-    return aggregates.prepared_gate(segs, v.audio_variants)
+    segs = _short(v).withColumn("pending", F.col("document_id") % 5 == 0)
+    made = segs.where("document_id % 3 = 0 or seg_idx % 4 = 1").select("document_id", "segment_id")
+    return aggregates.prepared_gate(segs, v.audio_variants.select("document_id", "segment_id").unionByName(made))
 
 
 @query(f"select a.* from audio_variants a where exists (select 1 from (select document_id, 's' || seg_idx as segment_id, seg_idx, text from segments) o left join (select document_id, 's' || seg_idx as segment_id, text from ({_NEW})) n using (document_id, segment_id) where o.document_id = a.document_id and o.segment_id = a.segment_id and o.text is distinct from n.text)", "segments", "audio_variants")
@@ -570,7 +571,15 @@ def assistant_pack(v: Views) -> DataFrame:
 # --- the flagship
 
 
-@query(None)
+@query(
+    f"""select l.document_id, title, minutes, share, round(cast(progress as double), 6) as progress, p.segment_id as "at" from library l join ({_MINUTES}) using (document_id) join ({_LISTENED}) using (document_id) join ({_PROGRESS}) using (document_id)
+ left join playback p on p.document_id = l.document_id and p.updated_at >= l.updated_at""",
+    "library",
+    "timed",
+    "merged",
+    "segments",
+    "playback",
+)
 def listening_report(v: Views) -> DataFrame:
     """For each document: minutes of listening, share already heard, and where the listener is."""
     segs = _short(v)

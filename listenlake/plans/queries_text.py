@@ -81,13 +81,17 @@ def title_search(v: Views) -> DataFrame:
     return predicates.title_search(v.library, " SRC1 ").select("document_id", "title")
 
 
+_OTHER = "".join(rf"\p{{{s}}}" for s in predicates.NON_LATIN_SCRIPTS)
+
+
 @query(
-    """select doc_id as document_id, case when length(text) < 24 then true when lang <> 'en' then true else list_unique(regexp_extract_all(lower(text), '\\b(the|and|of|to|in|is|that|with|for|as|are|by|this|it|from|its)\\b')) >= 2 end as plausible
- from (select doc_id, trim(text) as text, lang from documents where not regexp_matches(text, '[\\p{Cyrillic}\\p{Greek}\\p{Hebrew}\\p{Arabic}\\p{Devanagari}\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}]'))"""
+    rf"""select document_id, case when length(text) < 24 then true when other + latin >= 20 and case when foreign_tag then other / (other + latin) < 0.5 else other / (other + latin) > 0.2 end then false when lang <> 'en' then true
+ else list_unique(regexp_extract_all(lower(text), '\b({"|".join(predicates.ENGLISH_CONNECTIVES)})\b')) >= 2 end as plausible
+ from (select document_id, text, lang, length(regexp_replace(text, '[^{_OTHER}]', '', 'g')) as other, length(regexp_replace(text, '[^\p{{Latin}}]', '', 'g')) as latin, regexp_matches(lang, '^({"|".join(predicates.NON_LATIN_LANGUAGES)})\b') as foreign_tag
+ from (select doc_id as document_id, trim(text) as text, coalesce(lower(lang), 'en') as lang from documents))"""
 )
 def language_gate(v: Views) -> DataFrame:
-    docs = v.documents.where(~F.col("text").rlike("|".join(rf"\p{{Is{s}}}" for s in predicates.NON_LATIN_SCRIPTS)))
-    return predicates.language_gate(docs.withColumn("text", F.trim("text")), language="lang").select("document_id", "plausible")
+    return predicates.language_gate(v.documents.withColumn("text", F.trim("text")), language="lang").select("document_id", "plausible")
 
 
 _TITLED = "case pos % 18 when 0 then '2. References' when 6 then 'Notes:' else text end"
