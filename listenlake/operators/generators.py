@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -71,33 +74,38 @@ def sentences(blocks: DataFrame) -> DataFrame:
     )
 
 
+#: Where a long passage may be cut, and the share of the budget that a piece must fill to end there (fixed values).
+_PAUSE, FILLED = regex.compile(r"[;,] | — "), 0.55
+
+
+def piece_starts(text: str, most: int, spans: list[tuple[int, int]]) -> list[int]:
+    """Where the pieces of a long passage begin.
+
+    All pauses outside protected spans are listed once, by the place where they end; a piece is cut behind the first character of the
+    last one that ends within its budget, if that fills enough of it.  Else it is cut at its budget, or at the edge of the span there.
+    """
+    pauses = [(m.end(), m.start() + 1) for m in _PAUSE.finditer(text, overlapped=True) if not any(a <= m.start() < b - 1 for a, b in spans)]
+    starts = [0]
+    while starts[-1] + most < len(text):
+        begin = starts[-1]
+        budget = begin + most
+        last = bisect_right(pauses, (budget, len(text))) - 1
+        cut = pauses[last][1] if last >= 0 else 0
+        if cut - begin - 1 <= FILLED * most:
+            around = [span for span in spans if span[0] < budget < span[1]][:1]
+            cut = next((a if a > begin else b for a, b in around), budget)
+        starts.append(min(cut, len(text)))
+    return [at for at in starts if at < len(text)]
+
+
 @F.udtf(returnType="part int, text string, start int")
 class SplitLong:
-    """Pieces of one long passage: cut after the last ``;``, ``,`` or dash in the second half of the budget, else hard, and
-    never inside a protected span."""
+    """Pieces of one long passage, none of which begins inside a protected span."""
 
     def eval(self, text: str, most: int, spans: list):
-        protected = [(s["start"], s["end"]) for s in spans or ()]
-
-        def within(at: int):
-            return next(((a, b) for a, b in protected if a < at < b), None)
-
-        cursor, part = 0, 0
-        while cursor < len(text):
-            end = min(cursor + most, len(text))
-            if end < len(text):
-                at = -1
-                for token in ("; ", ", ", " — "):
-                    i = text.rfind(token, cursor, end)
-                    while i >= 0 and within(i + 1):
-                        i = text.rfind(token, cursor, i + len(token) - 1)
-                    at = max(at, i - cursor if i >= 0 else -1)
-                if at > most * 0.55:
-                    end = cursor + at + 1
-                elif span := within(end):
-                    end = span[0] if span[0] > cursor else min(span[1], len(text))
-            yield part, text[cursor:end], cursor
-            cursor, part = end, part + 1
+        starts = piece_starts(text, most, [(s["start"], s["end"]) for s in spans or ()])
+        for part, (begin, end) in enumerate(zip(starts, [*starts[1:], len(text)])):
+            yield part, text[begin:end], begin
 
 
 def split_long(passages: DataFrame, most: int = PASSAGE_CHARS) -> DataFrame:
@@ -231,25 +239,28 @@ FOCUSED = (Rule("pointer", r"\([^()]*\)", lambda m: "" if _SEE.search(m[0]) or _
 MODES = {"verbatim": VERBATIM, "natural": NATURAL, "focused": FOCUSED}
 
 
-def speak(text: str, rules: list[tuple[regex.Pattern, Rule]]) -> dict:
-    """The spoken form of one passage and, for each spoken word, the place on the page that it stands for."""
-    hits = sorted(((m.start(), k, m.end(), said) for k, (pattern, rule) in enumerate(rules) for m in pattern.finditer(text) if (said := rule.spoken(m)) is not None), key=lambda h: h[:2])
-    pieces, spans, cursor = [], [], 0
+#: Blanks in front of punctuation that ends a word.
+_LOOSE = regex.compile(r"\s+(?=[.,;:!?](?:\s|$))")
+_compiled = lru_cache(maxsize=256)(regex.compile)
 
-    def plain(upto: int) -> None:
-        pieces.append(text[cursor:upto])
-        spans.extend({"text": w["text"], "start": w["start"] + cursor, "end": w["end"] + cursor} for w in _words(text[cursor:upto]))
 
-    for start, _, end, said in hits:
-        if start < cursor:
-            continue
-        plain(start)
-        pieces.append(f" {said} ")
-        spans.extend({"text": w["text"], "start": start, "end": end} for w in _words(said))
-        cursor = end
-    plain(len(text))
-    joined = regex.sub(r"\s+", " ", "".join(pieces))
-    return {"spoken": regex.sub(r"\s+([.,;:!?])(?=\s|$)", r"\1", joined).strip() if cursor else joined.strip(), "spans": spans}
+def speak(text: str, rules: list[tuple[regex.Pattern, Rule]]) -> dict:
+    """The spoken form of one passage and, for each spoken word, the place on the page that it stands for."""
+    first: dict[int, tuple[int, str]] = {}  # the first rule that matches at a place decides there
+    for pattern, rule in rules:
+        for match in pattern.finditer(text):
+            if match.start() not in first and (said := rule.spoken(match)) is not None:
+                first[match.start()] = (match.end(), said)
+    ends = accumulate(sorted(first), lambda end, start: end if start < end else first[start][0], initial=0)
+    taken = [start for start, end in zip(sorted(first), ends) if start >= end]
+    # the page as stretches in order, each with what is said for it; None: the page itself
+    edges = [0, *(edge for start in taken for edge in (start, first[start][0])), len(text)]
+    said_for = [None if i % 2 == 0 else first[a][1] for i, a in enumerate(edges[:-1])]
+    spans = []
+    for a, b, said in zip(edges, edges[1:], said_for):
+        spans += [{"text": w["text"], "start": a + w["start"], "end": a + w["end"]} if said is None else {"text": w["text"], "start": a, "end": b} for w in _words(text[a:b] if said is None else said)]
+    spoken = " ".join("".join(text[a:b] if said is None else f" {said} " for a, b, said in zip(edges, edges[1:], said_for)).split())
+    return {"spoken": _LOOSE.sub("", spoken) if taken else spoken, "spans": spans}
 
 
 def spoken_text(passages: DataFrame, mode: str = "natural", rules: tuple[Rule, ...] | None = None) -> DataFrame:
@@ -262,7 +273,7 @@ def spoken_text(passages: DataFrame, mode: str = "natural", rules: tuple[Rule, .
 
     @F.pandas_udf(result)
     def rewrite(text: pd.Series) -> pd.DataFrame:
-        compiled = [(regex.compile(rule.pattern), rule) for rule in chosen]
+        compiled = [(_compiled(rule.pattern), rule) for rule in chosen]
         return pd.DataFrame([speak(t or "", compiled) for t in text], columns=["spoken", "spans"])
 
     rewritten = passages.withColumn("__said", rewrite(F.col("text")))
