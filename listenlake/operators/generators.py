@@ -241,7 +241,11 @@ MODES = {"verbatim": VERBATIM, "natural": NATURAL, "focused": FOCUSED}
 
 #: Blanks in front of punctuation that ends a word.
 _LOOSE = regex.compile(r"\s+(?=[.,;:!?](?:\s|$))")
-_compiled = lru_cache(maxsize=256)(regex.compile)
+
+
+@lru_cache(maxsize=256)
+def _compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
 
 
 def speak(text: str, rules: list[tuple[regex.Pattern, Rule]]) -> dict:
