@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, edit_counts, line_dedup, minhash_join, oracles, quality_neighbours, secret_scan, toxicity, url_filter, vp_search
+from . import bpe_automaton, decontaminate, edit_counts, html_text, line_dedup, minhash_join, oracles, quality_neighbours, secret_scan, token_alignment, toxicity, url_filter, vp_search, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +76,22 @@ def op10_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return quality_neighbours.score_documents(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the eight leading components of all vectors, scaled to unit variance."""
+    found = whitening.whiten(_table(spark, folder, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where it is no long
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens that the byte-level and the piece vocabulary make of every text."""
+    return token_alignment.alignments(_table(spark, folder, "documents"))
+
+
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_edit_counts": op2_edit_counts,
@@ -87,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_quality_neighbours": op10_quality_neighbours,
+    "op11_whitening": op11_whitening,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_html_text": op13_html_text,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables in reasonable time; the others have brute-force tests.
