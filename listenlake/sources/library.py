@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +27,36 @@ def read_library(docs: DataFrame, playback: DataFrame) -> DataFrame:
     return playback_overlay(docs, playback).orderBy(F.desc("updated_at"), "document_id")
 
 
+#: Kinds of files by the ending of their name (fixed values).
+MIME = {"txt": "text/plain", "md": "text/markdown", "markdown": "text/markdown", "html": "text/html", "htm": "text/html", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
+
+
+def _named(path: Column) -> list[Column]:
+    """A file's name, decoded, and its kind."""
+    name = F.element_at(F.split(path, "/"), -1)
+    ending = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    known = F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))
+    return [F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source_name"), F.coalesce(F.element_at(known, ending), F.lit("application/octet-stream")).alias("mime")]
+
+
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Text files, whole: ``source_name, path, text``; a byte order mark goes."""
+    """Text files, whole: ``source_name, mime, path, text``; a byte order mark goes."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("source_name"), "path", F.regexp_replace("value", r"^\x{FEFF}", "").alias("text"))
+    return rows.select(*_named(F.col("path")), "path", F.regexp_replace("value", r"^\x{FEFF}", "").alias("text"))
+
+
+def read_binary_corpus(spark: SparkSession, path: str, least_text: float = 0.95) -> DataFrame:
+    """Files of any kind: ``source_name, mime, path, n_bytes, content, text``.
+
+    ``text`` is there for files of a text kind, and for those of no known kind whose bytes are valid UTF-8 with hardly a control
+    character: at least ``least_text`` of their characters are none.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = rows.select(*_named(F.col("path")), "path", F.col("length").alias("n_bytes"), "content")
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"^\x{FEFF}", "")
+    plain = F.length(F.regexp_replace(text, r"[\x00-\x08\x0B\x0E-\x1F]", "")) >= least_text * F.length(text)
+    readable = F.startswith("mime", F.lit("text/")) | ((F.col("mime") == "application/octet-stream") & plain)
+    return rows.withColumn("text", F.when(readable, text))
 
 
 def read_web_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -48,37 +76,134 @@ def write_corpus(df: DataFrame, path: str, *partitions: str) -> None:
 
 
 def newest(rows: DataFrame, key: str = "document_id", at: str = "updated_at", tie: str = "__tie") -> DataFrame:
-    """The newest row of each key; of rows of one time the one with the larger ``tie``."""
-    order = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))
-    return rows.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn", tie)
+    """The newest row of each key; of rows of one time the one with the larger ``tie``, then a fixed one.
+
+    An aggregate with a partial step, so that a key with very many rows is no large task.
+    """
+    columns = [c for c in rows.columns if c != tie]
+    fixed = [F.xxhash64(*(F.col(c) for c in columns if not _holds_map(rows.schema[c].dataType)))]
+    best = rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns), F.struct(F.col(at), F.col(tie), *fixed)).alias("__row"))
+    return best.select(*(F.col("__row").getField(c).alias(c) for c in columns))
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
+
+
+class _Folder:
+    """Small files and whole folders below a path, through the file system that Spark itself uses."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark.sparkContext._jvm
+        self.top = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.files = self.top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, *names: str):
+        found = self.top
+        for name in names:
+            found = self.jvm.org.apache.hadoop.fs.Path(found, name)
+        return found
+
+    def names(self, *below: str) -> list[str]:
+        folder = self.at(*below)
+        return [s.getPath().getName() for s in self.files.listStatus(folder)] if self.files.exists(folder) else []
+
+    def read(self, *names: str) -> str:
+        stream = self.files.open(self.at(*names))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, text: str, *names: str) -> None:
+        """Written beside its place and moved there, so that no reader meets half of it."""
+        beside = self.at(*names[:-1], "." + names[-1])
+        stream = self.files.create(beside, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if not self.files.rename(beside, self.at(*names)):
+            raise OSError(f"{self.at(*names).toString()} is there already or cannot be written")
+
+    def delete(self, *names: str) -> None:
+        self.files.delete(self.at(*names), True)
+
+
+#: Buckets of a table that ``upsert_latest`` begins; it keeps the number that it began with.
+BUCKETS = 64
+
+
+def _manifests(folder: _Folder) -> list[int]:
+    return sorted(int(n.removesuffix(".json")) for n in folder.names("manifests") if n.removesuffix(".json").isdigit())
 
 
-def upsert_latest(batch: DataFrame, path: str, key: str = "document_id", at: str = "updated_at") -> None:
+def upsert_latest(batch: DataFrame, path: str, key: str = "document_id", at: str = "updated_at", batch_id: int | None = None, buckets: int = BUCKETS, keep: int = 2) -> bool:
     """Merges a batch into the table at ``path``: the newest row of each key stays, at equal times the arriving one.
 
-    The table is written beside the old one in numbered folders, so that a reader or a failure never meets half of it; the
-    highest number is current.
+    Keys are dealt to buckets by hash.  Only the buckets that the batch has keys of are read, merged and written, to a folder
+    that carries the batch's number; a manifest of that number then says for every bucket which folder holds it, and is what makes the
+    batch count.  A batch whose manifest is there changes nothing, so that a stream may hand it over again after a failure; one that
+    failed before its manifest is written anew.  ``keep`` manifests and what they name stay, for readers that have begun; the
+    rest goes.  Without ``batch_id`` the next number is taken.  Returns whether the batch was merged now.
+    Numbers of a stream rise; batches of one table are merged one at a time.  Rows whose key is null are one key.
     """
     spark = batch.sparkSession
-    version = current_version(spark, path)
-    rows = batch.withColumn("__tie", F.lit(1))
-    if version >= 0:
-        rows = rows.unionByName(spark.read.parquet(f"{path}/v{version}").withColumn("__tie", F.lit(0)))
-    newest(rows, key, at).write.mode("overwrite").parquet(f"{path}/v{version + 1}")
+    folder = _Folder(spark, path)
+    done = _manifests(folder)
+    number = batch_id if batch_id is not None else (done[-1] + 1 if done else 0)
+    if done and number <= done[-1]:
+        batch.write.format("noop").mode("overwrite").save()  # a stream's state still has to see its batch
+        return False
+    known = json.loads(folder.read("manifests", f"{done[-1]}.json")) if done else {"buckets": buckets, "held": {}}
+    count, held = known["buckets"], {int(b): n for b, n in known["held"].items()}
+    bucket = F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    rows = batch.withColumns({"__tie": F.lit(1), "__bucket": bucket}).persist()  # computed once, for its buckets and its rows
+    try:
+        touched = sorted(r[0] for r in rows.select("__bucket").distinct().collect())  # at most as many as buckets
+        merged = rows
+        if old := [(b, held[b]) for b in touched if b in held]:
+            stored = _buckets(spark, path, old).withColumns({"__tie": F.lit(0), "__bucket": bucket})
+            merged = rows.unionByName(stored, allowMissingColumns=True)
+        if touched:
+            newest(merged, key, at).repartition(len(touched), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/data/{number}")
+    finally:
+        rows.unpersist()
+    held |= dict.fromkeys(touched, number)
+    folder.write(json.dumps({"buckets": count, "held": held}), "manifests", f"{number}.json")
+    _expire(folder, keep)
+    return True
+
+
+def _buckets(spark: SparkSession, path: str, held: list[tuple[int, int]]) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(*(f"{path}/data/{n}/__bucket={b}" for b, n in held))
+
+
+def _expire(folder: _Folder, keep: int) -> None:
+    """Removes all but the newest manifests, and the buckets that none of these names."""
+    done = _manifests(folder)
+    for number in done[:-keep]:
+        folder.delete("manifests", f"{number}.json")
+    named: dict[str, set[str]] = {}
+    for number in done[-keep:]:
+        for b, n in json.loads(folder.read("manifests", f"{number}.json"))["held"].items():
+            named.setdefault(str(n), set()).add(f"__bucket={b}")
+    for number in folder.names("data"):
+        if number not in named:
+            folder.delete("data", number)
+            continue
+        for bucket in folder.names("data", number):
+            if bucket.startswith("__bucket=") and bucket not in named[number]:
+                folder.delete("data", number, bucket)
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    """The highest complete version below ``path``, -1 for none."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return -1
-    names = [s.getPath() for s in files.listStatus(folder)]
-    done = [int(p.getName()[1:]) for p in names if p.getName()[1:].isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(done, default=-1)
+    """The number of the last batch that was merged into the table at ``path``, -1 for none."""
+    return max(_manifests(_Folder(spark, path)), default=-1)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a table that ``upsert_latest`` keeps."""
-    return spark.read.parquet(f"{path}/v{current_version(spark, path)}")
+    """The table that ``upsert_latest`` keeps, as of its last batch."""
+    folder = _Folder(spark, path)
+    held = json.loads(folder.read("manifests", f"{max(_manifests(folder))}.json"))["held"]
+    return _buckets(spark, path, [(int(b), n) for b, n in held.items()])

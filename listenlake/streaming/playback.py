@@ -22,7 +22,7 @@ def latest_position(events: DataFrame) -> DataFrame:
 def stream_latest_position(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps the newest pointer of each document in a table; what is older than the table's row is ignored."""
     writer = latest_position(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(lambda batch, _: upsert_latest(batch, path)).trigger(availableNow=True).start()
+    return writer.foreachBatch(lambda batch, n: upsert_latest(batch, path, batch_id=n) and None).trigger(availableNow=True).start()
 
 
 class _Ranges(StatefulProcessor):

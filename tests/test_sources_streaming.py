@@ -72,11 +72,72 @@ def test_upsert_and_corpus(spark, tmp_path):
     library.upsert_latest(table((1, "a", at(5)), (2, "x", at(1))), path)
     library.upsert_latest(table((1, "b", at(4)), (2, "y", at(1)), (3, "z", at(0))), path)
     assert sorted((r.document_id, r.segment_id) for r in library.read_latest(spark, path).collect()) == [(1, "a"), (2, "y"), (3, "z")]
-    (tmp_path / "files").mkdir()
-    (tmp_path / "files/a.txt").write_text("﻿One\ntwo", encoding="utf-8")
+    (tmp_path / "files/sub").mkdir(parents=True)
+    (tmp_path / "files/a b+c.txt").write_text("﻿One\ntwo", encoding="utf-8")
+    (tmp_path / "files/sub/Read me.MD").write_text("# Title", encoding="utf-8")
     corpus = library.read_text_corpus(spark, f"{tmp_path}/files")
-    assert [(r.source_name, r.text) for r in corpus.collect()] == [("a.txt", "One\ntwo")]
+    assert sorted((r.source_name, r.mime, r.text) for r in corpus.collect()) == [("Read me.MD", "text/markdown", "# Title"), ("a b+c.txt", "text/plain", "One\ntwo")]
+    (tmp_path / "files/page.pdf").write_bytes(b"%PDF\xff\xfe")
+    (tmp_path / "files/noending").write_bytes("é text".encode())
+    (tmp_path / "files/raw.bin").write_bytes(b"\x00\x01\x02\xff")
+    files = {r.source_name: (r.mime, r.n_bytes, r.text) for r in library.read_binary_corpus(spark, f"{tmp_path}/files").collect()}
+    assert files == {"a b+c.txt": ("text/plain", 10, "One\ntwo"), "Read me.MD": ("text/markdown", 7, "# Title"), "page.pdf": ("application/pdf", 6, None), "noending": ("application/octet-stream", 7, "é text"), "raw.bin": ("application/octet-stream", 4, None)}
     docs = spark.createDataFrame([(1, "text"), (2, "web")], "document_id long, source_kind string")
     library.write_corpus(docs, f"{tmp_path}/c", "source_kind")
     library.write_corpus(spark.createDataFrame([(3, "web")], docs.schema), f"{tmp_path}/c", "source_kind")
     assert sorted(r.document_id for r in spark.read.parquet(f"{tmp_path}/c").collect()) == [1, 3]
+
+
+def test_upserts_touch_only_their_buckets_and_count_once(spark, tmp_path):
+    def table(*data):
+        return spark.createDataFrame(data, "document_id long, segment_id string, updated_at timestamp")
+
+    def files():
+        return {str(f.relative_to(path)): f.read_bytes() for f in path.rglob("part-*.parquet")}
+
+    def rows():
+        return sorted((r.document_id, r.segment_id, r.updated_at) for r in library.read_latest(spark, str(path)).collect())
+
+    path = tmp_path / "t"
+    merge = lambda data, n, **more: library.upsert_latest(table(*data), str(path), batch_id=n, **more)
+    first = [(i, "a", at(i)) for i in range(40)]
+    assert merge(first, 0, buckets=8)
+    before = files()
+    assert len({name.split("/")[2] for name in before}) == 8
+    second = [(3, "b", at(99)), (4, "b", at(1)), (3, "c", at(98)), (70, "n", at(0))]
+    assert merge(second, 1)
+    touched = {r[0] for r in table(*second).select(F.pmod(F.xxhash64("document_id"), F.lit(8)).cast("int")).collect()}
+    now = files()
+    new = {name for name in now if name.startswith("data/1/")}
+    assert {int(name.split("/")[2].split("=")[1]) for name in new} == touched and len(touched) < 8
+    assert all(now[name] == data for name, data in before.items())  # the first batch is still held for readers
+    want = sorted([r for r in first if r[0] != 3] + [(3, "b", at(99)), (70, "n", at(0))])
+    assert rows() == want
+    assert not merge(second, 1) and not merge([(5, "old", at(5000))], 0)  # handed over again: nothing happens
+    assert rows() == want and files() == now
+    assert merge([(3, "d", at(99))], 2) and merge([], 3)  # at equal times the arriving row; an empty batch counts too
+    assert (3, "d", at(99)) in rows() and library.current_version(spark, str(path)) == 3
+    kept = files()  # two versions are held: buckets that neither names are gone
+    gone = {name for name in before if int(name.split("/")[2].split("=")[1]) in touched}
+    assert not gone & set(kept) and all(kept[name] == before[name] for name in set(before) - gone)
+    # a batch that failed before its manifest is written anew
+    (path / "data/4").mkdir()
+    (path / "data/4/part-half.parquet").write_bytes(b"half")
+    assert merge([(6, "e", at(500))], 4) and (6, "e", at(500)) in rows()
+
+
+def test_replayed_stream_batches_change_nothing(spark, tmp_path):
+    for n in range(3):
+        events(spark).where(F.col("segment_id") == f"s{n + 1}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = library.read_listen_stream(spark, f"{tmp_path}/in", files_at_once=1)
+    playback.stream_latest_position(stream, f"{tmp_path}/latest", f"{tmp_path}/cp").awaitTermination(120)
+    was = library.current_version(spark, f"{tmp_path}/latest")
+    # the last batch's commit is lost: the stream hands it over again
+    commits = sorted((tmp_path / "cp/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    for crc in (tmp_path / "cp/commits").glob(".*.crc"):
+        crc.unlink()
+    playback.stream_latest_position(stream, f"{tmp_path}/latest", f"{tmp_path}/cp").awaitTermination(120)
+    assert library.current_version(spark, f"{tmp_path}/latest") == was
+    got = sorted(tuple(r) for r in library.read_latest(spark, f"{tmp_path}/latest").select("document_id", "segment_id", "updated_at").collect())
+    assert got == sorted(tuple(r) for r in playback.latest_position(events(spark)).collect())
