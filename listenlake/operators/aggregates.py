@@ -199,15 +199,21 @@ def page_count(blocks: DataFrame) -> DataFrame:
 
 def block_for_page(blocks: DataFrame, queries: DataFrame) -> DataFrame:
     """``document_id, query_id, pos``: the first top-level block at or after a page, which is first brought into range, else the
-    last one with a page.  ``queries``: ``document_id, query_id, page``."""
-    top = blocks.where("page is not null")
-    total = top.groupBy("document_id").agg(F.max("page").alias("pages"))
-    if "parent_id" in blocks.columns:
-        top = top.where("parent_id is null")
-    asked = queries.join(total, "document_id").select("document_id", "query_id", F.greatest(F.lit(1), F.least("pages", half_up(F.col("page")))).alias("want"))
-    met = asked.join(top.select("document_id", "pos", "page"), "document_id")
-    best = met.groupBy("document_id", "query_id").agg(F.min(F.when(F.col("page") >= F.col("want"), F.col("pos"))).alias("at"), F.max("pos").alias("last"))
-    return best.select("document_id", "query_id", F.coalesce("at", "last").alias("pos"))
+    last one with a page.  ``queries``: ``document_id, query_id, page``.
+
+    Pages and queries share one window, from the last page to the first, that carries the smallest position met so far.
+    """
+    paged = blocks.where("page is not null")
+    total = paged.groupBy("document_id").agg(F.max("page").alias("pages"))
+    top = paged.where("parent_id is null") if "parent_id" in blocks.columns else paged
+    firsts = top.groupBy("document_id", "page").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    asked = queries.join(total, "document_id").select("document_id", "query_id", F.greatest(F.lit(1), F.least("pages", half_up(F.col("page")))).cast("long").alias("page"), F.lit(1).alias("is_query"))
+    kinds = firsts.schema["first"].dataType
+    marks = firsts.select("document_id", F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), F.col("page").cast("long").alias("page"), F.lit(0).alias("is_query"), "first", "last")
+    both = marks.unionByName(asked.withColumns({"first": F.lit(None).cast(kinds), "last": F.lit(None).cast(kinds)}))
+    later = Window.partitionBy("document_id").orderBy(F.desc("page"), "is_query").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"at": F.min("first").over(later), "end": F.max("last").over(Window.partitionBy("document_id"))})
+    return found.where("is_query = 1 and end is not null").select("document_id", "query_id", F.coalesce("at", "end").alias("pos"))
 
 
 #: Reasons for which a page's own text is of no use (fixed values).

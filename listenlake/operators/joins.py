@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenlake.functions.text import finite, squeeze
+from listenlake.functions.text import WORD, finite, squeeze, words_in
 
 _UPTO = (Window.unboundedPreceding, 0)
 
@@ -24,15 +24,30 @@ def playback_overlay(docs: DataFrame, playback: DataFrame) -> DataFrame:
     return docs.join(fresh, on, "left").withColumn("played_at", F.col("__at")).drop("__id", "__at")
 
 
+#: Blocks, or characters of a passage, in a bin of an interval join.
+BLOCK_BIN, CHAR_BIN = 64, 64
+
+
+def bins_of(first: Column, last: Column, width: int) -> Column:
+    """The bins that a range of whole numbers meets, its ends included; none for an inverted range."""
+    low, high = F.floor(first / F.lit(width)).cast("int"), F.floor(last / F.lit(width)).cast("int")
+    return F.when(first <= last, F.sequence(low, high))
+
+
+def in_bin(at: Column, width: int) -> Column:
+    return F.floor(at / F.lit(width)).cast("int")
+
+
 def annotation_passages(annotations: DataFrame, segs: DataFrame) -> DataFrame:
     """``document_id, annotation_id, seg_idx``: the passages that an annotation covers.
 
-    Offsets matter in the first and last block only; inverted anchors cover nothing, nor do orphaned annotations.
+    Offsets matter in the first and last block only; inverted anchors cover nothing, nor do orphaned annotations.  Blocks are joined in
+    bins, so that a document with very many passages and annotations is many small groups.
     """
     live = annotations.where("not orphaned") if "orphaned" in annotations.columns else annotations
-    live = live.where("start_pos <= end_pos").select("document_id", "annotation_id", "start_pos", "start_offset", "end_pos", "end_offset")
-    within = segs.select("document_id", "seg_idx", "block_pos", "start", F.coalesce(F.col("end") if "end" in segs.columns else F.lit(None), F.col("start") + F.length("text")).alias("stop"))
-    met = live.join(within, "document_id").where("block_pos between start_pos and end_pos")
+    live = live.where("start_pos <= end_pos").select("document_id", "annotation_id", "start_pos", "start_offset", "end_pos", "end_offset", F.explode(bins_of(F.col("start_pos"), F.col("end_pos"), BLOCK_BIN)).alias("__bin"))
+    within = segs.select("document_id", "seg_idx", "block_pos", "start", F.coalesce(F.col("end") if "end" in segs.columns else F.lit(None), F.col("start") + F.length("text")).alias("stop"), in_bin(F.col("block_pos"), BLOCK_BIN).alias("__bin"))
+    met = live.join(within, ["document_id", "__bin"]).where("block_pos between start_pos and end_pos")
     starts = (F.col("block_pos") != F.col("start_pos")) | (F.col("stop") > F.col("start_offset"))
     ends = (F.col("block_pos") != F.col("end_pos")) | (F.col("start") < F.col("end_offset"))
     return met.where(starts & ends).select("document_id", "annotation_id", "seg_idx")
@@ -41,7 +56,8 @@ def annotation_passages(annotations: DataFrame, segs: DataFrame) -> DataFrame:
 def anchored_text(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """``document_id, annotation_id, anchored``: the text between the anchors, blocks joined by spaces; null where they do not fit."""
     rows = annotations.select("document_id", "annotation_id", "start_pos", "start_offset", "end_pos", "end_offset")
-    met = rows.join(blocks.select("document_id", "pos", "text"), "document_id").where("pos between start_pos and end_pos")
+    binned = rows.withColumn("__bin", F.explode(bins_of(F.col("start_pos"), F.col("end_pos"), BLOCK_BIN)))
+    met = binned.join(blocks.select("document_id", "pos", "text", in_bin(F.col("pos"), BLOCK_BIN).alias("__bin")), ["document_id", "__bin"]).where("pos between start_pos and end_pos")
     begin = F.when(F.col("pos") == F.col("start_pos"), F.col("start_offset")).otherwise(0)
     end = F.when(F.col("pos") == F.col("end_pos"), F.col("end_offset")).otherwise(F.length("text"))
     met = met.withColumns({"fits": (begin <= F.length("text")) & (end <= F.length("text")), "part": F.substring("text", begin + 1, F.greatest(F.lit(0), end - begin))})
@@ -63,6 +79,38 @@ def annotation_excerpt(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     return anchored_text(annotations, blocks).where("anchored is not null and anchored <> ''").select("document_id", "annotation_id", excerpt(F.col("anchored")).alias("excerpt"))
 
 
+#: Lengths of seeds; a needle of at least ``2 * size - 1`` characters holds a whole seed of its text, wherever it stands.
+SEEDS = (12, 4, 1)
+
+
+def holders(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """``document_id, needle_id, text_id``: the texts of a document that hold a needle, which is not empty.
+
+    ``needles``: ``document_id, needle_id, needle``; ``texts``: ``document_id, text_id, text``.  Texts are cut into seeds, stretches of
+    one size side by side.  Where a needle stands in a text its own stretches at one of ``size`` offsets are seeds of the text, all
+    of them; so an offset one of whose stretches no text has is out, and of the others the stretch that the fewest texts of the document
+    have is looked up.  What is found is then compared in full.  Only documents with needles are indexed, for the sizes that they need.
+    """
+    size = F.coalesce(*(F.when(F.length("needle") >= 2 * n - 1, n) for n in SEEDS))
+    asked = needles.select("document_id", "needle_id", "needle").where("needle <> ''").withColumn("size", size)
+    sized = texts.select("document_id", "text_id", "text").join(asked.select("document_id", "size").distinct(), "document_id")
+    cut = F.coalesce(*(F.when(F.col("size") == n, F.regexp_extract_all("text", F.lit(f"(?s).{{{n}}}"), F.lit(0))) for n in SEEDS))
+    index = sized.select("document_id", "size", "text_id", F.explode(F.array_distinct(cut)).alias("seed"))
+    common = index.groupBy("document_id", "size", "seed").agg(F.count("*").alias("n"))
+    stretches = F.transform(F.sequence(F.lit(0), F.length("needle") - F.col("size")), lambda i: F.substring(F.col("needle"), i + 1, F.col("size")))
+    own = asked.select("document_id", "needle_id", "needle", "size", F.posexplode(stretches).alias("at", "seed")).withColumn("offset", F.col("at") % F.col("size"))
+    rare = own.join(common, ["document_id", "size", "seed"]).groupBy("document_id", "needle_id", "needle", "size", "offset").agg(F.count("*").alias("have"), F.min_by("seed", F.struct("n", "seed")).alias("seed"))
+    rare = rare.where(F.col("have") == F.floor((F.length("needle") - F.col("size") - F.col("offset")) / F.col("size")) + 1)
+    met = rare.join(index, ["document_id", "size", "seed"]).select("document_id", "needle_id", "needle", "text_id").distinct()
+    found = met.join(texts.select("document_id", "text_id", "text"), ["document_id", "text_id"]).where(F.contains("text", F.col("needle")))
+    return found.select("document_id", "needle_id", "text_id")
+
+
+def _found_at(text: Column, pattern: Column) -> Column:
+    """How many characters, in code points, stand before a pattern's first match."""
+    return F.length(F.call_function("regexp_extract", text, F.concat(F.lit("(?s)^(.*?)(?:"), pattern, F.lit(")")), F.lit(1)))
+
+
 def rescue_annotations(annotations: DataFrame, blocks: DataFrame, probe: int = 60) -> DataFrame:
     """``document_id, annotation_id, status`` and anchors after the text changed.
 
@@ -78,16 +126,18 @@ def rescue_annotations(annotations: DataFrame, blocks: DataFrame, probe: int = 6
     # probes as patterns that take any run of blanks for another
     quoted = lambda c: F.regexp_replace(F.regexp_replace(squeeze(F.col(c)), r"([.*+?^${}()|\[\]\\])", r"\\$1"), " ", r"\\s+")
     lost = rows.where("not same and coalesce(excerpt, '') <> ''").withColumns({"hp": quoted("head"), "tp": quoted("tail")})
-    lost = lost.select(*keys, "hp", "tp")
-    text = blocks.select(F.col("document_id").alias("__d"), "pos", "text")
-    # the patterns are tried within the join, so that only blocks that hold one come out of it
-    met = lost.join(text, (F.col("document_id") == F.col("__d")) & (F.regexp_instr("text", F.col("hp")) > 0))
-    place = F.struct("pos", F.regexp_instr("text", F.col("hp")).alias("at"), F.length(F.regexp_substr("text", F.col("hp"))).alias("n"))
+    # blocks that may hold a probe come from an index, blanks folded; where exactly it stands its pattern tells
+    folded = blocks.select("document_id", F.col("pos").alias("text_id"), F.regexp_replace("text", r"(?U)\s+", " ").alias("text"))
+    needles = lost.select("document_id", F.explode(F.array(F.struct(F.col("annotation_id"), F.lit("h").alias("end"), squeeze(F.col("head")).alias("needle")), F.struct(F.col("annotation_id"), F.lit("t").alias("end"), squeeze(F.col("tail")).alias("needle")))).alias("x"))
+    near = holders(needles.select("document_id", F.struct("x.annotation_id", "x.end").alias("needle_id"), "x.needle").where("needle is not null"), folded)
+    near = near.select("document_id", "needle_id.annotation_id", "needle_id.end", F.col("text_id").alias("pos")).join(blocks.select("document_id", "pos", "text"), ["document_id", "pos"])
+    met = lost.select(*keys, "hp", "tp").join(near.where("end = 'h'"), keys).where(F.regexp_instr("text", F.col("hp")) > 0)
+    place = F.struct("pos", (_found_at(F.col("text"), F.col("hp")) + 1).alias("at"), F.length(F.regexp_substr("text", F.col("hp"))).alias("n"))
     heads = met.groupBy(*keys, "hp", "tp").agg(F.min(place).alias("h"))
     rest = F.when(F.col("pos") == F.col("h.pos"), F.substring("text", F.col("h.at"), F.length("text"))).otherwise(F.col("text"))
-    behind = heads.where("tp is not null").join(text, (F.col("document_id") == F.col("__d")) & (F.col("pos") >= F.col("h.pos")) & (F.regexp_instr(rest, F.col("tp")) > 0))
+    behind = heads.where("tp is not null").join(near.where("end = 't'"), keys).where((F.col("pos") >= F.col("h.pos")) & (F.regexp_instr(rest, F.col("tp")) > 0))
     behind = behind.withColumns({"rest": rest, "shift": F.when(F.col("pos") == F.col("h.pos"), F.col("h.at") - 1).otherwise(0)})
-    stop = F.col("shift") + F.regexp_instr("rest", F.col("tp")) - 1 + F.length(F.regexp_substr("rest", F.col("tp")))
+    stop = F.col("shift") + _found_at(F.col("rest"), F.col("tp")) + F.length(F.regexp_substr("rest", F.col("tp")))
     tails = behind.groupBy(*keys).agg(F.min(F.struct("pos", stop.alias("end"))).alias("t"))
     heads = heads.select(*keys, "h")
     out = rows.join(heads, keys, "left").join(tails, keys, "left")
@@ -166,16 +216,34 @@ def locate_time(queries: DataFrame, timeline: DataFrame) -> DataFrame:
     return hit.select("document_id", "query_id", F.col("seg.seg_idx").alias("seg_idx"), F.least("seg.d", F.greatest(F.lit(0.0), F.col("at") - (F.col("seg.stop") - F.col("seg.d")))).alias("offset_s"))
 
 
+def word_place(pointers: DataFrame, segs: DataFrame) -> DataFrame:
+    """``document_id, position_id, block_pos, offset``: where in its block a word of a passage begins, to be found again after
+    the text was cut anew.  ``pointers``: ``document_id, position_id, segment_id, word_idx``; ``segs``: ``..., segment_id, block_pos, start, text``.
+    A word that the passage lacks is its beginning; pointers to no passage give no row."""
+    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+    past = F.length(F.array_join(F.slice(words, F.lit(1), F.col("word_idx")), "")) + F.length(F.array_join(F.slice(gaps, F.lit(1), F.col("word_idx") + 1), ""))
+    met = pointers.join(segs.select("document_id", "segment_id", "block_pos", "start", "text"), ["document_id", "segment_id"])
+    begins = F.when((F.col("word_idx") >= 0) & (F.col("word_idx") < F.size(words)), past).otherwise(0)
+    return met.select("document_id", "position_id", "block_pos", (F.col("start") + begins).alias("offset"))
+
+
 def remap_position(positions: DataFrame, segs: DataFrame) -> DataFrame:
-    """``document_id, position_id, segment_id``: the passage that a place in a block falls into after it was cut anew.
+    """``document_id, position_id, segment_id, word_idx, offset_s``: the passage and word that a place in a block falls into after
+    it was cut anew.
 
-    The first passage whose range holds the place, both ends included, else the block's last one.
-    ``positions``: ``document_id, position_id, block_pos, offset``; ``segs``: ``..., seg_idx, segment_id, block_pos, start, end``.
+    The first passage whose range holds the place, both ends included, else the block's last one; in it the last word that
+    begins at or before the place, else the first, and that word's share of the passage's seconds.
+    ``positions``: ``document_id, position_id, block_pos, offset``; ``segs``: ``..., seg_idx, segment_id, block_pos, start, end, text,
+    est_duration``.
     """
-    met = positions.join(segs.select("document_id", "seg_idx", "segment_id", "block_pos", F.col("start").alias("s"), F.col("end").alias("e")), ["document_id", "block_pos"])
-    holds = F.col("offset").between(F.col("s"), F.col("e"))
-    best = met.groupBy("document_id", "position_id").agg(F.min_by("segment_id", F.when(holds, F.col("seg_idx"))).alias("inside"), F.max_by("segment_id", "seg_idx").alias("last"))
-    return best.select("document_id", "position_id", F.coalesce("inside", "last").alias("segment_id"))
+    found = F.struct("segment_id", "start", "text", "est_duration")
+    met = positions.join(segs.select("document_id", "seg_idx", "block_pos", "end", found.alias("seg")), ["document_id", "block_pos"])
+    holds = F.col("offset").between(F.col("seg.start"), F.col("end"))
+    best = met.groupBy("document_id", "position_id").agg(F.first("offset").alias("offset"), F.coalesce(F.min_by("seg", F.when(holds, F.col("seg_idx"))), F.max_by("seg", "seg_idx")).alias("seg"))
+    # words that begin at or before the place are those of the text up to and with the character there: a word cut short is still one word
+    begun = words_in(F.left("seg.text", F.greatest(F.lit(0), F.col("offset") - F.col("seg.start") + 1).cast("int")))
+    best = best.withColumns({"word_idx": F.greatest(F.lit(0), begun - 1), "words": words_in(F.col("seg.text"))})
+    return best.select("document_id", "position_id", "seg.segment_id", "word_idx", (finite(F.col("seg.est_duration")) * F.col("word_idx") / F.greatest(F.lit(1), F.col("words"))).alias("offset_s"))
 
 
 def migrate_segment(pointers: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -190,8 +258,9 @@ def migrate_segment(pointers: DataFrame, old: DataFrame, new: DataFrame) -> Data
     was = was.withColumn("found", F.coalesce(direct, "text_segment"))
     wanted = F.lower(squeeze(F.coalesce("excerpt", F.lit(""))))
     open_ = was.where("found is null").select("document_id", "pointer_id", wanted.alias("wanted")).where("wanted <> ''")
-    hits = open_.join(new.select("document_id", "seg_idx", F.col("segment_id").alias("hit"), "text"), "document_id").where(F.contains(F.lower("text"), F.col("wanted")))
-    hits = hits.groupBy("document_id", "pointer_id").agg(F.min_by("hit", "seg_idx").alias("hit"))
+    texts = new.select("document_id", F.struct("seg_idx", "segment_id").alias("text_id"), F.lower("text").alias("text"))
+    hits = holders(open_.select("document_id", F.col("pointer_id").alias("needle_id"), F.col("wanted").alias("needle")), texts)
+    hits = hits.groupBy("document_id", F.col("needle_id").alias("pointer_id")).agg(F.min("text_id").getField("segment_id").alias("hit"))
     return was.join(hits, ["document_id", "pointer_id"], "left").select("document_id", "pointer_id", F.coalesce("found", "hit").alias("segment_id"))
 
 
@@ -299,5 +368,6 @@ def word_timing_from_chars(words: DataFrame, chars: DataFrame) -> DataFrame:
     ``words``: ``..., start, end`` (places); ``chars``: ``document_id, seg_idx, char_pos, start_s, end_s``.
     """
     keys = ["document_id", "seg_idx"]
-    met = words.join(chars, keys).where("char_pos >= start and char_pos < end")
+    binned = words.select(*keys, "word_idx", "start", "end", F.explode(bins_of(F.col("start"), F.col("end") - 1, CHAR_BIN)).alias("__bin"))
+    met = binned.join(chars.withColumn("__bin", in_bin(F.col("char_pos"), CHAR_BIN)), [*keys, "__bin"]).where("char_pos >= start and char_pos < end")
     return met.groupBy(*keys, "word_idx").agg(F.min_by("start_s", "char_pos").alias("start_s"), F.max_by("end_s", "char_pos").alias("end_s"))

@@ -179,13 +179,13 @@ def context_window(v: Views) -> DataFrame:
 
 
 @query(
-    """select document_id, selection_id, case when length(b) > 300 then regexp_replace(right(b, 300), '^\\S+\\s', '') else b end as before, case when length(a) > 100 then regexp_replace(left(a, 100), '\\s\\S*$', '') else a end as after from (select s.document_id, selection_id, coalesce(string_agg(text, chr(10) order by pos) filter (where pos <= sp), '') as b, coalesce(string_agg(text, chr(10) order by pos) filter (where pos > sp + 1), '') as a
+    """select document_id, selection_id, case when length(b) > 1200 then regexp_replace(right(b, 1200), '^\\S+\\s', '') else b end as before, case when length(a) > 400 then regexp_replace(left(a, 400), '(?s)^(.+)\\s\\S*$', '\\1') else a end as after from (select s.document_id, selection_id, coalesce(string_agg(text, chr(10) order by pos) filter (where pos <= sp), '') as b, coalesce(string_agg(text, chr(10) order by pos) filter (where pos > sp + 1), '') as a
  from (select document_id, block_id as selection_id, pos as sp from blocks) s join blocks b on b.document_id = s.document_id group by s.document_id, selection_id)""",
     "blocks",
 )
 def explain_context(v: Views) -> DataFrame:
     picked = v.blocks.select("document_id", F.col("block_id").alias("selection_id"), F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"))
-    return windows.explain_context(v.blocks, picked, before=300, after=100)
+    return windows.explain_context(v.blocks, picked)
 
 
 @query("select document_id, count(*) filter (where total <= 2000) as packed, coalesce(min(seg_idx) filter (where total > 2000), -1) as cut_at from (select document_id, seg_idx, sum(length(text)) over (partition by document_id order by seg_idx rows unbounded preceding) as total from segments) group by document_id", "segments")
@@ -243,7 +243,22 @@ def annotation_excerpt(v: Views) -> DataFrame:
     return joins.annotation_excerpt(v.annotations, v.blocks)
 
 
-@query(None)
+_QUOTED = "replace(regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), ' ', '\\s+')"
+
+
+@query(
+    f"""select * from (with parts as (select a.document_id, annotation_id, a.start_pos, a.start_offset, a.end_pos, a.end_offset, trim(regexp_replace(string_agg(substring(text, case when pos = start_pos then start_offset else 0 end + 1, greatest(0, case when pos = end_pos then end_offset else length(text) end - case when pos = start_pos then start_offset else 0 end)), ' ' order by pos), '\\s+', ' ', 'g')) as t,
+ bool_and((pos <> start_pos or start_offset <= length(text)) and (pos <> end_pos or end_offset <= length(text))) and count(*) = any_value(end_pos - start_pos + 1) and any_value(start_pos < end_pos or start_offset < end_offset) as fits, src from annotations a join (select 0 as src, document_id, pos, text from blocks union all select 1, document_id, pos, case when pos % 5 = 1 then 'New. ' || text else text end from blocks where pos % 7 <> 3) b on b.document_id = a.document_id and pos between start_pos and end_pos group by all),
+ stored as (select * exclude (t, fits, src), case when length(t) <= 400 then t else left(t, 300) || '…' || right(t, 99) end as excerpt from parts where src = 0 and fits and t <> ''),
+ judged as (select s.*, coalesce(p.fits and starts_with(p.t, left(excerpt, 60)) and suffix(p.t, right(excerpt, 60)), false) as same from stored s left join parts p on p.src = 1 and p.document_id = s.document_id and p.annotation_id = s.annotation_id),
+ lost as (select document_id, annotation_id, {_QUOTED.format("left(excerpt, 60)")} as hp, case when length(excerpt) > 60 then {_QUOTED.format("right(excerpt, 60)")} end as tp from judged where not same),
+ now as materialized (select document_id, pos, case when pos % 5 = 1 then 'New. ' || text else text end as text from blocks where pos % 7 <> 3),
+ heads as (select l.document_id, annotation_id, hp, tp, min({{'p': pos, 'at': length(regexp_extract(text, '(?s)^(.*?)(?:' || hp || ')', 1)), 'n': length(regexp_extract(text, hp))}}) as h from lost l join now n on n.document_id = l.document_id and regexp_matches(text, hp) group by all),
+ tails as (select document_id, annotation_id, min({{'p': pos, 'e': shift + length(regexp_extract(rest, '(?s)^(.*?)(?:' || tp || ')', 1)) + length(regexp_extract(rest, tp))}}) as t from (select h.document_id, annotation_id, tp, pos, case when pos = h.h.p then h.h.at else 0 end as shift, case when pos = h.h.p then substring(text, h.h.at + 1) else text end as rest from heads h join now n on n.document_id = h.document_id and pos >= h.h.p where tp is not null) where regexp_matches(rest, tp) group by all)
+ select j.document_id, j.annotation_id, case when same then 'kept' when h is not null and (h.tp is null or t is not null) then 'moved' else 'orphaned' end as status, case when same or h is null or (h.tp is not null and t is null) then start_pos else h.h.p end as start_pos, case when same or h is null or (h.tp is not null and t is null) then start_offset else h.h.at end as start_offset,
+ case when same or h is null or (h.tp is not null and t is null) then end_pos when h.tp is null then h.h.p else t.t.p end as end_pos, case when same or h is null or (h.tp is not null and t is null) then end_offset when h.tp is null then h.h.at + h.h.n else t.t.e end as end_offset from judged j left join heads h on h.document_id = j.document_id and h.annotation_id = j.annotation_id left join tails t on t.document_id = j.document_id and t.annotation_id = j.annotation_id)""",
+    "annotations",
+)
 def rescue_annotations(v: Views) -> DataFrame:
     stored = v.annotations.join(joins.annotation_excerpt(v.annotations, v.blocks), ["document_id", "annotation_id"])
     changed = v.blocks.where("pos % 7 <> 3").withColumn("text", F.when(F.col("pos") % 5 == 1, F.concat(F.lit("New. "), "text")).otherwise(F.col("text")))
@@ -283,10 +298,24 @@ def bookmark_targets(v: Views) -> DataFrame:
     return joins.bookmark_targets(marks, v.blocks)
 
 
-@query(f"select document_id, position_id, coalesce(arg_min(segment_id, seg_idx) filter (where off between start and stop), arg_max(segment_id, seg_idx)) as segment_id from (select document_id, pos as block_pos, block_id as position_id, length(text) // 2 as off from blocks) join ({_PLACED}) using (document_id, block_pos) group by document_id, position_id", "segments")
+_HALVES = "select document_id, 2 * pos + h as seg_idx, block_id || ':h' || h as segment_id, pos as block_pos, h * (length(text) // 2) as s, case when h = 0 then length(text) // 2 else length(text) end as e, case when h = 0 then left(text, length(text) // 2) else substring(text, length(text) // 2 + 1) end as t from blocks, (select unnest([0, 1]) as h)"
+_WORD_SQL = "[\\p{L}\\p{N}]+(?:[''’-][\\p{L}\\p{N}]+)*"
+
+
+@query(
+    f"""select document_id, position_id, segment_id, word_idx, round(length(t) / 10.0 * word_idx / greatest(1, len(regexp_extract_all(t, '{_WORD_SQL}'))), 6) as offset_s from (select *, greatest(0, len(regexp_extract_all(left(t, cast(greatest(0, off - s + 1) as int)), '{_WORD_SQL}')) - 1) as word_idx from
+ (select p.document_id, position_id, off, unnest(coalesce(arg_min(h, h.seg_idx) filter (where off between h.s and h.e), arg_max(h, h.seg_idx))) from (select document_id, segment_id as position_id, block_pos, start + case when seg_idx % 4 < len(w) then length(array_to_string(w[1:seg_idx % 4], '')) + length(array_to_string(g[1:seg_idx % 4 + 1], '')) else 0 end as off
+ from (select *, regexp_extract_all(text, '{_WORD_SQL}') as w, string_split_regex(text, '{_WORD_SQL}') as g from ({_PLACED}))) p join ({_HALVES}) h on h.document_id = p.document_id and h.block_pos = p.block_pos group by p.document_id, position_id, off))""",
+    "segments",
+)
 def remap_position(v: Views) -> DataFrame:
-    places = v.blocks.select("document_id", F.col("pos").alias("block_pos"), F.col("block_id").alias("position_id"), F.floor(F.length("text") / 2).alias("offset"))
-    return joins.remap_position(places, _placed(v))
+    """Words of sentences, found again in lines cut at their middle."""
+    pointers = v.segments.select("document_id", F.col("segment_id").alias("position_id"), "segment_id", (F.col("seg_idx") % 4).alias("word_idx"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.array(F.struct(F.lit(0).alias("h"), F.lit(0).alias("start"), half.alias("end"), F.left("text", half).alias("text")), F.struct(F.lit(1).alias("h"), half.alias("start"), F.length("text").alias("end"), F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)").alias("text")))
+    halves = v.blocks.select("document_id", "pos", "block_id", F.explode(parts).alias("x"))
+    halves = halves.select("document_id", (2 * F.col("pos") + F.col("x.h")).alias("seg_idx"), F.concat("block_id", F.lit(":h"), F.col("x.h").cast("string")).alias("segment_id"), F.col("pos").alias("block_pos"), "x.start", "x.end", "x.text", (F.length("x.text") / 10.0).alias("est_duration"))
+    return joins.remap_position(joins.word_place(pointers, _placed(v)), halves).withColumn("offset_s", F.round("offset_s", 6))
 
 
 _NEW = "select document_id, seg_idx, segment_id, case when seg_idx % 6 = 5 then text || ' more' else text end as text from (select document_id, seg_idx, case when seg_idx % 4 = 0 then segment_id else segment_id || 'n' end as segment_id, text from segments) where seg_idx % 11 <> 10"
