@@ -40,7 +40,11 @@ AGAINST = frozenset(
 )
 #: Those that take text inside a block away; there the others may mean something else.
 INLINE = frozenset("ad ads adsbygoogle advert advertisement share sharing".split())
+#: Those that count whatever else a class says.
+STRICT = frozenset("ad ads comment comments cookie sidebar footer nav menu related".split())
 FOR = frozenset("article body content entry main page post text story blog hentry prose".split())
+#: Elements that are parts of a text and hold no article by themselves.
+PARTS = frozenset("p ul ol li dl dt dd menu dir table caption thead tbody tfoot tr th blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Headings above what readers wrote.
 _REMARKS = re.compile(r"\W*\d*\W*(?:reader |user )?(?:comments?|responses?|replies|discussion|leave a (?:reply|comment)|kommentare?|commentaires?|comentarios?)\b[\W\d]*$", re.I)
 
@@ -63,12 +67,12 @@ MEANT, FITTING, LEAST, SHARE = 25.0, 10.0, 10.0, 0.2
 class Element:
     """An element of the tree; ``parts`` are its elements and blocks in page order."""
 
-    __slots__ = ("tag", "parent", "parts", "words", "role", "hidden", "mute", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "parts", "words", "role", "hidden", "mute", "points", "length", "linked", "linking", "first", "prose", "paragraphs", "titled", "within", "marked")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.parts = tag, parent, []
         self.words, self.role, self.hidden, self.mute = frozenset(), "", False, 0
-        self.points, self.length, self.linked = 0.0, 0, 0
+        self.points, self.length, self.linked, self.linking = 0.0, 0, 0, 0
         if attributes and "=" in attributes or "hidden" in attributes:
             named = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
             self.words = frozenset(w.lower() for key in ("class", "id", "itemprop") for w in _WORD.findall(named.get(key, "")))
@@ -174,74 +178,60 @@ def _walk(e: Element) -> Iterator[Element]:
         todo.extend(x for x in reversed(e.parts) if isinstance(x, Element))
 
 
-def _blocks(e: Element) -> Iterator[Block]:
-    todo = [e]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, Block):
-            yield x
-        else:
-            todo.extend(reversed(x.parts))
-
-
-def _inside(e: Element, tags: tuple[str, ...]) -> bool:
-    while (e := e.parent) is not None:
-        if e.tag in tags:
-            return True
-    return False
+def _measure(root: Element) -> list[Element]:
+    """What is below and around every element, in one pass each way; the elements in page order."""
+    elements = list(_walk(root))
+    for e in elements:
+        e.within = e.parent is not None and (e.parent.within or e.parent.tag in ("article", "main"))
+    for e in reversed(elements):
+        e.first, e.prose, e.paragraphs, e.titled, e.marked = None, 0, int(e.tag == "p"), e.tag in ("h1", "h2", "hgroup"), 0
+        for x in e.parts:
+            if isinstance(x, Block):
+                e.first, e.prose = e.first or x, e.prose + len(x.text) - x.linked
+            else:
+                e.first, e.prose, e.paragraphs, e.titled, e.marked = e.first or x.first, e.prose + x.prose, e.paragraphs + x.paragraphs, e.titled or x.titled, e.marked + x.marked
+        e.marked += e.tag in ("article", "main") and not _unfit(e)
+    return elements
 
 
 def _unfit(e: Element) -> bool:
     """Whether an element is no part of an article, by its kind, role, class or id."""
     if e.tag in ("#page", "html", "body", "main"):
         return False
-    if e.tag in NEVER or e.hidden or e.role in ROLES:
-        return True
-    if e.tag == "footer":
+    if e.tag in NEVER or e.hidden or e.role in ROLES or e.tag == "footer":
         return True
     if e.tag == "header":  # an article's own header holds its title
-        return not (_inside(e, ("article", "main")) and any(x.tag in ("h1", "h2", "hgroup") for x in _walk(e)))
-    if e.tag in ("section", "div"):
-        first = next(_blocks(e), None)
-        if first is not None and first.parent.tag in ("h2", "h3", "h4", "h5", "h6", "summary", "legend") and _REMARKS.match(first.text):
-            return True
-    return bool(e.words & AGAINST) and not (e.tag != "article" and e.words & FOR and not e.words & {"ad", "ads", "comment", "comments", "cookie", "sidebar", "footer", "nav", "menu", "related"}) and not re.fullmatch("h[1-6]", e.tag)
+        return not (e.within and e.titled)
+    if e.tag in ("section", "div") and e.first is not None and e.first.parent.tag in ("h2", "h3", "h4", "h5", "h6", "summary", "legend") and _REMARKS.match(e.first.text):
+        return True
+    if not e.words & AGAINST or re.fullmatch("h[1-6]", e.tag):
+        return False
+    return e.tag == "article" or not e.words & FOR or bool(e.words & STRICT)
 
 
 def _prune(root: Element) -> None:
-    """Takes out what is no part of an article, unless it wraps the page's article or, where none is marked, most of its prose."""
-    prose = lambda e: sum(len(b.text) - b.linked for b in _blocks(e))
-    marked = [e for e in _walk(root) if e.tag in ("article", "main") and not _unfit(e)]
-    whole = None
+    """Takes out what is no part of an article, unless it wraps all articles that the page marks or, where none is marked, most of its prose."""
+    _measure(root)
     todo = [root]
     while todo:
         e, gone = todo.pop(), set()
-        for x in [x for x in e.parts if isinstance(x, Element)]:
-            if not _unfit(x):
-                todo.append(x)
+        for x in e.parts:
+            if isinstance(x, Block):
                 continue
-            if x.tag in ("form", "div", "section", "fieldset") and not x.hidden:
-                if marked:
-                    wraps = all(x is m or _below(m, x) for m in marked)
+            wraps = False
+            if (unfit := _unfit(x)) and x.tag in ("form", "div", "section", "fieldset") and not x.hidden:
+                if root.marked:
+                    wraps = x.marked == root.marked
                 else:
-                    whole = prose(root) if whole is None else whole
-                    wraps = prose(x) > (0.5 if x.tag == "form" else 0.8) * whole and sum(y.tag == "p" for y in _walk(x)) >= (1 if x.tag == "form" else 3)
-                if wraps:
-                    todo.append(x)
-                    continue
-            gone.add(x)
+                    wraps = x.prose > (0.5 if x.tag == "form" else 0.8) * root.prose and x.paragraphs >= (1 if x.tag == "form" else 3)
+            if unfit and not wraps:
+                gone.add(x)
+            else:
+                todo.append(x)
         if gone:
             e.parts = [x for x in e.parts if x not in gone]
 
 
-def _below(e: Element, top: Element) -> bool:
-    while e is not None:
-        if e is top:
-            return True
-        e = e.parent
-    return False
-
-
 def _score(root: Element) -> list[Element]:
     """Hands the points of all blocks to the elements around them; the elements in page order."""
     elements = list(_walk(root))
@@ -263,9 +253,11 @@ def _score(root: Element) -> list[Element]:
     for e in reversed(elements):
         e.length += sum(len(b.text) for b in e.parts if isinstance(b, Block))
         e.linked += sum(b.linked for b in e.parts if isinstance(b, Block))
+        e.linking += sum(b.linked > 0 for b in e.parts if isinstance(b, Block))
         if e.parent is not None:
             e.parent.length += e.length
             e.parent.linked += e.linked
+            e.parent.linking += e.linking
     return elements
 
 
@@ -276,7 +268,7 @@ def _worth(e: Element) -> float:
 
 def _links_only(e: Element) -> bool:
     """Whether an element below the article is a list of links and not prose."""
-    return e.tag in ("ul", "ol", "div", "section", "table", "dl") and e.linked > 0.6 * e.length and sum(1 for b in _blocks(e) if b.linked) >= 2
+    return e.tag in ("ul", "ol", "div", "section", "table", "dl") and e.linked > 0.6 * e.length and e.linking >= 2
 
 
 def main_text(page: str | None) -> str:
@@ -293,6 +285,8 @@ def main_text(page: str | None) -> str:
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
     best = around or best
+    while best.tag in PARTS and best.parent is not None:
+        best = best.parent
     kept = [best]
     if best.parent is not None and best.tag not in ("body", "html"):
         bar, worth = max(LEAST, SHARE * _worth(best)), _worth
