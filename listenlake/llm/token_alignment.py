@@ -37,18 +37,24 @@ _PIECE = re.compile(r" +[^ ]*(?:(?<=[\s᠎]) +[^ ]*)*")
 
 
 def _run(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from ``i`` and ``j`` on, which agree, agree one by one: stretches that double, then halve inside the first that differs."""
-    done, width = 1, 2
+    """How many ends from ``i`` and ``j`` on, which agree, agree one by one: stretches that double, then halve inside the first that
+    differs; the last few are compared singly."""
+    done, width = 1, 4
     while True:
-        stretch = a[i + done : i + done + width]
-        if len(stretch) < width or stretch != b[j + done : j + done + width]:
+        left, right = a[i + done : i + done + width], b[j + done : j + done + width]
+        if left != right or len(left) < width:
             break
         done, width = done + width, width * 2
-    while width > 1:
+    while width > 16:
         width //= 2
-        stretch = a[i + done : i + done + width]
-        if len(stretch) == width and stretch == b[j + done : j + done + width]:
+        left, right = a[i + done : i + done + width], b[j + done : j + done + width]
+        if left == right and len(left) == width:
             done += width
+            left, right = a[i + done : i + done + width], b[j + done : j + done + width]
+    for x, y in zip(left, right):
+        if x != y:
+            break
+        done += 1
     return done
 
 
