@@ -84,7 +84,7 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups and links of the tokens that the byte-level and the piece vocabulary make of every text."""
-    return token_alignment.alignments(_table(spark, folder, "documents"))
+    return token_alignment.alignments(_table(spark, folder, "documents"), keep_groups=False)
 
 
 def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:

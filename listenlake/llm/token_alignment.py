@@ -4,9 +4,9 @@ The tokens of a text are two rising arrays of end offsets.  At the current shift
 stretches of 1, 2, 4, ... ends and jumps over all that agree, which are one-to-one groups; at the first that does not, the array that
 is behind advances until both end together, which is one irregular group, and the shift is what it then is.
 
-Texts are encoded once.  What stands between a character that is no white space and the next blank never shares a token with what
-follows, in either vocabulary, so that the pieces in between are encoded once a worker and remembered.  Documents are worked on in
-blocks; a block lists its distinct pairs of linked ids once, and its documents name them by their place in that list.  Counts over all
+What stands between a character that is no white space and the next blank never shares a token with what follows, in either
+vocabulary: pieces between such places end with a token of both.  New pieces are encoded and aligned side by side, and a worker
+remembers the groups and links of each; a document's are those of its pieces.  Documents are worked on in blocks; a block lists its distinct pairs of linked ids once, and its documents name them by their place in that list.  Counts over all
 documents are sums over blocks, and travel back to a block by its list, so that no shuffle holds a row for every document and pair.
 """
 
@@ -28,8 +28,8 @@ from .textops import slices
 
 #: Bytes of text in a block of documents, and of those that are worked on at once; a longer text is worked on by itself.
 BLOCK_BYTES, PART_BYTES = 16 << 20, 1 << 20
-#: Pieces, and characters of them, that a worker remembers; beyond that it starts afresh, which costs time and changes nothing.
-REMEMBERED, REMEMBERED_CHARACTERS = 600_000, 1 << 24
+#: Pieces, characters of them, and pairs that a worker remembers until its block ends; beyond that it starts afresh, which costs time and changes nothing.
+REMEMBERED, REMEMBERED_CHARACTERS, REMEMBERED_PAIRS = 500_000, 1 << 24, 1 << 22
 #: Characters of pieces that are encoded together.
 TOGETHER = 4096
 #: Blanks, what stands up to the next one, and, if that ends in white space, what follows too.
@@ -108,7 +108,10 @@ class Growing:
 
 
 class Encoders:
-    """Both vocabularies, and the pieces met so far."""
+    """Both vocabularies, and the pieces met so far: how many tokens and groups each has, how its groups are written, and its links.
+
+    A piece that a vocabulary cannot spell has a null in place of its groups.
+    """
 
     def __init__(self, spec: str, model: bytes):
         import sentencepiece
@@ -127,44 +130,67 @@ class Encoders:
         self.length_a, self.length_b = (np.array([len(x) for x in of], dtype=np.int64) for of in (self.bytes_a, self.bytes_b))
         self.name = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.blank = self.second.piece_to_id("▁")
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.of_a, self.of_b, self.fine, self.characters = Growing(), Growing(), [], 0
-
-    def _ids(self, text: str) -> tuple[list[int], list[int]]:
+        #: Linked pairs of ids, ``A id * size of B + B id``, and their numbers.
+        self.pairs: dict[int, int] = {}
+        self.characters = 0
+        self.groups: list[str | None] = []
+        #: Tokens of each vocabulary and groups, three numbers for each piece; and the numbers of its linked pairs.
+        self.sizes, self.links = Growing(), Growing()
+
+    def full(self) -> bool:
+        """Whether more is remembered than may be; what numbers stand for stays the same until ``forget``."""
+        return len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS or len(self.pairs) > REMEMBERED_PAIRS
+
+    def ids(self, text: str) -> tuple[list[int], list[int]]:
         """The ids of a text that begins with a blank; the second vocabulary puts that blank there by itself."""
         return self.first.encode(text, add_special_tokens=False).ids, [self.blank] if text == " " else self.second.encode(text[1:])
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes some pieces, side by side as in a text, and each alone if they cannot be told apart then."""
+        """Encodes and aligns some pieces, side by side as in a text, and each alone if they cannot be told apart then."""
         whole, ends = "".join(new).encode(), np.cumsum([len(piece.encode()) for piece in new])
-        of = self._ids("".join(new))
-        cuts = []
-        if all(b"".join([names[i] for i in ids]) == whole for ids, names in zip(of, (self.bytes_a, self.bytes_b))):
-            for ids, length in zip(of, (self.length_a, self.length_b)):
-                reach = np.cumsum(length[ids])
-                at = np.searchsorted(reach, ends)
-                if (reach[at] == ends).all():
-                    cuts.append(np.diff(at + 1, prepend=0))
-        if len(cuts) == 2:
-            self.of_a.add(np.array(of[0]), cuts[0])
-            self.of_b.add(np.array(of[1]), cuts[1])
-            self.fine.extend([True] * len(new))
+        a, b = map(np.array, self.ids("".join(new)))
+        spelt = all(b"".join([names[i] for i in ids.tolist()]) == whole for ids, names in ((a, self.bytes_a), (b, self.bytes_b)))
+        end_a, end_b = (np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])) if spelt else (ends, ends)
+        if not spelt or len(new) > 1 and not all(np.isin(ends, x, assume_unique=True).all() for x in (end_a, end_b)):
+            if len(new) > 1:
+                for piece in new:
+                    self._learn([piece])
+            else:
+                self.groups.append(None)
+                self.sizes.add(np.zeros(3), np.array([3]))
+                self.links.add(np.zeros(0), np.array([0]))
             return
-        for piece in new:
-            a, b = self._ids(piece)
-            self.of_a.add(np.array(a, dtype=np.int32), np.array([len(a)]))
-            self.of_b.add(np.array(b, dtype=np.int32), np.array([len(b)]))
-            self.fine.append(b"".join([self.bytes_a[i] for i in a]) == piece.encode() == b"".join([self.bytes_b[i] for i in b]))
+        in_a, in_b, irregular = align(end_a.tolist(), end_b.tolist())
+        names_a, names_b = [self.name[i] for i in a.tolist()], [self.name[i] for i in b.tolist()]
+        written, done = [], (0, 0)
+        for g in [*irregular, len(in_a)]:
+            i, j = (in_a[g - 1], in_b[g - 1]) if g else (0, 0)
+            written += [x + "|" + y for x, y in zip(names_a[done[0] : i], names_b[done[1] : j])]
+            if g < len(in_a):
+                done = in_a[g], in_b[g]
+                written.append(",".join(names_a[i : done[0]]) + "|" + ",".join(names_b[j : done[1]]))
+        # every end of either array closes one link: an A token with the B token that covers its last byte, or the other way round
+        over, under = np.searchsorted(end_b, end_a), np.searchsorted(end_a, end_b)
+        inner = end_a[under] != end_b
+        wide, numbers = len(self.bytes_b), self.pairs
+        linked = np.concatenate([a * np.int64(wide) + b[over], a[under[inner]] * np.int64(wide) + b[inner]])
+        closes = np.concatenate([end_a, end_b[inner]])
+        order = np.argsort(closes, kind="stable")
+        self.links.add(np.array([numbers.setdefault(x, len(numbers)) for x in linked[order].tolist()], dtype=np.int32), np.diff(np.searchsorted(closes[order], ends, side="right"), prepend=0))
+        to_a, to_b = np.searchsorted(end_a, ends) + 1, np.searchsorted(end_b, ends) + 1
+        groups = np.searchsorted(end_a[np.array(in_a) - 1], ends) + 1
+        self.sizes.add(np.column_stack([np.diff(x, prepend=0) for x in (to_a, to_b, groups)]).ravel(), np.full(len(new), 3))
+        for start, end in zip([0, *groups.tolist()], groups.tolist()):
+            self.groups.append(";".join(written[start:end]))
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces of some texts, in order, and how many each text has."""
         split = [_PIECE.findall(" " + text) if text else [] for text in texts]
         flat = [piece for own in split for piece in own]
-        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
-            self._forget()
         known = self.known
         numbers = np.array([known.get(piece, -1) for piece in flat], dtype=np.int64)
         missing = np.flatnonzero(numbers < 0).tolist()
@@ -182,29 +208,18 @@ class Encoders:
 
 
 class Listed:
-    """The distinct pairs of a block, and in how many of its documents each is."""
+    """The distinct pairs of a block, by their numbers, and in how many of its documents each is."""
 
     def __init__(self):
-        self.pairs, self.place, self.documents = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-    def places(self, pair: np.ndarray) -> np.ndarray:
-        """The place of each pair in the list, new ones at its end."""
-        at = np.searchsorted(self.pairs, pair)
-        new = np.ones(len(pair), dtype=bool) if not len(self.pairs) else self.pairs[np.minimum(at, len(self.pairs) - 1)] != pair
-        if new.any():
-            fresh, first = np.unique(pair[new]), len(self.pairs)
-            pairs, place = np.concatenate([self.pairs, fresh]), np.concatenate([self.place, np.arange(first, first + len(fresh))])
-            self.documents = np.concatenate([self.documents, np.zeros(len(fresh), dtype=np.int64)])
-            order = np.argsort(pairs, kind="stable")
-            self.pairs, self.place = pairs[order], place[order]
-            at = np.searchsorted(self.pairs, pair)
-        return self.place[at]
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs by their place, and their counts."""
-        pairs = np.zeros_like(self.pairs)
-        pairs[self.place] = self.pairs
-        return pairs, self.documents
+        self.place, self.numbers, self.documents = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def places(self, numbers: np.ndarray, pairs: int) -> np.ndarray:
+        """The place of each pair in the list, new ones at its end; ``pairs`` is how many numbers there are."""
+        self.place = np.concatenate([self.place, np.full(pairs - len(self.place), -1)])
+        fresh = np.unique(numbers[self.place[numbers] < 0])
+        self.place[fresh] = np.arange(len(self.numbers), len(self.numbers) + len(fresh))
+        self.numbers, self.documents = np.concatenate([self.numbers, fresh]), np.concatenate([self.documents, np.zeros(len(fresh), dtype=np.int64)])
+        return self.place[numbers]
 
 
 def _sums(of: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -213,50 +228,29 @@ def _sums(of: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[until] - total[until - counts]
 
 
-def _aligned(encoders: Encoders, texts: list[str], listed: Listed) -> dict[str, list | np.ndarray]:
-    """Counts and digests of some texts' groups, and their links as (text, place of the pair in the list, how often).
-
-    A pair is ``A id * size of B + B id``.
-    """
+def _aligned(encoders: Encoders, texts: list[str], listed: Listed, keep_groups: bool = False) -> dict[str, list | np.ndarray]:
+    """Counts and groups of some texts, and their links as (text, place of the pair in the list, how often)."""
     pieces, counts = encoders.pieces(texts)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    bad = np.zeros(len(texts), dtype=bool)
-    bad[owner[~np.array(encoders.fine, dtype=bool)[pieces]]] = True
-    pieces, counts = pieces[~bad[owner]], np.where(bad, 0, counts)
-    (a, size_a), (b, size_b) = encoders.of_a.take(pieces), encoders.of_b.take(pieces)
-    n_a, n_b = _sums(size_a, counts), _sums(size_b, counts)
-    end_a, end_b = np.cumsum(encoders.length_a[a]), np.cumsum(encoders.length_b[b])
-    # every end of either array closes one link: an A token with the B token that covers its last byte, or the other way round
-    over, under = np.searchsorted(end_b, end_a), np.searchsorted(end_a, end_b)
-    inner = np.flatnonzero(end_a[under] != end_b)
-    of, below = np.repeat(np.arange(len(texts)), n_a), under[inner]
-    wide = len(encoders.bytes_b)
-    place = listed.places(np.concatenate([a * np.int64(wide) + b[over], a[below] * np.int64(wide) + b[inner]]))
-    pairs = listed.rows()[0]
-    many = max(1, len(pairs))
-    both = np.sort(np.concatenate([of, of[below]]) * many + place)
+    numbers, groups, at, n_pieces = pieces.tolist(), [""] * len(texts), 0, counts.tolist()
+    known, bad = encoders.groups, np.zeros(len(texts), dtype=bool)
+    for k, n in enumerate(n_pieces):
+        own = [known[x] for x in numbers[at : at + n]]
+        at += n
+        if None in own:
+            bad[k] = True
+        elif own:
+            written = ";".join(own)
+            groups[k] = written if keep_groups else hashlib.sha256(written.encode()).hexdigest()
+    pieces, counts = pieces[~np.repeat(bad, counts)], np.where(bad, 0, counts)
+    sizes = encoders.sizes.take(pieces)[0].reshape(-1, 3)
+    links, n_links = encoders.links.take(pieces)
+    place = listed.places(links, len(encoders.pairs))
+    many = max(1, len(listed.numbers))
+    both = np.sort(np.repeat(np.arange(len(texts)), _sums(n_links, counts)) * many + place)
     first = np.flatnonzero(np.diff(both, prepend=-1))
     times, both = np.diff(first, append=len(both)), both[first]
-    listed.documents += np.bincount(both % many, minlength=many)[: len(pairs)]
-    # groups: those of one token each are written like their pair
-    simple = [f"{x}|{y}" for x, y in zip((pairs // wide).tolist(), (pairs % wide).tolist())]
-    written = [simple[x] for x in place[: len(a)].tolist()]
-    names_a, names_b, end_a, end_b = [encoders.name[x] for x in a.tolist()], [encoders.name[x] for x in b.tolist()], end_a.tolist(), end_b.tolist()
-    n_groups, digests, at_a, at_b = np.zeros(len(texts), dtype=np.int64), [""] * len(texts), 0, 0
-    for k in np.flatnonzero(n_a).tolist():
-        to_a, to_b = at_a + int(n_a[k]), at_b + int(n_b[k])
-        in_a, in_b, irregular = align(end_a[at_a:to_a], end_b[at_b:to_b])
-        groups, done = [], at_a
-        for g in irregular:
-            i, j = (at_a + in_a[g - 1], at_b + in_b[g - 1]) if g else (at_a, at_b)
-            groups += written[done:i]
-            done = at_a + in_a[g]
-            groups.append(",".join(names_a[i:done]) + "|" + ",".join(names_b[j : at_b + in_b[g]]))
-        groups += written[done:to_a]
-        n_groups[k] = len(groups)
-        digests[k] = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        at_a, at_b = to_a, to_b
-    return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "digest": digests, "text": both // many, "place": both % many, "times": times}
+    listed.documents += np.bincount(both % many, minlength=many)[: len(listed.documents)]
+    return {"n_a": _sums(sizes[:, 0], counts), "n_b": _sums(sizes[:, 1], counts), "n_groups": _sums(sizes[:, 2], counts), "groups": groups, "text": both // many, "place": both % many, "times": times}
 
 
 #: A worker keeps the vocabularies, and what they made of pieces, from task to task.
@@ -277,10 +271,10 @@ def _lists(numbers: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(numbers, kind))
 
 
-def tokens_aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each document's tokens in blocks: rows with a digest are documents, rows without one hold the pairs of their block.
+def tokens_aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None, id_column: str = "doc_id", text_column: str = "text", keep_groups: bool = False) -> DataFrame:
+    """Each document's groups and links in blocks: rows with groups are documents, rows without hold the pairs of their block.
 
-    ``block, doc_id, n_a, n_b, n_groups, groups_sha256, place array<int>, times array<int>, pairs array<long>, documents array<int>``:
+    ``block, doc_id, n_a, n_b, n_groups, groups, place array<int>, times array<int>, pairs array<long>, documents array<int>``:
     ``place`` and ``times`` say which pairs of the block's list a document holds, and how often.
     """
     from pyspark import TaskContext
@@ -289,57 +283,64 @@ def tokens_aligned(docs: DataFrame, byte_path: str | None = None, piece_path: st
     name = hashlib.sha256(sent.value[0].encode() + sent.value[1]).hexdigest()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "place", "times", "pairs", "documents"]
+    names = ["block", "doc_id", "n_a", "n_b", "n_groups", "groups", "place", "times", "pairs", "documents"]
     none = np.zeros(0, dtype=np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _encoders:
             _encoders[name] = Encoders(*sent.value)
+        encoders = _encoders[name]
         block, size, listed, id_type = TaskContext.get().partitionId() << 32, 0, Listed(), None
 
         def ended() -> pa.RecordBatch:
-            pairs, documents = listed.rows()
+            pairs = np.fromiter(encoders.pairs, dtype=np.int64, count=len(encoders.pairs))[listed.numbers]  # a dict keeps its order
             nothing, empty = pa.array([None], pa.int64()), _lists(none, np.zeros(1, dtype=np.int64), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], id_type), nothing, nothing, nothing, pa.array([None], pa.string()), empty, empty, _lists(pairs, np.array([len(pairs)]), pa.int64()), _lists(documents, np.array([len(pairs)]), pa.int32())], names=names)
+            found = pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], id_type), nothing, nothing, nothing, pa.array([None], pa.string()), empty, empty, _lists(pairs, np.array([len(pairs)]), pa.int64()), _lists(listed.documents, np.array([len(pairs)]), pa.int32())], names=names)
+            if encoders.full():
+                encoders.forget()
+            return found
 
         for part in slices(batches, most=PART_BYTES):
             texts = part.column("text").to_pylist()
-            found, id_type = _aligned(_encoders[name], [t or "" for t in texts], listed), part.column("doc_id").type
+            found, id_type = _aligned(encoders, [t or "" for t in texts], listed, keep_groups), part.column("doc_id").type
             each, zeros = np.bincount(found["text"], minlength=len(texts)), np.zeros(len(texts), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(texts), block)), part.column("doc_id"), *(pa.array(found[c]) for c in ("n_a", "n_b", "n_groups")), pa.array(found["digest"], pa.string()), _lists(found["place"], each, pa.int32()), _lists(found["times"], each, pa.int32()), _lists(none, zeros, pa.int64()), _lists(none, zeros, pa.int32())], names=names
+                [pa.array(np.full(len(texts), block)), part.column("doc_id"), *(pa.array(found[c]) for c in ("n_a", "n_b", "n_groups")), pa.array(found["groups"], pa.string()), _lists(found["place"], each, pa.int32()), _lists(found["times"], each, pa.int32()), _lists(none, zeros, pa.int64()), _lists(none, zeros, pa.int32())], names=names
             )
             size += sum(map(len, filter(None, texts)))
-            if size >= BLOCK_BYTES:
+            if size >= BLOCK_BYTES or encoders.full():
                 yield ended()
                 block, size, listed = block + 1, 0, Listed()
         if size:
             yield ended()
 
-    return rows.mapInArrow(work, f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, place array<int>, times array<int>, pairs array<long>, documents array<int>")
+    return rows.mapInArrow(work, f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, groups string, place array<int>, times array<int>, pairs array<long>, documents array<int>")
 
 
-def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None, id_column: str = "doc_id", text_column: str = "text", keep_groups: bool = True) -> DataFrame:
     """Groups and links of the tokens that two vocabularies make of each text, a blank put before it.
 
-    Returns ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``.  Tokens whose byte ranges overlap are linked; a
+    Returns ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` or, without ``keep_groups``, ``groups_sha256`` in the last
+    one's place: ``a1,a2|b1;a3|b2,b3``, decimal ids in order, or the digest of that.  Tokens whose byte ranges overlap are linked; a
     pair of ids counts the documents in which it is linked, over the whole table, rows that repeat an id each for themselves; a link
     is best if no other pair of its A id counts more, ties included.  Texts that are null or empty, or that a vocabulary cannot spell, have no tokens:
-    zeros and an empty digest.  Null and repeated ids pass through, row by row; an empty table gives an empty one; other
+    zeros and no groups, with an empty string for a digest.  Null and repeated ids pass through, row by row; an empty table gives an empty one; other
     columns are not read.
     """
     spark = docs.sparkSession
     size_b = _size(piece_path)
     folder = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    tokens_aligned(docs, byte_path, piece_path, id_column, text_column).write.option("compression", "zstd").parquet(folder)
+    tokens_aligned(docs, byte_path, piece_path, id_column, text_column, keep_groups).write.option("compression", "zstd").parquet(folder)
     rows = spark.read.parquet(folder)
-    listed = rows.where("groups_sha256 is null").select("block", F.posexplode(F.arrays_zip("pairs", "documents")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("documents"))
+    listed = rows.where("groups is null").select("block", F.posexplode(F.arrays_zip("pairs", "documents")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("documents"))
     counts = settled(listed.groupBy("pair").agg(F.sum("documents").alias("count")))
     first = F.floor(F.col("pair") / F.lit(size_b))
     highest = counts.groupBy(first.alias("first")).agg(F.max("count").alias("highest"))  # an A id has as many pairs as B has ids, at most
     counts = counts.withColumn("first", first).join(highest, "first").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
     back = listed.select("block", "place", "pair").join(counts, "pair").select(F.col("block").alias("list"), "place", "count", "best")
 
+    last = "groups" if keep_groups else "groups_sha256"
+
     def counted(documents: pa.Table, pairs: pa.Table) -> pa.Table:
         documents, place = documents.combine_chunks(), pairs["place"].to_numpy()
         count, best = np.zeros(len(place) + 1, dtype=np.int64), np.zeros(len(place) + 1, dtype=np.int64)
@@ -348,11 +349,11 @@ def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str |
         sizes = np.asarray(own.value_lengths())
         own, times = own.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
         links = [pa.array(_sums(x, sizes)) for x in (times, times * best[own], times * count[own])]
-        return pa.table([*(documents[c] for c in ("doc_id", "n_a", "n_b", "n_groups")), *links, documents["groups_sha256"]], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+        return pa.table([*(documents[c] for c in ("doc_id", "n_a", "n_b", "n_groups")), *links, documents["groups"]], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", last])
 
-    told = rows.where("groups_sha256 is not null").select("block", "doc_id", "n_a", "n_b", "n_groups", "place", "times", "groups_sha256")
+    told = rows.where("groups is not null").select("block", "doc_id", "n_a", "n_b", "n_groups", "place", "times", "groups")
     kind = told.schema["doc_id"].dataType.simpleString()
-    return told.groupBy("block").cogroup(back.groupBy("list")).applyInArrow(counted, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return told.groupBy("block").cogroup(back.groupBy("list")).applyInArrow(counted, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, {last} string")
 
 
 def _size(path: str | None) -> int:

@@ -181,24 +181,32 @@ def test_alignment_agrees_with_a_loop(spark, texts, monkeypatch):
     for block, part in ((1 << 24, 1 << 20), (3000, 1000)):  # the second makes many blocks
         monkeypatch.setattr(token_alignment, "BLOCK_BYTES", block)
         monkeypatch.setattr(token_alignment, "PART_BYTES", part)
-        got = token_alignment.alignments(df.repartition(3))
+        got = token_alignment.alignments(df.repartition(3), keep_groups=False)
         assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
         assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got.collect()) == want
+    whole = {str(r.doc_id): r.groups for r in token_alignment.alignments(df).collect()}
+    assert all(sha(whole[i]) == row[-1] if row[-1] else whole[i] == "" for i, *row in want if i != "None" and i != "0")
     assert all(links == a + b - groups for _, a, b, groups, links, *_ in want)
     assert token_alignment.alignments(df.where("false")).count() == 0
     assert [tuple(r)[1:] for r in token_alignment.alignments(df.where("text is null")).collect()] == [(0, 0, 0, 0, 0, 0, "")] * 2
 
 
-def test_pieces_are_encoded_as_in_their_text(monkeypatch):
-    whole = token_alignment.Encoders(token_alignment.vocabulary(), token_alignment.piece_model())
+def test_pieces_are_aligned_as_in_their_text(monkeypatch):
+    encoders = token_alignment.Encoders(token_alignment.vocabulary(), token_alignment.piece_model())
     for together in (1, 4096):
         monkeypatch.setattr(token_alignment, "TOGETHER", together)
-        monkeypatch.setattr(token_alignment, "REMEMBERED", 3)  # forgets between calls
+        encoders.forget()
         for text in ODD:
-            numbers, _ = whole.pieces([text])
-            ids = whole._ids(" " + text)
-            if text != "▁ is no blank":
-                assert whole.of_a.take(numbers)[0].tolist() == ids[0] and whole.of_b.take(numbers)[0].tolist() == ids[1], text
+            numbers, _ = encoders.pieces([text])
+            a, b = encoders.ids(" " + text)
+            groups = [encoders.groups[i] for i in numbers]
+            if text == "▁ is no blank":
+                assert None in groups
+                continue
+            halves = [g.split("|") for g in ";".join(groups).split(";")]
+            assert [int(x) for g, _ in halves for x in g.split(",")] == a and [int(x) for _, g in halves for x in g.split(",")] == b, text
+            assert encoders.sizes.take(numbers)[0].reshape(-1, 3).sum(axis=0).tolist() == [len(a), len(b), len(halves)]
+            assert encoders.links.take(numbers)[1].sum() == len(a) + len(b) - len(halves)
 
 
 # --- page text
