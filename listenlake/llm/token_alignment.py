@@ -27,7 +27,7 @@ from .graph import settled, shared_folder
 from .textops import slices
 
 #: Bytes of text in a block of documents, and of those that are worked on at once; a longer text is worked on by itself.
-BLOCK_BYTES, PART_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 20
 #: Pieces, characters of them, and pairs that a worker remembers until its block ends; beyond that it starts afresh, which costs time and changes nothing.
 REMEMBERED, REMEMBERED_CHARACTERS, REMEMBERED_PAIRS = 500_000, 1 << 24, 1 << 22
 #: Characters of pieces that are encoded together.
