@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from listenlake.functions.text import squeeze, strip
 from listenlake.operators.windows import pack_to_budget
+from listenlake.sources.library import current_version, read_latest, upsert_latest
 
 #: Token and character budgets by style and kind (fixed values).  A budget of 0 needs no call.
 BUDGETS = {
@@ -113,9 +114,29 @@ def abstract_requests(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("document_id", F.concat(F.lit("Document: "), "title", F.lit("\n\nSection notes:\n"), "notes").alias("prompt"), "language")
 
 
-def assistant_pack(docs: DataFrame, outline: DataFrame, nodes: DataFrame, segs: DataFrame, chars: int = 360_000) -> DataFrame:
-    """``document_id, context, truncated``: one text a document for a reading assistant: outline, notes, and as much of the passages
-    as fits, each behind its marker."""
+def reader_state(memories: DataFrame, coverage: DataFrame, last: DataFrame, segs: DataFrame, most: int = 20) -> DataFrame:
+    """``document_id, state``: what an assistant may know of a reader: where the last talk stopped, the newest ``most`` notes that were kept,
+    oldest first, and how much of the document was heard and talked about.  Documents with none of these give no row.
+
+    ``memories``: ``document_id, ord, pos, text``; ``coverage``: ``document_id, section, heard, discussed``; ``last``: ``document_id, pos,
+    title`` (of the section, or null).  Places carry the marker of their block's first passage, if it has one.
+    """
+    firsts = segs.groupBy("document_id", F.col("block_pos").alias("pos")).agg(F.min("seg_idx").alias("marker"))
+    mark = F.coalesce(F.concat(F.lit(" ⟦"), F.col("marker").cast("string"), F.lit("⟧")), F.lit(""))
+    where = F.concat(F.lit("The last talk stopped"), F.coalesce(F.concat(F.lit(" in “"), "title", F.lit("”")), F.lit("")), mark, F.lit("."))
+    stopped = last.join(firsts, ["document_id", "pos"], "left").groupBy("document_id").agg(F.max(where).alias("line"))
+    newest = memories.withColumn("age", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("ord"), F.desc("text")))).where(F.col("age") <= most)
+    kept = newest.join(firsts, ["document_id", "pos"], "left").groupBy("document_id").agg(F.concat(F.lit("Notes kept from earlier talks:\n"), _joined(["ord"], F.concat(F.lit("-"), mark, F.lit(" "), "text"), "\n")).alias("line"))
+    count = lambda c: F.count(F.when(F.col(c), 1))
+    seen = coverage.groupBy("document_id").agg(count("heard").alias("h"), count("discussed").alias("d"), F.count("*").alias("n")).where("h + d > 0")
+    seen = seen.select("document_id", F.concat(F.lit("Sections heard: "), F.col("h").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit("; talked about: "), F.col("d").cast("string"), F.lit(".")).alias("line"))
+    lines = stopped.select("document_id", F.lit(1).alias("part"), "line").unionByName(kept.select("document_id", F.lit(2).alias("part"), "line")).unionByName(seen.select("document_id", F.lit(3).alias("part"), "line"))
+    return lines.groupBy("document_id").agg(_joined(["part"], F.col("line"), "\n").alias("state"))
+
+
+def assistant_pack(docs: DataFrame, outline: DataFrame, nodes: DataFrame, segs: DataFrame, state: DataFrame | None = None, chars: int = 360_000) -> DataFrame:
+    """``document_id, context, truncated``: one text a document for a reading assistant: outline, notes, what is known of the reader
+    (``state``: ``document_id, state``), and as much of the passages as fits, each behind its marker, with a note of what does not."""
     firsts = segs.groupBy("document_id", F.col("block_pos").alias("pos")).agg(F.min("seg_idx").alias("marker"))
     mark = F.when(F.col("marker").isNotNull(), F.concat(F.lit(" ⟦"), F.col("marker").cast("string"), F.lit("⟧"))).otherwise("")
     line = F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("level") - 1)), F.lit("- "), "title", mark)
@@ -126,11 +147,14 @@ def assistant_pack(docs: DataFrame, outline: DataFrame, nodes: DataFrame, segs:
     same = F.lag("block_pos").over(order)
     lead = F.when(same.isNull(), "").when(same == F.col("block_pos"), " ").otherwise("\n\n")
     pieces = segs.withColumn("text", F.concat(lead, F.lit("⟦"), F.col("seg_idx").cast("string"), F.lit("⟧ "), squeeze(F.col("text"))))
-    cut = pack_to_budget(pieces, chars)
-    body = pieces.join(cut, "document_id").where("cut_at = -1 or seg_idx < cut_at").groupBy("document_id").agg(_joined(["seg_idx"], F.col("text"), "").alias("body"), (F.max("cut_at") >= 0).alias("truncated"))
-    rows = docs.select("document_id", "title").join(heads, "document_id", "left").join(notes, "document_id", "left").join(body, "document_id", "left")
-    parts = F.array(F.when(F.coalesce("outline", F.lit("")) != "", F.concat(F.lit("=== OUTLINE ===\n"), "outline")), F.when(F.coalesce("notes", F.lit("")) != "", F.concat(F.lit("=== STUDY NOTES ===\n"), "notes")), F.concat(F.lit("=== DOCUMENT: "), "title", F.lit(" ===\n"), F.coalesce("body", F.lit(""))))
-    return rows.select("document_id", F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n\n").alias("context"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    cut = pack_to_budget(pieces, chars).join(segs.groupBy("document_id").agg(F.max("seg_idx").alias("last")), "document_id")
+    body = pieces.join(cut, "document_id").where("cut_at = -1 or seg_idx < cut_at").groupBy("document_id").agg(_joined(["seg_idx"], F.col("text"), "").alias("body"))
+    left_out = F.when(F.col("cut_at") >= 0, F.concat(F.lit("[Passages ⟦"), F.col("cut_at").cast("string"), F.lit("⟧ to ⟦"), F.col("last").cast("string"), F.lit("⟧ are left out here; they can be read one by one.]")))
+    rows = docs.select("document_id", "title").join(heads, "document_id", "left").join(notes, "document_id", "left").join(body, "document_id", "left").join(cut.select("document_id", left_out.alias("left_out")), "document_id", "left")
+    rows = rows.join(state, "document_id", "left") if state is not None else rows.withColumn("state", F.lit(None).cast("string"))
+    part = lambda name, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"=== {name} ===\n"), c))
+    parts = F.array(part("OUTLINE", "outline"), part("STUDY NOTES", "notes"), part("READER STATE", "state"), F.concat(F.lit("=== DOCUMENT: "), "title", F.lit(" ===\n"), F.coalesce("body", F.lit(""))), F.col("left_out"))
+    return rows.select("document_id", F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n\n").alias("context"), F.col("left_out").isNotNull().alias("truncated"))
 
 
 def map_model(requests: DataFrame, run: Callable[[list[str], bool], list[str]], accept: Callable[[str], str | None], key: str = "request_id") -> DataFrame:
@@ -141,19 +165,47 @@ def map_model(requests: DataFrame, run: Callable[[list[str], bool], list[str]],
     """
     kind = requests.schema[key].dataType.simpleString()
 
+    def asked(prompts: list[str], strict: bool) -> list[str | None]:
+        answers = run(prompts, strict) if prompts else []
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(prompts)} prompts got {len(answers)} answers")
+        return [accept(a) for a in answers]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             prompts = pdf["prompt"].tolist()
-            answers = [accept(a) for a in run(prompts, False)] if prompts else []
+            answers = asked(prompts, False)
             again = [i for i, a in enumerate(answers) if a is None]
-            if again:
-                for i, a in zip(again, run([prompts[i] for i in again], True)):
-                    answers[i] = accept(a)
+            for i, a in zip(again, asked([prompts[i] for i in again], True)):
+                answers[i] = a
             yield pd.DataFrame({key: pdf[key], "answer": answers, "status": ["failed" if a is None else "ready" for a in answers]})
 
     return requests.select(key, "prompt").mapInPandas(work, f"{key} {kind}, answer string, status string")
 
 
+def ask_once(requests: DataFrame, run: Callable[[list[str], bool], list[str]], accept: Callable[[str], str | None], path: str, model: str, prompt_version: int, key: str = "request_id") -> DataFrame:
+    """``request_id, answer, status`` like ``map_model``, with answers kept in a table at ``path`` and asked for once.
+
+    What is asked is told by a digest of prompt, model and prompt version.  Requests of one digest share one question; those that
+    have a ready answer in the table are not asked, those that failed are asked anew.  Answers are merged into the table bucket by
+    bucket, so that a job that stops loses the buckets that it had not finished and no others.  A null prompt is an empty one.
+    """
+    named = requests.select(key, F.coalesce("prompt", F.lit("")).alias("prompt")).withColumn("digest", F.sha2(F.to_json(F.struct("prompt", F.lit(model).alias("model"), F.lit(prompt_version).alias("version"))), 256))
+    spark = requests.sparkSession
+    questions = named.groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    for part in range(ROUNDS):
+        wanted = questions.where(F.pmod(F.xxhash64("digest"), F.lit(ROUNDS)) == part)
+        if current_version(spark, path) >= 0:
+            wanted = wanted.join(read_latest(spark, path).where("status = 'ready'").select("digest"), "digest", "left_anti")
+        upsert_latest(map_model(wanted, run, accept, key="digest").withColumn("asked_at", F.current_timestamp()), path, "digest", "asked_at", buckets=ROUNDS)
+    known = read_latest(spark, path).select("digest", "answer", "status")
+    return named.select(key, "digest").join(known, "digest").select(key, "answer", "status")
+
+
+#: Parts in which questions are asked and their answers stored.
+ROUNDS = 4
+
+
 def _plain(text: Column) -> Column:
     """What every answer goes through: thoughts, tags, opening phrases, quotes and markup go."""
     text = F.regexp_replace(text, r"(?s)<think>.*?</think>", " ")
@@ -224,10 +276,15 @@ def gate_explanation(answers: DataFrame) -> DataFrame:
     return rows.withColumn("clean", F.when(F.col("reason") == "ok", F.col("__t"))).drop("__t")
 
 
+def _alone(pattern: str) -> str:
+    """A pattern between characters that are no ASCII letters, digits or underscores, whatever the regex engine counts as a word."""
+    return f"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
+
+
 def gate_grounding(answers: DataFrame) -> DataFrame:
     """Adds ``grounded``: every Greek name and single capital of ``answer`` is in ``reading``."""
-    names = lambda c: F.regexp_extract_all(F.lower(c), F.lit(GREEK), F.lit(1))
-    letters = lambda c: F.regexp_extract_all(c, F.lit(r"\b[A-Z]\b"), F.lit(0))
+    names = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_alone(GREEK.replace(r"\b", ""))), F.lit(1))
+    letters = lambda c: F.regexp_extract_all(c, F.lit(_alone("([A-Z])")), F.lit(1))
     return answers.withColumn("grounded", (F.size(F.array_except(names("answer"), names("reading"))) == 0) & (F.size(F.array_except(letters("answer"), letters("reading"))) == 0))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +21,18 @@ def _joined(order: list[str], text: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, text.alias("__t")))), lambda x: x["__t"]), separator)
 
 
+def joined_ranges(ranges: Column, gap: float = 0.2) -> Column:
+    """An array of ranges, ``start_s`` before ``end_s``, sorted and joined where at most ``gap`` seconds lie between them."""
+
+    def add(held: Column, x: Column) -> Column:
+        last = F.element_at(held, -1)
+        longer = F.struct(last["start_s"].alias("start_s"), F.greatest(last["end_s"], x["end_s"]).alias("end_s"))
+        touches = (F.size(held) > 0) & (x["start_s"] <= F.try_element_at(held, F.lit(-1))["end_s"] + F.lit(max(0.0, gap)))
+        return F.when(touches, F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(longer))).otherwise(F.concat(held, F.array(x)))
+
+    return F.aggregate(F.sort_array(ranges), F.array().cast("array<struct<start_s:double,end_s:double>>"), add)
+
+
 def merge_ranges(events: DataFrame, gap: float = 0.2) -> DataFrame:
     """Listened ranges of each passage, joined where at most ``gap`` seconds lie between them.
 
@@ -304,26 +313,21 @@ def image_budget(images: DataFrame, least: int = 4096, each: int = 2_000_000, to
     """Adds ``kept`` and ``skipped`` to ``document_id, image_no, bytes, repeats``: in order, while the total allows.
 
     Small and repeated images vanish; one that is too large is skipped and uses up nothing, so what follows depends on every
-    choice before it.  Documents are streamed in order; one number is carried along.
+    choice before it: a fold over a document's images in order, which carries what is left.
     """
-
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        document, left = None, total
-        for pdf in batches:
-            kept, skipped = [], []
-            for d, size, repeats in zip(pdf["document_id"], pdf["bytes"], pdf["repeats"]):
-                if d != document:
-                    document, left = d, total
-                plain = size >= least and repeats < 3
-                fits = plain and size <= each and size <= left
-                left -= size if fits else 0
-                kept.append(fits)
-                skipped.append(plain and not fits)
-            yield pdf.assign(kept=kept, skipped=skipped)
-
     rows = images.select("document_id", "image_no", "bytes", "repeats")
-    rows = rows.repartition("document_id").sortWithinPartitions("document_id", "image_no")
-    return rows.mapInPandas(greedy, f"document_id {rows.schema['document_id'].dataType.simpleString()}, image_no int, bytes long, repeats long, kept boolean, skipped boolean")
+    plain = lambda x: (x["bytes"] >= least) & (x["repeats"] < 3)
+    order = F.sort_array(F.collect_list(F.struct("image_no", "bytes", "repeats")))
+
+    def step(held: Column, x: Column) -> Column:
+        fits = F.coalesce(plain(x) & (x["bytes"] <= each) & (x["bytes"] <= held["left"]), F.lit(False))
+        left = F.when(fits, held["left"] - x["bytes"]).otherwise(held["left"])
+        return F.struct(left.alias("left"), F.concat(held["kept"], F.array(fits)).alias("kept"))
+
+    folded = F.aggregate(F.col("images"), F.struct(F.lit(total).cast("long").alias("left"), F.array().cast("array<boolean>").alias("kept")), step)["kept"]
+    found = rows.groupBy("document_id").agg(order.alias("images")).select("document_id", F.explode(F.arrays_zip("images", folded.alias("kept"))).alias("x"))
+    image = F.col("x.images")
+    return found.select("document_id", image["image_no"].cast("int").alias("image_no"), image["bytes"].cast("long").alias("bytes"), image["repeats"].cast("long").alias("repeats"), F.col("x.kept").alias("kept"), (F.coalesce(plain(image), F.lit(False)) & ~F.col("x.kept")).alias("skipped"))
 
 
 def dedup_exact(docs: DataFrame, id_column: str = "document_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,34 @@ from listenlake.streaming import playback
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share; only where no checkpoint folder is set, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    """A new folder that the driver and all executors share; where no checkpoint folder is set, a local one, which only a local session can use."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that arbitrary state needs, for the streams that begin within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _arriving(rows: DataFrame, part: F.Column, parts: int, folder: str) -> Iterator[DataFrame]:
+    """``rows`` as a stream over a folder that grows: before each round the rows of one part are added to it."""
+    for k in range(parts):
+        rows.where(part == k).write.mode("append").parquet(folder)
+        yield rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+
+
 def _stream(v: Views, table: str) -> DataFrame:
     """A table's file or folder as a stream of its rows."""
     schema = v.table(table).schema
@@ -58,8 +83,12 @@ def stream_latest_position(v: Views) -> DataFrame:
 
 @query("select distinct sha256(text) as fingerprint from documents")
 def stream_import_dedup(v: Views) -> DataFrame:
-    docs = _stream(v, "documents").select(F.sha2("text", 256).alias("fingerprint"), F.timestamp_seconds(1_700_000_000 + F.col("doc_id") % 500_000).alias("event_ts"))
-    return _drained(playback.stream_import_dedup(docs), "append").select("fingerprint")
+    """Five rounds of imports; their times run against the order in which they come, by up to a month."""
+    folder = _shared(v.spark)
+    docs = v.documents.select("document_id", F.sha2("text", 256).alias("fingerprint"), F.timestamp_seconds(1_700_000_000 - F.col("document_id") % 30 * 86_400).alias("event_ts"))
+    for stream in _arriving(docs, F.pmod(F.xxhash64("document_id"), F.lit(5)), 5, f"{folder}/in"):
+        playback.keep_imports(stream, f"{folder}/out", f"{folder}/log").awaitTermination()
+    return v.spark.read.parquet(f"{folder}/out/new").select("fingerprint")
 
 
 @query(
@@ -69,26 +98,32 @@ def stream_import_dedup(v: Views) -> DataFrame:
     "listen_events",
 )
 def stream_sessions(v: Views) -> DataFrame:
-    def touches(events: DataFrame) -> DataFrame:
-        return events.select("document_id", F.col("segment_id").alias("block_id"), "event_ts")
-
-    closed, batch = _drained(playback.stream_sessions(touches(_events(v))), "append"), v.listen_events.withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    found = closed.unionByName(playback.open_sessions(touches(batch)))
-    return found.select("document_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), F.array_join("blocks", ",").alias("blocks"), "last_block")
+    """Six rounds of events, each up to a round too early or late, and a row that ends the stream; the sessions come from the stream alone."""
+    folder = _shared(v.spark)
+    rows = v.listen_events.select("document_id", F.col("segment_id").alias("block_id"), F.col("event_ts").cast("timestamp").alias("event_ts"))
+    low, high = rows.agg(F.min(F.unix_micros("event_ts")), F.max(F.unix_micros("event_ts"))).first()
+    width = max(1, ((high or 0) - (low or 0)) // 6 + 1)
+    part = F.floor((F.unix_micros("event_ts") - F.lit(low or 0)) / F.lit(width)) + F.pmod(F.xxhash64("document_id", "event_ts"), F.lit(3)) - 1
+    part = F.coalesce(F.when(F.col("block_id").isNull(), 6).otherwise(F.greatest(F.lit(0), F.least(F.lit(5), part))), F.lit(0))
+    end = v.spark.sql(f"select cast(null as long) as document_id, cast(null as string) as block_id, timestamp '{playback.END}' as event_ts")
+    late = f"{3 * width // 1_000_000 + 1} seconds"
+    with _rocksdb(v.spark):
+        for stream in _arriving(rows.unionByName(end), part, 7, f"{folder}/in"):
+            found = playback.stream_sessions(stream, late=late)
+            found.writeStream.option("checkpointLocation", f"{folder}/log").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    done = v.spark.read.schema(found.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return done.select("document_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), F.array_join("blocks", ",").alias("blocks"), "last_block")
 
 
 @query("select document_id, segment_id, round(start_s, 6) as start_s, round(end_s, 6) as end_s from merged", "merged")
 def stream_listened(v: Views) -> DataFrame:
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = v.spark.conf.get(name)
-    v.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        folder = _shared(v.spark)
-        stream = playback.stream_listened(_events(v)).withColumn("key", F.concat_ws(" ", "document_id", "segment_id"))
-        running = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").foreachBatch(lambda batch, n: library.upsert_latest(batch.withColumn("batch", F.lit(n)), f"{folder}/ranges", key="key", at="batch", batch_id=n)).trigger(availableNow=True).start()
-        running.awaitTermination()
-    finally:
-        v.spark.conf.set(name, before)
+    """Two rounds of events; the second is a new stream that begins with the ranges that the first has stored."""
+    folder = _shared(v.spark)
+    events = v.listen_events.select(*(F.col(f.name).cast(f.dataType) for f in library.LISTEN_EVENTS))
+    with _rocksdb(v.spark):
+        for k in range(2):
+            stream = next(_arriving(events.where(F.pmod(F.xxhash64("event_ts"), F.lit(2)) == k), F.lit(0), 1, f"{folder}/in{k}"))
+            playback.keep_listened(stream, f"{folder}/ranges", f"{folder}/log{k}").awaitTermination()
     rows = library.read_latest(v.spark, f"{folder}/ranges").select("document_id", "segment_id", F.explode("ranges").alias("r"))
     return rows.select("document_id", "segment_id", F.round("r.start_s", 6).alias("start_s"), F.round("r.end_s", 6).alias("end_s"))
 
@@ -130,7 +165,13 @@ def _pages(v: Views) -> DataFrame:
     return v.blocks.groupBy("document_id", "page").agg(lines.alias("text"))
 
 
-@query(None)
+@query(
+    """select document_id, page, string_agg(case when not fenced and spaced then lead || array_to_string(list_transform(string_split_regex(body, '\\s{2,}'), lambda w: replace(w, ' ', '')), ' ') else l end, chr(10) order by p) as text from (select *, fence or sum(cast(fence as int)) over (partition by document_id, page order by p rows unbounded preceding) % 2 = 1 as fenced,
+ regexp_matches(body, '^[\\p{Lu}\\p{N}](?: [\\p{Lu}\\p{N}])+(?:\\s{2,}[\\p{Lu}\\p{N}](?: [\\p{Lu}\\p{N}])+)*$') and regexp_matches(body, '\\p{Lu}') and length(regexp_replace(body, '\\s', '', 'g')) >= 4 as spaced
+ from (select *, regexp_matches(l, '^\\s*```') as fence, regexp_extract(l, '^\\s*(?:#{1,6}\\s+)?(.+?)\\s*$', 1) as body, regexp_extract(l, '^(\\s*(?:#{1,6}\\s+)?).+?\\s*$', 1) as lead from (select document_id, page, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as p
+ from (select document_id, page, regexp_replace(regexp_replace('```text' || chr(10) || 'R E A D  M E' || chr(10) || string_agg(text, chr(10) order by pos) || chr(10) || '```', '(?m)^```text\\n([\\s\\S]*?)\\n?```$', '\\1', 'g'), '^\\n+|\\n+$', '', 'g') as t from blocks group by document_id, page)))) group by document_id, page""",
+    "blocks",
+)
 def clean_page_text(v: Views) -> DataFrame:
     return generators.clean_page_text(_pages(v).withColumn("text", F.concat(F.lit("```text\nR E A D  M E\n"), "text", F.lit("\n```"))))
 
@@ -158,9 +199,14 @@ def merge_around_spans(v: Views) -> DataFrame:
     return generators.merge_around_spans(parts, spans)
 
 
-@query(None)
+@query(
+    """select document_id, image_no, bytes, repeats, kept, bytes >= 4096 and repeats < 3 and not kept as skipped from (with recursive i as (select l_orderkey as document_id, l_linenumber as image_no, cast(l_extendedprice * 100 as bigint) as bytes, cast(l_suppkey % 4 as bigint) as repeats, row_number() over (partition by l_orderkey order by l_linenumber, cast(l_extendedprice * 100 as bigint), l_suppkey % 4) as k from lineitem),
+ f as (select document_id, k, image_no, bytes, repeats, bytes >= 4096 and repeats < 3 and bytes <= 2000000 as kept, case when bytes >= 4096 and repeats < 3 and bytes <= 2000000 then 25000000 - bytes else 25000000 end as rest from i where k = 1
+ union all select i.document_id, i.k, i.image_no, i.bytes, i.repeats, i.bytes >= 4096 and i.repeats < 3 and i.bytes <= least(2000000, f.rest), case when i.bytes >= 4096 and i.repeats < 3 and i.bytes <= least(2000000, f.rest) then f.rest - i.bytes else f.rest end from f join i on i.document_id = f.document_id and i.k = f.k + 1)
+ select * from f)"""
+)
 def image_budget(v: Views) -> DataFrame:
-    images = v.table("lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("image_no"), (F.col("l_extendedprice") * 100).cast("long").alias("bytes"), (F.col("l_suppkey") % 4).cast("long").alias("repeats"))
+    images = v.table("lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("image_no"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("bytes"), (F.col("l_suppkey") % 4).cast("long").alias("repeats"))
     return windows.image_budget(images)
 
 
@@ -203,11 +249,19 @@ def reconcile_narrations(v: Views) -> DataFrame:
     return joins.reconcile_narrations(constructs, entries, prompts, 1)
 
 
-@query(None)
+@query(
+    """select request_id, case when length(a) <= 40 then a when length(b) <= 40 then b end as answer, case when length(b) <= 40 then 'ready' else 'failed' end as status
+ from (select request_id, array_to_string(w[1:8], ' ') as a, array_to_string(w[1:4], ' ') as b from (select document_id || '-' || seg_idx as request_id, list_filter(string_split_regex(text, '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+'), lambda x: x <> '') as w from segments))""",
+    "segments",
+)
 def map_model(v: Views) -> DataFrame:
     requests = v.segments.select(F.concat_ws("-", "document_id", "seg_idx").alias("request_id"), F.col("text").alias("prompt"))
 
     def shorten(prompts: list[str], strict: bool) -> list[str]:
         return [" ".join(p.split()[: 4 if strict else 8]) for p in prompts]
 
-    return modeltext.map_model(requests, shorten, lambda answer: answer if len(answer) <= 40 else None)
+    path = f"{_shared(v.spark)}/answers"
+    some = requests.where(F.pmod(F.xxhash64("request_id"), F.lit(2)) == 0)
+    for asked in (some, requests):  # the second round asks only for what the first has not answered
+        found = modeltext.ask_once(asked, shorten, lambda answer: answer if len(answer) <= 40 else None, path, model="shorten", prompt_version=1)
+    return found

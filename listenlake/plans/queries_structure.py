@@ -158,9 +158,9 @@ def breadcrumb(v: Views) -> DataFrame:
     return windows.breadcrumb(v.blocks, v.outline, v.library)
 
 
-@query("select document_id, string_agg(case when entry_idx < 5 then repeat('  ', level - 1) || '- ' || title end, chr(10) order by entry_idx) || case when count(*) > 5 then chr(10) || '(+' || (count(*) - 5) || ' more sections)' else '' end as outline from outline group by document_id", "outline")
+@query("select document_id, string_agg(case when entry_idx < 40 then repeat('  ', level - 1) || '- ' || title end, chr(10) order by entry_idx) || case when count(*) > 40 then chr(10) || '(+' || (count(*) - 40) || ' more sections)' else '' end as outline from outline group by document_id", "outline")
 def outline_text(v: Views) -> DataFrame:
-    return windows.outline_text(v.outline, most=5)
+    return windows.outline_text(v.outline)
 
 
 @query(
@@ -188,20 +188,20 @@ def explain_context(v: Views) -> DataFrame:
     return windows.explain_context(v.blocks, picked)
 
 
-@query("select document_id, count(*) filter (where total <= 2000) as packed, coalesce(min(seg_idx) filter (where total > 2000), -1) as cut_at from (select document_id, seg_idx, sum(length(text)) over (partition by document_id order by seg_idx rows unbounded preceding) as total from segments) group by document_id", "segments")
+@query("select document_id, count(*) filter (where total <= 360000) as packed, coalesce(min(seg_idx) filter (where total > 360000), -1) as cut_at from (select document_id, seg_idx, sum(length(text)) over (partition by document_id order by seg_idx rows unbounded preceding) as total from segments) group by document_id", "segments")
 def pack_to_budget(v: Views) -> DataFrame:
-    return windows.pack_to_budget(v.segments, 2000)
+    return windows.pack_to_budget(v.segments, 360_000)
 
 
 @query(
-    """select document_id, range_id, coalesce(string_agg(case when total <= 600 then piece end, '' order by seg_idx), '') as text, bool_or(total > 600) as truncated from (select *, sum(length(piece)) over (partition by document_id, range_id order by seg_idx rows unbounded preceding) as total from (select document_id, range_id, seg_idx,
+    """select document_id, range_id, coalesce(string_agg(case when total <= 8000 then piece end, '' order by seg_idx), '') as text, bool_or(total > 8000) as truncated from (select *, sum(length(piece)) over (partition by document_id, range_id order by seg_idx rows unbounded preceding) as total from (select document_id, range_id, seg_idx,
  case when lag(block_pos) over w is null then '' when lag(block_pos) over w = block_pos then ' ' else chr(10) || chr(10) end || '⟦' || seg_idx || '⟧ ' || regexp_replace(trim(text), '\\s+', ' ', 'g') as piece from segments join (select distinct document_id, seg_idx // 10 as range_id from segments) using (document_id) where seg_idx between range_id * 10 and range_id * 10 + 12 window w as (partition by document_id, range_id order by seg_idx))) group by document_id, range_id""",
     "segments",
 )
 def passage_range(v: Views) -> DataFrame:
     ranges = v.segments.select("document_id", F.floor(F.col("seg_idx") / 10).alias("range_id")).distinct()
     ranges = ranges.select("document_id", "range_id", (F.col("range_id") * 10).alias("first"), (F.col("range_id") * 10 + 12).alias("last"))
-    return windows.passage_range(v.segments, ranges, most=600)
+    return windows.passage_range(v.segments, ranges)
 
 
 # --- joins
@@ -423,23 +423,23 @@ def _bounds(v: Views) -> DataFrame:
 
 
 @query(
-    f"""select document_id, section, title, text, sha256(title || chr(10) || text) as source_hash from (select document_id, section, title, case when length(t) > 700 then left(t, 700) || ' … (section continues)' else t end as text from (select document_id, section, any_value(title) as title, trim(regexp_replace(string_agg(glue || text, '' order by seg_idx), '^\\n', '')) as t
+    f"""select document_id, section, title, text, sha256(title || chr(10) || text) as source_hash from (select document_id, section, title, case when length(t) > 7000 then left(t, 7000) || ' … (section continues)' else t end as text from (select document_id, section, any_value(title) as title, trim(regexp_replace(string_agg(glue || text, '' order by seg_idx), '^\\n', '')) as t
  from (select s.document_id, seg_idx, s.text, case when lag(block_pos) over (partition by s.document_id order by seg_idx) = block_pos then ' ' else chr(10) end as glue, 'b' || (block_pos - block_pos % 6) as section from segments s) join ({_BOUNDS}) using (document_id, section) group by document_id, section))""",
     "segments",
     "outline",
 )
 def section_text(v: Views) -> DataFrame:
-    return aggregates.section_text(v.segments, _bounds(v), most=700)
+    return aggregates.section_text(v.segments, _bounds(v))
 
 
 @query(
     """select document_id, entry_idx, pos, title, level from (select o.*, lead_, row_number() over (partition by o.document_id order by entry_idx) as rn from outline o join (select document_id, arg_max(level, depth) as cap_level, arg_max(lead_, depth) as lead_ from (select *, cast(first_pos < head as int) as lead_, row_number() over (partition by document_id order by level) as depth
- from (select l.document_id, l.level, (select count(*) from outline x where x.document_id = l.document_id and x.level <= l.level) as entries, (select min(pos) from outline x where x.document_id = l.document_id and x.level <= l.level) as head, (select min(block_pos) from segments s where s.document_id = l.document_id) as first_pos from (select distinct document_id, level from outline) l)) where entries + lead_ <= 4 or depth = 1 group by document_id) c on c.document_id = o.document_id and o.level <= cap_level) where rn <= greatest(1, 4 - lead_)""",
+ from (select l.document_id, l.level, (select count(*) from outline x where x.document_id = l.document_id and x.level <= l.level) as entries, (select min(pos) from outline x where x.document_id = l.document_id and x.level <= l.level) as head, (select min(block_pos) from segments s where s.document_id = l.document_id) as first_pos from (select distinct document_id, level from outline) l)) where entries + lead_ <= 40 or depth = 1 group by document_id) c on c.document_id = o.document_id and o.level <= cap_level) where rn <= greatest(1, 40 - lead_)""",
     "outline",
     "segments",
 )
 def outline_level_cap(v: Views) -> DataFrame:
-    return aggregates.outline_level_cap(v.outline, v.segments, cap=4)
+    return aggregates.outline_level_cap(v.outline, v.segments)
 
 
 _HEARD = "select distinct document_id, seg_idx from segments where seg_idx % 3 <> 0"
@@ -522,10 +522,10 @@ def library_page(v: Views) -> DataFrame:
     return page.select("document_id", "title", _r("progress"))
 
 
-@query("select document_id, memory_id, age from (select document_id, block_id as memory_id, row_number() over (partition by document_id order by seq desc, block_id desc) as age from touches) where age <= 3", "touches")
+@query("select document_id, memory_id, age from (select document_id, block_id as memory_id, row_number() over (partition by document_id order by seq desc, block_id desc) as age from touches) where age <= 20", "touches")
 def newest_memories(v: Views) -> DataFrame:
     notes = v.touches.select("document_id", F.col("block_id").alias("memory_id"), F.col("seq").alias("created_at"))
-    return listing.newest_memories(notes, k=3).select("document_id", "memory_id", "age")
+    return listing.newest_memories(notes).select("document_id", "memory_id", "age")
 
 
 @query("select document_id, block_id as construct_id, row_number() over (partition by document_id order by coalesce(pos < playhead, false), pos) as rank from blocks left join (select document_id, max(pos) // 2 as playhead from blocks where document_id % 3 > 0 group by document_id) using (document_id) where kind = 'list-item'", "blocks")
@@ -547,9 +547,9 @@ def generation_plan(v: Views) -> DataFrame:
     return listing.generation_plan(_short(v), pointers, v.audio_variants, everything=True)
 
 
-@query("select document_id, array_to_string(list(block_id order by first, block_id), ',') as blocks, any_value(last_block) as last_block from (select *, row_number() over (partition by document_id order by first desc, block_id desc) as age from (select document_id, block_id, min(seq) as first from touches group by 1, 2)) join (select document_id, arg_max(block_id, {'s': seq, 'b': block_id}) as last_block from touches group by 1) using (document_id) where age <= 4 group by document_id", "touches")
+@query("select document_id, array_to_string(list(block_id order by first, block_id), ',') as blocks, any_value(last_block) as last_block from (select *, row_number() over (partition by document_id order by first desc, block_id desc) as age from (select document_id, block_id, min(seq) as first from touches group by 1, 2)) join (select document_id, arg_max(block_id, {'s': seq, 'b': block_id}) as last_block from touches group by 1) using (document_id) where age <= 500 group by document_id", "touches")
 def footprint(v: Views) -> DataFrame:
-    return listing.footprint(v.touches, most=4).select("document_id", F.array_join("blocks", ",").alias("blocks"), "last_block")
+    return listing.footprint(v.touches).select("document_id", F.array_join("blocks", ",").alias("blocks"), "last_block")
 
 
 @query("select finding_id, ord, url, url as title from (select page_id % 50 as finding_id, regexp_replace(regexp_replace(regexp_replace(url, 'utm_[^=&#]*=[^&#]*&?', '', 'g'), '&(#|$)', '\\1'), '\\?(#|$)', '\\1') as url, min(page_id) as ord from pages group by 1, 2)")
@@ -573,8 +573,8 @@ def find_by_fingerprint(v: Views) -> DataFrame:
 @query("select (select count(*) from library where document_id % 3 <> 1) as documents, (select count(*) from audio_variants where document_id not in (select doc_id from documents where doc_id % 3 = 1)) as audio, (select count(*) from playback where document_id not in (select doc_id from documents where doc_id % 3 = 1)) as playback", "library", "audio_variants", "playback")
 def cascade_delete(v: Views) -> DataFrame:
     names, tables = ("documents", "audio", "playback"), listing.cascade_delete(v.library.where("document_id % 3 = 1"), v.library, v.audio_variants, v.playback)
-    counts = [t.agg(F.count("*").alias(n)) for n, t in zip(names, tables)]
-    return counts[0].join(counts[1]).join(counts[2])
+    rest = [t.select(F.lit(n).alias("name")) for n, t in zip(names, tables)]
+    return rest[0].unionByName(rest[1]).unionByName(rest[2]).agg(*(F.count(F.when(F.col("name") == n, 1)).alias(n) for n in names))
 
 
 @query("select a.* from audio_variants a where not (document_id % 2 = 0 and segment_id in ('s1', 's4'))", "audio_variants")
@@ -592,9 +592,31 @@ def study_requests(v: Views) -> DataFrame:
     return modeltext.study_requests(sections, v.library)
 
 
-@query(None)
+@query(
+    f"""select * from (with firsts as (select document_id, block_pos as pos, min(seg_idx) as marker from segments group by 1, 2),
+ heads as (select o.document_id, string_agg(repeat('  ', level - 1) || '- ' || title || coalesce(' ⟦' || marker || '⟧', ''), chr(10) order by o.pos) as outline from outline o left join firsts f on f.document_id = o.document_id and f.pos = o.pos group by o.document_id),
+ notes as (select document_id, string_agg(repeat('  ', level - 1) || '- ' || title || ' — ' || summary, chr(10) order by pos) as notes from study_nodes where status = 'ready' and coalesce(summary, '') <> '' group by document_id),
+ pieces as (select document_id, seg_idx, case when lag(block_pos) over w is null then '' when lag(block_pos) over w = block_pos then ' ' else chr(10) || chr(10) end || '⟦' || seg_idx || '⟧ ' || regexp_replace(trim(text), '\\s+', ' ', 'g') as piece from segments window w as (partition by document_id order by seg_idx)),
+ body as (select document_id, string_agg(piece, '' order by seg_idx) filter (where total <= 360000) as body, min(seg_idx) filter (where total > 360000) as cut_at, max(seg_idx) as last from (select *, sum(length(piece)) over (partition by document_id order by seg_idx rows unbounded preceding) as total from pieces) group by document_id),
+ mem as (select t.document_id, seq, block_id, coalesce(' ⟦' || marker || '⟧', '') as mark, row_number() over (partition by t.document_id order by seq desc, 'Note ' || seq desc) as age from touches t left join firsts f on f.document_id = t.document_id and f.pos = cast(substring(block_id, 2) as int)),
+ stop as (select document_id, 'The last talk stopped' || coalesce(' in “' || title || '”', '') || mark || '.' as line from (select m.document_id, mark, (select arg_max(o.title, o.pos) from outline o where o.document_id = m.document_id and o.pos <= cast(substring(m.block_id, 2) as int)) as title from mem m where age = 1)),
+ kept as (select document_id, 'Notes kept from earlier talks:' || chr(10) || string_agg('-' || mark || ' Note ' || seq, chr(10) order by seq) as line from mem where age <= 20 group by document_id),
+ seen as (select document_id, 'Sections heard: ' || count(*) filter (where heard) || ' of ' || count(*) || '; talked about: ' || count(*) filter (where discussed) || '.' as line from ({_COVER}) group by document_id having count(*) filter (where heard) + count(*) filter (where discussed) > 0),
+ state as (select document_id, string_agg(line, chr(10) order by part) as state from (select document_id, 1 as part, line from stop union all select document_id, 2, line from kept union all select document_id, 3, line from seen) group by document_id)
+ select l.document_id, array_to_string(list_filter(['=== OUTLINE ===' || chr(10) || outline, '=== STUDY NOTES ===' || chr(10) || notes, '=== READER STATE ===' || chr(10) || state, '=== DOCUMENT: ' || l.title || ' ===' || chr(10) || coalesce(body, ''), '[Passages ⟦' || cut_at || '⟧ to ⟦' || last || '⟧ are left out here; they can be read one by one.]'], lambda x: x is not null), chr(10) || chr(10)) as context, cut_at is not null as truncated
+ from library l left join heads using (document_id) left join notes using (document_id) left join state using (document_id) left join body using (document_id))""",
+    "library",
+    "segments",
+    "outline",
+    "study_nodes",
+    "touches",
+)
 def assistant_pack(v: Views) -> DataFrame:
-    return modeltext.assistant_pack(v.library, v.outline, _nodes(v), v.segments, chars=20_000)
+    memories = v.touches.select("document_id", F.col("seq").alias("ord"), F.substring("block_id", 2, 9).cast("int").alias("pos"), F.concat(F.lit("Note "), F.col("seq").cast("string")).alias("text"))
+    ends = memories.groupBy("document_id").agg(F.max_by("pos", F.struct("ord", "text")).alias("pos"))
+    section = joins.section_of_block(ends, v.outline.select("document_id", "pos", F.col("title").alias("section")))
+    state = modeltext.reader_state(memories, _coverage(v), section.withColumnRenamed("section", "title"), v.segments)
+    return modeltext.assistant_pack(v.library, v.outline, _nodes(v), v.segments, state)
 
 
 # --- the flagship

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlake.operators import aggregates, generators, listing, modeltext, predicates, windows
@@ -216,13 +216,13 @@ def dedup_web(v: Views) -> DataFrame:
 
 # --- page texts: a document's blocks of one page, with a running header and every line but headings in bold
 
-_PAGES = "select document_id, page, 'Journal of Listening, p. ' || page || chr(10) || string_agg(case when kind = 'heading' then '# ' || text else '**' || text || '**' end, chr(10) order by pos) as text from blocks where text not like '%*%' group by document_id, page"
+_PAGES = "select document_id, page, 'Journal of Listening, p. ' || page || chr(10) || string_agg(case when kind = 'heading' then '# ' || text else '**' || text || '**' end, chr(10) order by pos) as text from blocks group by document_id, page"
 
 
 def _pages(v: Views) -> DataFrame:
     line = F.when(F.col("kind") == "heading", F.concat(F.lit("# "), "text")).otherwise(F.concat(F.lit("**"), "text", F.lit("**")))
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n")
-    return v.blocks.where("text not like '%*%'").groupBy("document_id", "page").agg(lines.alias("lines")).select("document_id", "page", F.concat(F.lit("Journal of Listening, p. "), F.col("page").cast("string"), F.lit("\n"), "lines").alias("text"))
+    return v.blocks.groupBy("document_id", "page").agg(lines.alias("lines")).select("document_id", "page", F.concat(F.lit("Journal of Listening, p. "), F.col("page").cast("string"), F.lit("\n"), "lines").alias("text"))
 
 
 _STRUCTURAL_SQL = "^(#{1,6}\\s|\\||```|[-*+]\\s|\\d+[.)]\\s|>|!\\[)"
@@ -241,19 +241,21 @@ def page_chrome(v: Views) -> DataFrame:
     return aggregates.page_chrome(_pages(v))
 
 
-@query(_paged("select document_id, page, case when (document_id, 'journal of listening, p. #') in (select (document_id, chrome_key) from chrome) then regexp_replace(text, '^[^\\n]*\\n', '') else text end as text from paged where document_id in (select document_id from paged group by document_id having count(*) >= 3) and document_id not in (select document_id from chrome where chrome_key <> 'journal of listening, p. #')"))
+@query(
+    _paged(
+        f"""select document_id, page, regexp_replace(string_agg(case when is_chrome and (coalesce(max_before, 0) = 0 or coalesce(max_after, 0) = 0) then '' else l end, chr(10) order by p), '^\\n+|\\n+$', '', 'g') as text from (select *, max(cast(trim(l) <> '' and not is_chrome as int)) over (w rows between unbounded preceding and 1 preceding) as max_before, max(cast(trim(l) <> '' and not is_chrome as int)) over (w rows between 1 following and unbounded following) as max_after
+ from (select x.*, c.chrome_key is not null and trim(l) <> '' and not regexp_matches(trim(l), '{_STRUCTURAL_SQL}') as is_chrome from (select document_id, page, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as p from paged) x left join chrome c on c.document_id = x.document_id and c.chrome_key = regexp_replace(lower(trim(l)), '\\d+', '#', 'g')) window w as (partition by document_id, page order by p)) group by document_id, page"""
+    )
+)
 def strip_page_chrome(v: Views) -> DataFrame:
     pages = _pages(v)
-    chrome = aggregates.page_chrome(pages)
-    plain = pages.groupBy("document_id").agg(F.count("*").alias("n")).where("n >= 3").select("document_id")
-    other = chrome.where("chrome_key <> 'journal of listening, p. #'").select("document_id")
-    return aggregates.strip_page_chrome(pages, chrome).join(plain, "document_id", "left_semi").join(other, "document_id", "left_anti")
+    return aggregates.strip_page_chrome(pages, aggregates.page_chrome(pages))
 
 
 @query(
     _paged(
         f"""select document_id, page, string_agg(case when share >= 0.6 and bold then substring(l, 3, length(l) - 4) else l end, chr(10) order by p) as text from (select *, avg(case when prose then cast(bold as double) end) over (partition by document_id) as share
- from (select *, not regexp_matches(l, '{_STRUCTURAL_SQL}') and l <> '' as prose, regexp_matches(l, '^\\*\\*[^*]') and regexp_matches(l, '[^*]\\*\\*$') and not regexp_matches(l, '{_STRUCTURAL_SQL}') as bold from (select document_id, page, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as p from paged))) group by document_id, page"""
+ from (select *, not regexp_matches(l, '{_STRUCTURAL_SQL}') and l <> '' as prose, regexp_matches(l, '^\\*\\*[^*]') and regexp_matches(l, '[^*]\\*\\*$') and not contains(substring(l, 3, length(l) - 4), '**') and not regexp_matches(l, '{_STRUCTURAL_SQL}') as bold from (select document_id, page, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as p from paged))) group by document_id, page"""
     )
 )
 def blanket_bold(v: Views) -> DataFrame:
@@ -294,26 +296,37 @@ _ANSWER = "case seg_idx % 5 when 0 then 'Sure, ' || text when 1 then text || ' x
 def _answers(v: Views) -> DataFrame:
     k = F.col("seg_idx") % 5
     answer = F.when(k == 0, F.concat(F.lit("Sure, "), "text")).when(k == 1, F.concat("text", F.lit(" x = 5"))).when(k == 2, "12 34 56 7").when(k == 3, F.concat(F.lit("**"), "text", F.lit("**"))).otherwise(F.col("text"))
-    plain = v.segments.where(~F.col("text").rlike(r"[^\p{L}\p{N} .,!?]"))
-    return plain.select("document_id", "seg_idx", answer.alias("answer"), F.when(F.col("seg_idx") % 2 == 0, "table-row").otherwise("image").alias("kind"))
+    return v.segments.select("document_id", "seg_idx", answer.alias("answer"), F.when(F.col("seg_idx") % 2 == 0, "table-row").otherwise("image").alias("kind"))
+
+
+_ANSWERS_SQL = f"select document_id, seg_idx, case when seg_idx % 2 = 0 then 'table-row' else 'image' end as kind, {_ANSWER} as answer from segments"
+_BLANK = "[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]"
+
+
+def _replaced(text: str, *rules: tuple[str, str] | tuple[str, str, str]) -> str:
+    """DuckDB's ``regexp_replace`` of all rules, one after the other."""
+    for pattern, words in rules:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), words)
+    return text
 
 
-_PLAIN_SQL = "select document_id, seg_idx, case when seg_idx % 2 = 0 then 'table-row' else 'image' end as kind, {} as answer from segments where not regexp_matches(text, '[^\\p{{L}}\\p{{N}} .,!?]')".format(_ANSWER)
-_SQUEEZED = "trim(regexp_replace(replace(regexp_replace(answer, '^Sure,\\s+', ''), '*', ' '), '\\s+', ' ', 'g'))"
+_OPENINGS = (("^(?i)(?:sure|okay|of course|certainly)[,.!:]?\\s+", ""), ("^(?i)(?:here(?:'s| is)|this is)\\s+(?:the\\s+)?(?:narration|description|spoken (?:version|text)|text|sentence)[:.,]?\\s*", ""))
+_NARRATION_SQL = _replaced("answer", ("(?s)<think>.*?</think>", " "), ("<[^>\\n]{0,120}>", " "), ("(?s)\\n\\s*\\n.*$", ""), (f"^{_BLANK}+|{_BLANK}+$", ""), *_OPENINGS, ("^[\"'`]+", ""), ("[\"'`]+$", ""), ("[*_#`]+", " "), *modeltext.SYMBOLS, (f"{_BLANK}+", " "), ("^ | $", ""))
+_EXPLANATION_SQL = _replaced("answer", ("(?s)<think>.*?</think>", " "), ("<[^>\\n]{0,120}>", " "), ("(?m)^```[^\\n]*$", " "), ("```", " "), ("(?m)^#{1,6}\\s+", ""), ("(?m)^\\s*[-*•]\\s+", ""), ("(?m)^\\s*\\d+[.)]\\s+", ""), ("[*_`]+", " "), (f"{_BLANK}+", " "), ("^ | $", ""), _OPENINGS[0])
 
 
 def _reason(forbidden: bool, share: float) -> str:
-    notation = "when regexp_matches(t, '[\\\\=+^{}\\[\\]|<>~$&@%()/]') then 'notation'" if forbidden else ""
+    notation = f"when regexp_matches(t, '{modeltext.FORBIDDEN}') then 'notation'" if forbidden else ""
     return f"case when t = '' then 'empty' {notation} when (length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g'))) / cast(length(t) as double) < {share} then 'letters' else 'ok' end"
 
 
-@query(f"select kind, {_reason(True, 0.55)} as reason, count(*) as n from (select kind, {_SQUEEZED} as t from ({_PLAIN_SQL})) group by 1, 2", "segments")
+@query(f"select kind, {_reason(True, 0.55)} as reason, count(*) as n from (select kind, {_NARRATION_SQL} as t from ({_ANSWERS_SQL})) group by 1, 2", "segments")
 def gate_narration(v: Views) -> DataFrame:
     gated = modeltext.gate_narration(_answers(v), modeltext.budgets(v.spark))
     return gated.groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"select document_id, seg_idx, {_reason(False, 0.5)} as reason, case when {_reason(False, 0.5)} = 'ok' then t end as clean from (select document_id, seg_idx, {_SQUEEZED} as t from ({_PLAIN_SQL}))", "segments")
+@query(f"select document_id, seg_idx, {_reason(False, 0.5)} as reason, case when {_reason(False, 0.5)} = 'ok' then t end as clean from (select document_id, seg_idx, {_EXPLANATION_SQL} as t from ({_ANSWERS_SQL}))", "segments")
 def gate_explanation(v: Views) -> DataFrame:
     return modeltext.gate_explanation(_answers(v)).select("document_id", "seg_idx", "reason", "clean")
 
@@ -323,13 +336,14 @@ _GREEK_SQL = modeltext.GREEK
 
 @query(
     f"""select document_id, seg_idx, len(list_filter(a, lambda x: not list_contains(r, x))) = 0 as grounded from (select document_id, seg_idx, list_concat(regexp_extract_all(lower(answer), '{_GREEK_SQL}'), regexp_extract_all(answer, '\\b[A-Z]\\b')) as a, list_concat(regexp_extract_all(lower(text), '{_GREEK_SQL}'), regexp_extract_all(text, '\\b[A-Z]\\b')) as r
- from (select document_id, seg_idx, 'alpha and ' || case when seg_idx % 3 = 0 then 'beta' when seg_idx % 3 = 1 then 'B' else 'C' end as answer, case when seg_idx % 2 = 0 then 'alpha over B with beta' else 'Alpha and C' end as text from segments))""",
+ from (select document_id, seg_idx, text || ' alpha and ' || case when seg_idx % 3 = 0 then 'beta' when seg_idx % 3 = 1 then 'B' else 'C' end as answer, case when seg_idx % 2 = 0 then text || ' alpha over B with beta' else lag(text, 1, '') over (partition by document_id order by seg_idx) || ' Alpha and C' end as text from segments))""",
     "segments",
 )
 def gate_grounding(v: Views) -> DataFrame:
     k = F.col("seg_idx") % 3
-    answer = F.concat(F.lit("alpha and "), F.when(k == 0, "beta").when(k == 1, "B").otherwise("C"))
-    reading = F.when(F.col("seg_idx") % 2 == 0, "alpha over B with beta").otherwise("Alpha and C")
+    before = F.lag("text", 1, "").over(Window.partitionBy("document_id").orderBy("seg_idx"))
+    answer = F.concat("text", F.lit(" alpha and "), F.when(k == 0, "beta").when(k == 1, "B").otherwise("C"))
+    reading = F.when(F.col("seg_idx") % 2 == 0, F.concat("text", F.lit(" alpha over B with beta"))).otherwise(F.concat(before, F.lit(" Alpha and C")))
     return modeltext.gate_grounding(v.segments.select("document_id", "seg_idx", answer.alias("answer"), reading.alias("reading"))).select("document_id", "seg_idx", "grounded")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def write_corpus(df: DataFrame, path: str, *partitions: str) -> None:
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
-def newest(rows: DataFrame, key: str = "document_id", at: str = "updated_at", tie: str = "__tie") -> DataFrame:
+def newest(rows: DataFrame, key: str = "document_id", at: str = "updated_at", tie: str = "__arriving") -> DataFrame:
     """The newest row of each key; of rows of one time the one with the larger ``tie``, then a fixed one.
 
     An aggregate with a partial step, so that a key with very many rows is no large task.
@@ -138,39 +139,48 @@ def _manifests(folder: _Folder) -> list[int]:
     return sorted(int(n.removesuffix(".json")) for n in folder.names("manifests") if n.removesuffix(".json").isdigit())
 
 
-def upsert_latest(batch: DataFrame, path: str, key: str = "document_id", at: str = "updated_at", batch_id: int | None = None, buckets: int = BUCKETS, keep: int = 2) -> bool:
+def upsert_latest(batch: DataFrame, path: str, key: str = "document_id", at: str = "updated_at", batch_id: int | None = None, source: str = "", buckets: int = BUCKETS, keep: int = 2) -> bool:
     """Merges a batch into the table at ``path``: the newest row of each key stays, at equal times the arriving one.
 
+    See ``merge_table``.
+    """
+    return merge_table(batch, path, (key,), lambda rows: newest(rows, key, at, "__arriving"), batch_id, source, buckets, keep)
+
+
+def merge_table(batch: DataFrame, path: str, keys: tuple[str, ...], combine: Callable[[DataFrame], DataFrame], batch_id: int | None = None, source: str = "", buckets: int = BUCKETS, keep: int = 2) -> bool:
+    """Merges a batch into the table at ``path``; ``combine`` makes one table of the arriving and the stored rows of some keys, which
+    ``__arriving`` (1 and 0) tells apart, and keeps their ``__bucket``.
+
     Keys are dealt to buckets by hash.  Only the buckets that the batch has keys of are read, merged and written, to a folder
-    that carries the batch's number; a manifest of that number then says for every bucket which folder holds it, and is what makes the
-    batch count.  A batch whose manifest is there changes nothing, so that a stream may hand it over again after a failure; one that
-    failed before its manifest is written anew.  ``keep`` manifests and what they name stay, for readers that have begun; the
-    rest goes.  Without ``batch_id`` the next number is taken.  Returns whether the batch was merged now.
-    Numbers of a stream rise; batches of one table are merged one at a time.  Rows whose key is null are one key.
+    that carries the version's number; a manifest of that number then says for every bucket which folder holds it, and is what makes
+    the version count.  It also says which batch of each ``source``, a stream's checkpoint say, was merged last: one that is handed over
+    again changes nothing, and one that failed before its manifest is written anew.  Without ``batch_id`` every call is a new batch.
+    ``keep`` manifests and what they name stay, for readers that have begun; the rest goes.  Returns whether the batch was merged now.
+    Batches of one table are merged one at a time.  Rows whose key is null are one key.
     """
     spark = batch.sparkSession
     folder = _Folder(spark, path)
     done = _manifests(folder)
-    number = batch_id if batch_id is not None else (done[-1] + 1 if done else 0)
-    if done and number <= done[-1]:
+    known = json.loads(folder.read("manifests", f"{done[-1]}.json")) if done else {"buckets": buckets, "held": {}, "seen": {}}
+    if batch_id is not None and batch_id <= known["seen"].get(source, -1):
         batch.write.format("noop").mode("overwrite").save()  # a stream's state still has to see its batch
         return False
-    known = json.loads(folder.read("manifests", f"{done[-1]}.json")) if done else {"buckets": buckets, "held": {}}
+    number = done[-1] + 1 if done else 0
     count, held = known["buckets"], {int(b): n for b, n in known["held"].items()}
-    bucket = F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
-    rows = batch.withColumns({"__tie": F.lit(1), "__bucket": bucket}).persist()  # computed once, for its buckets and its rows
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
+    rows = batch.withColumns({"__arriving": F.lit(1), "__bucket": bucket}).persist()  # computed once, for its buckets and its rows
     try:
         touched = sorted(r[0] for r in rows.select("__bucket").distinct().collect())  # at most as many as buckets
-        merged = rows
+        both = rows
         if old := [(b, held[b]) for b in touched if b in held]:
-            stored = _buckets(spark, path, old).withColumns({"__tie": F.lit(0), "__bucket": bucket})
-            merged = rows.unionByName(stored, allowMissingColumns=True)
+            both = rows.unionByName(_buckets(spark, path, old).withColumns({"__arriving": F.lit(0), "__bucket": bucket}), allowMissingColumns=True)
         if touched:
-            newest(merged, key, at).repartition(len(touched), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/data/{number}")
+            combine(both).repartition(len(touched), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/data/{number}")
     finally:
         rows.unpersist()
     held |= dict.fromkeys(touched, number)
-    folder.write(json.dumps({"buckets": count, "held": held}), "manifests", f"{number}.json")
+    seen = known["seen"] | ({source: batch_id} if batch_id is not None else {})
+    folder.write(json.dumps({"buckets": count, "held": held, "seen": seen}), "manifests", f"{number}.json")
     _expire(folder, keep)
     return True
 
@@ -198,10 +208,17 @@ def _expire(folder: _Folder, keep: int) -> None:
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    """The number of the last batch that was merged into the table at ``path``, -1 for none."""
+    """The number of the last version of the table at ``path``, -1 for none."""
     return max(_manifests(_Folder(spark, path)), default=-1)
 
 
+def last_batch(spark: SparkSession, path: str, source: str = "") -> int:
+    """The last batch of a source that was merged into the table at ``path``, -1 for none."""
+    folder = _Folder(spark, path)
+    done = _manifests(folder)
+    return json.loads(folder.read("manifests", f"{done[-1]}.json"))["seen"].get(source, -1) if done else -1
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The table that ``upsert_latest`` keeps, as of its last batch."""
     folder = _Folder(spark, path)

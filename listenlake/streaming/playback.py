@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from listenlake.sources.library import upsert_latest
+from listenlake.operators.windows import joined_ranges
+from listenlake.sources.library import current_version, last_batch, merge_table, read_latest, upsert_latest
 
 
 def latest_position(events: DataFrame) -> DataFrame:
@@ -22,67 +24,175 @@ def latest_position(events: DataFrame) -> DataFrame:
 def stream_latest_position(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps the newest pointer of each document in a table; what is older than the table's row is ignored."""
     writer = latest_position(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(lambda batch, n: upsert_latest(batch, path, batch_id=n) and None).trigger(availableNow=True).start()
+    return writer.foreachBatch(lambda batch, n: upsert_latest(batch, path, batch_id=n, source=checkpoint) and None).trigger(availableNow=True).start()
 
 
 class _Ranges(StatefulProcessor):
-    """Keeps the merged ranges of one passage: a sorted list of disjoint ranges."""
+    """Keeps the merged ranges of one passage: a sorted list of disjoint ranges, forgotten after ``ttl_ms`` without a change."""
 
-    gap = 0.2
+    def __init__(self, gap: float, ttl_ms: int | None):
+        self.gap, self.ttl_ms = gap, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ranges = handle.getListState("ranges", "start_s double, end_s double")
+        self.ranges = handle.getListState("ranges", "start_s double, end_s double", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _merge(self, more: list[tuple[float, float]]) -> list[list[float]]:
         known = [(r[0], r[1]) for r in self.ranges.get()] if self.ranges.exists() else []
-        for pdf in rows:
-            a, b = (pdf[c].where(pdf[c].abs() < float("inf"), 0.0).clip(lower=0.0) for c in ("start_s", "end_s"))
-            known += [(min(x, y), max(x, y)) for x, y in zip(a, b) if x != y]
         merged: list[list[float]] = []
-        for start, end in sorted(known):
+        for start, end in sorted(known + more):
             if merged and start <= merged[-1][1] + self.gap:
                 merged[-1][1] = max(merged[-1][1], end)
             else:
                 merged.append([start, end])
         if merged:
             self.ranges.put([tuple(r) for r in merged])
+        return merged
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._merge([(float(a), float(b)) for a, b in zip(initialState["start_s"], initialState["end_s"])])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        more: list[tuple[float, float]] = []
+        for pdf in rows:
+            a, b = (pdf[c].where(pdf[c].abs() < float("inf"), 0.0).clip(lower=0.0) for c in ("start_s", "end_s"))
+            more += [(min(x, y), max(x, y)) for x, y in zip(a, b) if x != y]
+        if more and (merged := self._merge(more)):
             yield pd.DataFrame({"document_id": key[0], "segment_id": key[1], "ranges": [[{"start_s": s, "end_s": e} for s, e in merged]]})
 
     def close(self) -> None:
         pass
 
 
-def stream_listened(events: DataFrame) -> DataFrame:
+def stream_listened(events: DataFrame, stored: DataFrame | None = None, gap: float = 0.2, ttl_ms: int | None = None) -> DataFrame:
     """``document_id, segment_id, ranges``: the merged ranges of each passage that got events, in update mode.
 
-    Needs the RocksDB state store.  A passage's list holds only what does not touch, so it stays short.
+    Needs the RocksDB state store.  A passage's list holds only what does not touch, so it stays short.  ``stored``
+    (``document_id, segment_id, ranges``) is what the first batch of a new stream begins with.  With ``ttl_ms`` a passage that got no
+    events for so long leaves the state, and what comes out later are ranges heard since, for ``keep_listened`` to join.
     """
-    return events.groupBy("document_id", "segment_id").transformWithStateInPandas(_Ranges(), "document_id long, segment_id string, ranges array<struct<start_s:double,end_s:double>>", "Update", "None")
+    first = stored.select("document_id", "segment_id", F.explode("ranges").alias("r")).select("document_id", "segment_id", "r.start_s", "r.end_s").groupBy("document_id", "segment_id") if stored is not None else None
+    kind = "document_id long, segment_id string, ranges array<struct<start_s:double,end_s:double>>"
+    return events.groupBy("document_id", "segment_id").transformWithStateInPandas(_Ranges(gap, ttl_ms), kind, "Update", "None" if ttl_ms is None else "ProcessingTime", first)
+
+
+def keep_listened(events: DataFrame, path: str, checkpoint: str, gap: float = 0.2, ttl_ms: int | None = None) -> StreamingQuery:
+    """Keeps the ranges of every passage in a table, ``document_id, segment_id, ranges``: those that come out of the stream are joined
+    with the stored ones, so that a passage that the state has forgotten loses nothing.  A new stream begins with the table's rows."""
+    spark, keys = events.sparkSession, ("document_id", "segment_id")
+    fresh = last_batch(spark, path, checkpoint) < 0 <= current_version(spark, path)
+
+    def combine(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "__bucket").agg(joined_ranges(F.flatten(F.collect_list("ranges")), gap).alias("ranges"))
+
+    found = stream_listened(events, read_latest(spark, path) if fresh else None, gap, ttl_ms)
+    writer = found.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(lambda batch, n: merge_table(batch, path, keys, combine, n, checkpoint) and None).trigger(availableNow=True).start()
 
 
 def sessions(touches: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """``document_id, session_start, session_end, blocks, last_block``: conversations told apart by pauses, of a table or a stream with
-    a watermark.  Of blocks touched last at one time the largest is named."""
+    """``document_id, session_start, session_end, blocks, last_block``: conversations told apart by pauses.  Of blocks touched last at one
+    time the largest is named."""
     found = touches.groupBy("document_id", F.session_window("event_ts", gap)).agg(F.sort_array(F.collect_set("block_id")).alias("blocks"), F.max(F.struct("event_ts", "block_id")).alias("last"))
     return found.select("document_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "blocks", F.col("last.block_id").alias("last_block"))
 
 
-def stream_sessions(touches: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """The same as a stream in append mode: a session comes out once the watermark has passed its end."""
-    return sessions(touches.withWatermark("event_ts", late), gap)
+#: The time of a row that ends a stream: it moves the watermark behind every session.
+END = "2200-01-01 00:00:00"
 
 
-def open_sessions(touches: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """What ``stream_sessions`` still holds back when it stops after ``touches``: the sessions that end beyond the watermark."""
-    reached = touches.agg((F.max("event_ts") - F.expr(f"interval {late}")).alias("reached"))
-    return sessions(touches, gap).join(F.broadcast(reached), F.col("session_end") > F.col("reached")).drop("reached")  # one row
+class _Sessions(StatefulProcessor):
+    """The open sessions of one document, and a timer at the earliest end of them."""
+
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first_us long, last_us long, blocks array<string>, last_block string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        spans = [(r[0], r[1], set(r[2]), r[3]) for r in self.open.get()] if self.open.exists() else []
+        for pdf in rows:
+            pdf = pdf[pdf["block_id"].notna()]  # rows without a block only move the watermark
+            spans += [(at, at, {block}, block) for at, block in zip(pdf["at_us"].tolist(), pdf["block_id"])]
+        held: list[tuple[int, int, set[str], str]] = []
+        for first, last, blocks, block in sorted(spans, key=lambda s: s[0]):
+            if held and first < held[-1][1] + self.gap_us:
+                was = held.pop()
+                last, block = max((was[1], was[3]), (last, block))
+                first, blocks = was[0], was[2] | blocks
+            held.append((first, last, blocks, block))
+        if held:
+            self._hold([(first, last, sorted(blocks), block) for first, last, blocks, block in held])
+        yield from ()
+
+    def _hold(self, sessions: list[tuple]) -> None:
+        if sessions:
+            self.open.put(sessions)
+            self.handle.registerTimer(min(-(-(last + self.gap_us) // 1000) for _, last, *_ in sessions))
+        else:
+            self.open.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [(r[0], r[1], list(r[2]), r[3]) for r in self.open.get()] if self.open.exists() else []
+        done = [r for r in held if r[1] + self.gap_us <= until]  # none if the session went on after this timer was set
+        if held:
+            self._hold([r for r in held if r[1] + self.gap_us > until])
+        if done:
+            yield pd.DataFrame({"document_id": [key[0]] * len(done), "start_us": [r[0] for r in done], "end_us": [r[1] + self.gap_us for r in done], "blocks": [r[2] for r in done], "last_block": [r[3] for r in done]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessions(touches: DataFrame, gap_minutes: int = 30, late: str = "1 hour") -> DataFrame:
+    """The rows of ``sessions`` as a stream in append mode: a session comes out, and leaves the state, once the watermark has passed its
+    end.  ``touches``: ``document_id, block_id, event_ts``; what comes later than ``late`` is dropped.
+
+    A row without a block at the time ``END`` closes all sessions.  Needs the RocksDB state store.
+    """
+    rows = touches.withWatermark("event_ts", late).select("document_id", "block_id", "event_ts", F.unix_micros("event_ts").alias("at_us"))
+    kind = "document_id long, start_us long, end_us long, blocks array<string>, last_block string"
+    found = rows.groupBy("document_id").transformWithStateInPandas(_Sessions(gap_minutes * 60_000_000), kind, "Append", "EventTime")
+    return found.select("document_id", F.timestamp_micros("start_us").alias("session_start"), F.timestamp_micros("end_us").alias("session_end"), "blocks", "last_block")
 
 
 def stream_import_dedup(docs: DataFrame, late: str = "7 days") -> DataFrame:
-    """Imports whose content was not imported shortly before.  ``docs``: ``fingerprint, event_ts, ...``."""
+    """Imports whose content was not imported shortly before, in the stream's own state.  ``docs``: ``fingerprint, event_ts, ...``.
+
+    A copy, and anything else, that comes later than the watermark is dropped; ``dropped_late`` counts it.
+    """
     return docs.withWatermark("event_ts", late).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def keep_imports(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends imports of new content to ``path/new``, whatever their time and order: of each content the first of the first batch that
+    has it, by ``event_ts`` and ``document_id``.  ``docs``: ``fingerprint, event_ts, document_id, ...``.
+
+    The fingerprints of all batches are a table in buckets below ``path/known``, which every batch is held against.  A batch's rows are
+    written before its fingerprints, to a folder of its own, so that one that is handed over again is either written anew or left as it is.
+    """
+    spark, known = docs.sparkSession, f"{path}/known"
+
+    def write(batch: DataFrame, n: int) -> None:
+        if n <= last_batch(spark, known, checkpoint):
+            return batch.write.format("noop").mode("overwrite").save()
+        columns = batch.columns
+        first = batch.groupBy("fingerprint").agg(F.min_by(F.struct(*columns), F.struct("event_ts", "document_id")).alias("row")).select("row.*")
+        version = current_version(spark, known)
+        new = first.join(read_latest(spark, known).select("fingerprint"), "fingerprint", "left_anti") if version >= 0 else first
+        new.select(*columns).write.mode("overwrite").parquet(f"{path}/new/version={version + 1}")
+        upsert_latest(spark.read.parquet(f"{path}/new/version={version + 1}").select("fingerprint", "event_ts"), known, "fingerprint", "event_ts", n, checkpoint)
+
+    return docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """How many rows a stream has dropped so far as they came later than its watermark."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in json.loads(p.json if hasattr(p, "json") else json.dumps(p))["stateOperators"])
+
+
 def stream_activity(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """``document_id, window_start, window_end, heard_s, n_events``: seconds heard in tumbling or sliding windows.
 

@@ -208,6 +208,74 @@ def test_map_model_asks_rejects_once_more(spark):
     assert rows(out, "request_id", "answer", "status") == [(1, "good", "ready"), (2, "bad", "ready"), (3, None, "failed")]
 
 
+def test_answers_are_stored_and_asked_for_once(spark, tmp_path):
+    def counted(name):
+        (tmp_path / name).mkdir(exist_ok=True)
+
+        def run(prompts, strict):
+            for p in prompts:
+                (tmp_path / name / f"{abs(hash((p, strict, os.getpid())))}-{len(os.listdir(tmp_path / name))}").write_text(p)
+            return [p.upper() if p != "bad" else "" for p in prompts]
+
+        return run, lambda: sorted(f.read_text() for f in (tmp_path / name).iterdir())
+
+    accept, table = (lambda a: a or None), f"{tmp_path}/answers"
+    df = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one"), (4, "bad"), (5, None)], "request_id long, prompt string").repartition(2)
+    run, asked = counted("first")
+    out = modeltext.ask_once(df, run, accept, table, "m", 1)
+    assert rows(out, "request_id", "answer", "status") == [(1, "ONE", "ready"), (2, "TWO", "ready"), (3, "ONE", "ready"), (4, None, "failed"), (5, None, "failed")]
+    assert asked() == ["", "", "bad", "bad", "one", "two"]  # one question for two requests, rejects twice
+    run, asked = counted("second")
+    more = df.union(spark.createDataFrame([(6, "new")], df.schema))
+    assert rows(modeltext.ask_once(more.where("prompt <> 'bad'"), run, accept, table, "m", 1), "request_id", "answer") == [(1, "ONE"), (2, "TWO"), (3, "ONE"), (6, "NEW")]
+    assert asked() == ["new"]
+    run, asked = counted("third")
+    modeltext.ask_once(df.where("request_id = 1"), run, accept, table, "m", 2).collect()
+    assert asked() == ["one"]  # another version of the prompt
+
+    def broken(prompts, strict):
+        raise RuntimeError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        modeltext.ask_once(df.withColumn("prompt", F.concat(F.lit("late "), "prompt")), broken, accept, table, "m", 1)
+    assert rows(modeltext.ask_once(df.where("request_id < 3"), broken, accept, table, "m", 1), "answer") == [("ONE",), ("TWO",)]
+    with pytest.raises(Exception, match="prompts got"):
+        modeltext.map_model(df, lambda p, s: p[1:], accept).collect()
+
+
+def test_small_budgets(spark):
+    segs = spark.createDataFrame([(1, i, i // 2, "x" * 9 + ".") for i in range(9)], "document_id long, seg_idx int, block_pos int, text string")
+    heads = spark.createDataFrame([(1, i, 2 * i, f"T{i}", 1 + i % 2) for i in range(6)], "document_id long, entry_idx int, pos int, title string, level int")
+    assert rows(windows.pack_to_budget(segs, 45), "packed", "cut_at") == [(4, 4)]
+    assert [r.outline for r in windows.outline_text(heads, most=2).collect()] == ["- T0\n  - T1\n(+4 more sections)"]
+    assert rows(aggregates.outline_level_cap(heads, segs, cap=4), "entry_idx") == [(0,), (2,), (4,)]
+    assert rows(windows.passage_range(segs, spark.createDataFrame([(1, 0, 1, 5)], "document_id long, range_id int, first int, last int"), most=40), "text", "truncated") == [("⟦1⟧ xxxxxxxxx.\n\n⟦2⟧ xxxxxxxxx.", True)]
+    bounds = heads.where("entry_idx = 0").select("document_id", "pos", F.lit("s").alias("section"), "title")
+    assert [r.text for r in aggregates.section_text(segs, bounds, most=12).collect()] == ["xxxxxxxxx. x … (section continues)"]
+    nodes = spark.createDataFrame([(1, 0, "T0", 1, "ready", "Note.")], "document_id long, ord int, title string, level int, status string, summary string")
+    docs = spark.createDataFrame([(1, "D"), (2, "E")], "document_id long, title string")
+    state = spark.createDataFrame([(1, "Knows much.")], "document_id long, state string")
+    packed = {r.document_id: (r.context, r.truncated) for r in modeltext.assistant_pack(docs, heads.where("entry_idx < 2"), nodes, segs, state, chars=30).collect()}
+    assert packed[1] == ("=== OUTLINE ===\n- T0 ⟦0⟧\n  - T1 ⟦4⟧\n\n=== STUDY NOTES ===\n- T0 — Note.\n\n=== READER STATE ===\nKnows much.\n\n=== DOCUMENT: D ===\n⟦0⟧ xxxxxxxxx. ⟦1⟧ xxxxxxxxx.\n\n[Passages ⟦2⟧ to ⟦8⟧ are left out here; they can be read one by one.]", True)
+    assert packed[2] == ("=== DOCUMENT: E ===\n", False)
+
+
+def test_image_budget_agrees_with_a_loop(spark):
+    rng = random.Random(8)
+    data = [(d, i, rng.randint(3000, 9000), rng.randint(1, 4)) for d in range(30) for i in range(rng.randint(1, 20))]
+    want = []
+    for d in range(30):
+        left = 40_000
+        for e, i, size, repeats in data:
+            if e == d:
+                plain = size >= 4096 and repeats < 3
+                fits = plain and size <= 8500 and size <= left
+                left -= size * fits
+                want.append((d, i, fits, plain and not fits))
+    got = windows.image_budget(spark.createDataFrame(data, "document_id int, image_no int, bytes long, repeats long").repartition(5), each=8500, total=40_000)
+    assert rows(got, "document_id", "image_no", "kept", "skipped") == want and "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gate_narration_shapes(spark):
     df = spark.createDataFrame([("math-inline", "x squared."), ("math-block", "Here gamma is the rate. More."), ("math-block", "The sum grows."), ("table-row", "One two three. " * 20), ("image", "")], "kind string, answer string")
     got = {(r.kind, r.answer): (r.reason, r.clean) for r in modeltext.gate_narration(df, modeltext.budgets(spark)).collect()}

@@ -1,6 +1,9 @@
 """Tables that are written and merged, and streams that must agree with their batch forms."""
 
 import datetime as dt
+import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -52,16 +55,71 @@ def test_activity_drops_nothing_in_time(spark, tmp_path):
     assert sorted((r.document_id, r.window_start, round(r.heard_s, 6)) for r in out.collect()) == sorted((r.document_id, r.window.start, round(r.h, 6)) for r in batch.collect())
 
 
-def test_sessions_and_import_dedup(spark, tmp_path):
-    touches = spark.createDataFrame([(1, "b1", at(0)), (1, "b2", at(10)), (1, "b3", at(90)), (2, "b1", at(0)), (9, "b9", at(9999))], "document_id long, block_id string, event_ts timestamp")
-    touches.write.parquet(f"{tmp_path}/t")
-    stream = spark.readStream.schema(touches.schema).parquet(f"{tmp_path}/t")
-    got = drain(playback.stream_sessions(stream), "sessions", "append").where("document_id < 9").collect()
-    assert sorted((r.document_id, tuple(r.blocks), r.last_block) for r in got) == [(1, ("b1", "b2"), "b2"), (1, ("b3",), "b3"), (2, ("b1",), "b1")]
-    docs = spark.createDataFrame([("f1", at(0)), ("f1", at(5)), ("f2", at(1))], "fingerprint string, event_ts timestamp")
-    docs.write.parquet(f"{tmp_path}/d")
-    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/d")
-    assert sorted(r.fingerprint for r in drain(playback.stream_import_dedup(stream), "imports", "append").collect()) == ["f1", "f2"]
+def test_sessions_close_by_their_own_timers(spark, tmp_path):
+    kind = "document_id long, block_id string, event_ts timestamp"
+    rng = random.Random(3)
+    rounds = [[(d, f"b{rng.randint(0, 6)}", at(200 * k + rng.randint(-100, 300))) for d in range(4) for _ in range(rng.randint(0, 9))] for k in range(5)]
+    rounds[2] += [(1, "b1", at(401)), (1, "b9", at(401))]
+    seen, open_keys = [], []
+    for k, data in enumerate([*rounds, [(None, None, dt.datetime(2200, 1, 1))]]):
+        spark.createDataFrame(data, kind).write.mode("append").parquet(f"{tmp_path}/t")
+        query = playback.stream_sessions(spark.readStream.schema(kind).parquet(f"{tmp_path}/t"), late="400 minutes").writeStream.option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda batch, n: seen.extend(batch.collect())).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert playback.dropped_late(query) == 0
+        open_keys.append(len(seen))
+    touches = spark.createDataFrame([r for data in rounds for r in data], kind)
+    want = sorted((r.document_id, r.session_start, r.session_end, tuple(r.blocks), r.last_block) for r in playback.sessions(touches).collect())
+    assert sorted((r.document_id, r.session_start, r.session_end, tuple(r.blocks), r.last_block) for r in seen) == want
+    assert 0 < open_keys[-2] < len(want)  # some closed before the end, the rest by the end
+
+
+def test_imports_are_held_against_all_earlier_ones(spark, tmp_path):
+    kind = "document_id long, fingerprint string, event_ts timestamp"
+    rounds = [[(1, "a", at(50_000)), (2, "a", at(40_000)), (3, "b", at(60_000))], [(4, "a", at(1)), (5, "c", at(0)), (6, "c", at(0))], [(7, "c", at(90_000)), (8, "d", at(2))]]
+    for data in rounds:
+        spark.createDataFrame(data, kind).write.mode("append").parquet(f"{tmp_path}/d")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/d")
+        playback.keep_imports(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
+    kept = lambda: sorted((r.document_id, r.fingerprint) for r in spark.read.parquet(f"{tmp_path}/out/new").collect())
+    assert kept() == [(2, "a"), (3, "b"), (5, "c"), (8, "d")]
+    commits = sorted((tmp_path / "cp/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    for crc in (tmp_path / "cp/commits").glob(".*.crc"):
+        crc.unlink()
+    playback.keep_imports(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
+    assert kept() == [(2, "a"), (3, "b"), (5, "c"), (8, "d")]
+    # the stream's own state alone drops what comes after its watermark, new or not, and says so
+    query = playback.stream_import_dedup(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/d"), "1 day").writeStream.format("memory").queryName("imports").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert playback.dropped_late(query) > 0
+
+
+def test_listened_ranges_outlive_state_and_stream(spark, tmp_path):
+    rng = random.Random(4)
+    data = [(rng.randint(1, 3), f"s{rng.randint(0, 2)}", float(rng.randint(0, 60)), float(rng.randint(0, 60)), at(i)) for i in range(90)]
+    batch = spark.createDataFrame(data, library.LISTEN_EVENTS)
+    want = {}
+    for r in windows.merge_ranges(batch).orderBy("start_s").collect():
+        want.setdefault((r.document_id, r.segment_id), []).append((r.start_s, r.end_s))
+    stored = lambda: {(r.document_id, r.segment_id): [tuple(x) for x in r.ranges] for r in library.read_latest(spark, f"{tmp_path}/t").collect()}
+    sizes = []
+    for k, log in enumerate(("cp1", "cp1", "cp2", "cp2")):  # the second stream begins with what the first has stored
+        spark.createDataFrame(data[k * 20 : k * 20 + 20 if k < 3 else None], library.LISTEN_EVENTS).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(library.LISTEN_EVENTS).parquet(f"{tmp_path}/in")
+        query = playback.keep_listened(stream, f"{tmp_path}/t", f"{tmp_path}/{log}")
+        query.awaitTermination(120)
+    assert stored() == want
+    # with a short life the state forgets, and the table still loses nothing
+    for k in range(3):
+        spark.createDataFrame([(10 + k, "s0", 0.0, 1.0, at(k)), (1, "s0", 70.0 + k, 71.0 + k, at(k))], library.LISTEN_EVENTS).write.mode("append").parquet(f"{tmp_path}/short")
+        stream = spark.readStream.schema(library.LISTEN_EVENTS).parquet(f"{tmp_path}/short")
+        query = playback.keep_listened(stream, f"{tmp_path}/t2", f"{tmp_path}/cp3", ttl_ms=1)
+        query.awaitTermination(120)
+        sizes.append(max(op["numRowsTotal"] for p in query.recentProgress for op in json.loads(p.json if hasattr(p, "json") else json.dumps(p))["stateOperators"]))
+        time.sleep(0.1)
+    short = {(r.document_id, r.segment_id): [tuple(x) for x in r.ranges] for r in library.read_latest(spark, f"{tmp_path}/t2").collect()}
+    assert short == {(1, "s0"): [(70.0, 73.0)], (10, "s0"): [(0.0, 1.0)], (11, "s0"): [(0.0, 1.0)], (12, "s0"): [(0.0, 1.0)]}
+    assert sizes[-1] <= 2  # four passages were heard; the state holds those of the last round
 
 
 def test_upsert_and_corpus(spark, tmp_path):
