@@ -110,7 +110,16 @@ def language_gate(texts: DataFrame, text: str = "text", language: str = "languag
     return texts.withColumn("plausible", verdict)
 
 
-def back_matter_heading(blocks: DataFrame, extra_titles: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``back_matter``: whether a heading is, whole, the title of a section that narrators skip."""
-    titles = (*BACK_MATTER_TITLES, *extra_titles)
-    return blocks.withColumn("back_matter", (F.col("kind") == "heading") & heading_key(F.col("text")).isin(*titles))
+def back_matter_heading(blocks: DataFrame, extra_titles: tuple[str, ...] | DataFrame = ()) -> DataFrame:
+    """Adds ``back_matter``: whether a heading is, whole, the title of a section that narrators skip.
+
+    ``extra_titles`` are more such titles: a few names, or a table of any size with a column ``title``, whose titles are compared like
+    headings, without numbering and closing punctuation.  Only headings are held against the table.
+    """
+    heading = F.col("kind") == "heading"
+    if not isinstance(extra_titles, DataFrame):
+        return blocks.withColumn("back_matter", heading & heading_key(F.col("text")).isin(*BACK_MATTER_TITLES, *extra_titles))
+    titles = extra_titles.select(heading_key(F.col("title")).alias("__key")).where("__key <> ''").distinct()
+    named = blocks.where(heading).select("document_id", "pos", heading_key(F.col("text")).alias("__key")).join(titles, "__key", "left_semi").select("document_id", "pos", F.lit(True).alias("__named")).distinct()
+    marked = blocks.join(named, ["document_id", "pos"], "left")
+    return marked.withColumn("back_matter", heading & (heading_key(F.col("text")).isin(*BACK_MATTER_TITLES) | F.coalesce("__named", F.lit(False)))).drop("__named")

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from listenlake.operators import aggregates, joins, windows
+from listenlake.operators import aggregates, joins, predicates, windows
 
 WORDS = "red river stone a an the of light é naïve tree-top don't 12 \U0001f600 abc".split()
 
@@ -140,3 +140,13 @@ def test_long_annotated_documents_are_many_groups(spark):
     words = spark.createDataFrame([(1, 0, 0, 0, 70), (1, 0, 1, 71, 72), (1, 0, 2, 80, 80)], "document_id int, seg_idx int, word_idx int, start int, end int")
     chars = spark.range(200).select(F.lit(1).alias("document_id"), F.lit(0).alias("seg_idx"), F.col("id").cast("int").alias("char_pos"), (F.col("id") * 1.0).alias("start_s"), (F.col("id") + 1.0).alias("end_s"))
     assert sorted(tuple(r)[2:] for r in joins.word_timing_from_chars(words, chars).collect()) == [(0, 0.0, 70.0), (1, 71.0, 72.0)]
+
+
+def test_more_back_matter_titles_from_a_table(spark):
+    blocks = spark.createDataFrame([(1, 0, "heading", "3. Glossary:"), (1, 1, "paragraph", "Glossary"), (1, 2, "heading", "Notes"), (2, 0, "heading", "Glossary of terms"), (2, 1, "heading", None)], "document_id int, pos int, kind string, text string")
+    titles = spark.createDataFrame([("Glossary",), ("A. GLOSSARY.",), (None,), ("",)], "title string")
+    marked = predicates.back_matter_heading(blocks, titles)
+    assert marked.columns == [*blocks.columns, "back_matter"]
+    assert sorted((r.document_id, r.pos) for r in marked.where("back_matter").collect()) == [(1, 0), (1, 2)]
+    assert sorted((r.document_id, r.pos) for r in predicates.back_matter_heading(blocks, ("glossary",)).where("back_matter").collect()) == [(1, 0), (1, 2)]
+    assert marked.count() == 5
