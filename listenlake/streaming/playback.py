@@ -117,7 +117,7 @@ class _Sessions(StatefulProcessor):
             spans += [(at, at, {block}, block) for at, block in zip(pdf["at_us"].tolist(), pdf["block_id"])]
         held: list[tuple[int, int, set[str], str]] = []
         for first, last, blocks, block in sorted(spans, key=lambda s: s[0]):
-            if held and first < held[-1][1] + self.gap_us:
+            if held and first <= held[-1][1] + self.gap_us:  # a touch at the very end of a session still belongs to it
                 was = held.pop()
                 last, block = max((was[1], was[3]), (last, block))
                 first, blocks = was[0], was[2] | blocks
