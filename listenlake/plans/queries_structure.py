@@ -247,11 +247,11 @@ _QUOTED = "replace(regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '(
 
 
 @query(
-    f"""select * from (with parts as (select a.document_id, annotation_id, a.start_pos, a.start_offset, a.end_pos, a.end_offset, trim(regexp_replace(string_agg(substring(text, case when pos = start_pos then start_offset else 0 end + 1, greatest(0, case when pos = end_pos then end_offset else length(text) end - case when pos = start_pos then start_offset else 0 end)), ' ' order by pos), '\\s+', ' ', 'g')) as t,
+    f"""select * from (with parts as (select a.document_id, annotation_id, a.start_pos, a.start_offset, a.end_pos, a.end_offset, string_agg(substring(text, case when pos = start_pos then start_offset else 0 end + 1, greatest(0, case when pos = end_pos then end_offset else length(text) end - case when pos = start_pos then start_offset else 0 end)), ' ' order by pos) as raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as t,
  bool_and((pos <> start_pos or start_offset <= length(text)) and (pos <> end_pos or end_offset <= length(text))) and count(*) = any_value(end_pos - start_pos + 1) and any_value(start_pos < end_pos or start_offset < end_offset) as fits, src from annotations a join (select 0 as src, document_id, pos, text from blocks union all select 1, document_id, pos, case when pos % 5 = 1 then 'New. ' || text else text end from blocks where pos % 7 <> 3) b on b.document_id = a.document_id and pos between start_pos and end_pos group by all),
- stored as (select * exclude (t, fits, src), case when length(t) <= 400 then t else left(t, 300) || '…' || right(t, 99) end as excerpt from parts where src = 0 and fits and t <> ''),
- judged as (select s.*, coalesce(p.fits and starts_with(p.t, left(excerpt, 60)) and suffix(p.t, right(excerpt, 60)), false) as same from stored s left join parts p on p.src = 1 and p.document_id = s.document_id and p.annotation_id = s.annotation_id),
- lost as (select document_id, annotation_id, {_QUOTED.format("left(excerpt, 60)")} as hp, case when length(excerpt) > 60 then {_QUOTED.format("right(excerpt, 60)")} end as tp from judged where not same),
+ stored as (select * exclude (raw, t, fits, src), case when length(t) <= 400 then t else left(t, 300) || '…' || right(t, 99) end as excerpt from parts where src = 0 and fits and raw <> ''),
+ judged as (select s.*, coalesce(excerpt <> '' and p.fits and starts_with(p.t, left(excerpt, 60)) and suffix(p.t, right(excerpt, 60)), false) as same from stored s left join parts p on p.src = 1 and p.document_id = s.document_id and p.annotation_id = s.annotation_id),
+ lost as (select document_id, annotation_id, {_QUOTED.format("left(excerpt, 60)")} as hp, case when length(excerpt) > 60 then {_QUOTED.format("right(excerpt, 60)")} end as tp from judged where not same and excerpt <> ''),
  now as materialized (select document_id, pos, case when pos % 5 = 1 then 'New. ' || text else text end as text from blocks where pos % 7 <> 3),
  heads as (select l.document_id, annotation_id, hp, tp, min({{'p': pos, 'at': length(regexp_extract(text, '(?s)^(.*?)(?:' || hp || ')', 1)), 'n': length(regexp_extract(text, hp))}}) as h from lost l join now n on n.document_id = l.document_id and regexp_matches(text, hp) group by all),
  tails as (select document_id, annotation_id, min({{'p': pos, 'e': shift + length(regexp_extract(rest, '(?s)^(.*?)(?:' || tp || ')', 1)) + length(regexp_extract(rest, tp))}}) as t from (select h.document_id, annotation_id, tp, pos, case when pos = h.h.p then h.h.at else 0 end as shift, case when pos = h.h.p then substring(text, h.h.at + 1) else text end as rest from heads h join now n on n.document_id = h.document_id and pos >= h.h.p where tp is not null) where regexp_matches(rest, tp) group by all)
