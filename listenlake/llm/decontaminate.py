@@ -1,15 +1,17 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each task cuts its documents into shards of about a MB and builds the suffix array of each: all word positions of the shard, in the
-lexicographic order of the words that follow, to the depth of a window.  Every suffix of every benchmark item is then looked up
-by binary search; equal ranges give the places of verbatim matches, and matches that follow one another in both texts join into
-longer ones.  Words are numbered within a shard, and a suffix with a word that the shard lacks needs no search.
+Documents are dealt to shards of a few MB by hash.  A task builds the suffix arrays of its shard once, one for each MB of text: all
+word positions, in the lexicographic order of the words that follow, to the depth of a window.  Every suffix of every benchmark item
+is then looked up by binary search; equal ranges give the places of verbatim matches, and matches that follow one another in both
+texts join into longer ones.  Words are numbered within a suffix array, and a suffix with a word that it lacks needs no search.
 
-The benchmark is read in blocks of a bounded number of words, so what travels to the executors has a fixed size.
+The benchmark is a table that meets each shard in one exchange, sorted behind the shard's documents, and passes it in blocks of
+bounded size.  Nothing of it goes through the driver, and neither the plan nor what a task holds grows with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .textops import LETTERS, slices, text_bytes, word_hashes, word_spans
+from .textops import LETTERS, sides, slices, text_bytes, word_hashes, word_spans
 
 #: Consecutive words that make a match; an item of fewer words is matched as a whole.
 WINDOW = 10
-#: Words of benchmark text that are searched for at once, as an average over blocks dealt out by hash.
-BLOCK_WORDS = 1_000_000
-#: Bytes of text in a shard.
-SHARD_BYTES = 1 << 20
+#: Bytes of benchmark text that are searched for at once; an item is never cut.
+BLOCK_BYTES = 1 << 22
+#: Bytes of text in a shard, on average, and under one suffix array, at most; a longer text has one of its own.
+SHARD_BYTES, ARRAY_BYTES = 1 << 22, 1 << 20
 
 
 def _keys(words: np.ndarray, at: np.ndarray, depth: np.ndarray, window: int) -> np.ndarray:
@@ -55,35 +57,7 @@ class Probes:
         self.length = length[self.at]
         self.item = np.array([place[i] for i, _ in items], dtype=np.int64)[owner[self.at]]
 
-    def find(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word position and window of every verbatim match in a shard."""
-        none = np.zeros(0, dtype=np.int64)
-        if not len(hashes) or not len(self.at):
-            return none, none
-        vocabulary, words = np.unique(hashes, return_inverse=True)
-        words = (words + 1).astype(np.uint32)
-        place = np.minimum(np.searchsorted(vocabulary, self.hashes), len(vocabulary) - 1)
-        known = vocabulary[place] == self.hashes
-        lacking = np.r_[0, np.cumsum(~known)]
-        sought = np.flatnonzero(lacking[self.at + self.length] == lacking[self.at])
-        if not len(sought):
-            return none, none
-        # the suffix array, and as many words of each suffix as a window has, within its own text
-        ends = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) + 1
-        depth = np.minimum(self.window, np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(words)))
-        keys = _keys(words, np.arange(len(words)), depth, self.window)
-        order = np.argsort(keys)
-        keys = keys[order]
-        size = self.length[sought]
-        wanted = _keys(np.where(known, place + 1, 0).astype(np.uint32), self.at[sought], size, self.window)
-        beyond = wanted.view(np.uint8).reshape(len(sought), -1).copy()
-        beyond[np.arange(4 * self.window) >= 4 * size[:, None]] = 255
-        low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, beyond.view(keys.dtype).ravel(), "right")
-        n = np.maximum(0, high - low)
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        return order[rank], np.repeat(sought, n)
-
-    def longest(self, at: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def longest(self, at: np.ndarray, probe: np.ndarray) -> np.ndarray:
         """For each match the words of the run of matches that it begins, and itself; later ones of a run get 0."""
         diagonal = self.at[probe] - at
         order = np.lexsort((at, self.item[probe], diagonal))
@@ -92,37 +66,97 @@ class Probes:
         first = np.flatnonzero(new)
         words = np.zeros(len(at), dtype=np.int64)
         words[order[first]] = np.diff(np.r_[first, len(a)]) - 1 + self.length[probe][order][first]
-        return words, order
+        return words
+
 
+class SuffixArray:
+    """All word positions of some texts, in the order of the words that follow to the depth of a window, and what was found in them."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array, window: int = WINDOW):
+        self.ids, self.window = ids, window
+        data, offsets = text_bytes(texts)
+        starts, ends, self.owner = word_spans(data, offsets, LETTERS)
+        self.count = np.bincount(self.owner, minlength=len(ids))
+        self.begin = np.cumsum(self.count) - self.count
+        self.vocabulary, words = np.unique(word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64), return_inverse=True)
+        words = (words + 1).astype(np.uint32)
+        stop = (self.begin + self.count)[self.owner]  # a suffix ends with its own text
+        place = np.arange(len(words))
+        keys = _keys(words, place, np.minimum(window, stop - place), window) if len(words) else np.zeros(0, f"S{4 * window}")
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.hit = np.zeros(len(words), dtype=bool)
+        self.items: dict[int, set] = {}
+        #: For each text its longest match: words (negative), first word, and item.
+        self.best: dict[int, tuple] = {}
+
+    def find(self, probes: Probes) -> tuple[np.ndarray, np.ndarray]:
+        """Word position and window of every verbatim match."""
+        none = np.zeros(0, dtype=np.int64)
+        if not len(self.keys) or not len(probes.at):
+            return none, none
+        place = np.minimum(np.searchsorted(self.vocabulary, probes.hashes), len(self.vocabulary) - 1)
+        known = self.vocabulary[place] == probes.hashes
+        lacking = np.r_[0, np.cumsum(~known)]
+        sought = np.flatnonzero(lacking[probes.at + probes.length] == lacking[probes.at])
+        if not len(sought):
+            return none, none
+        size = probes.length[sought]
+        wanted = _keys(np.where(known, place + 1, 0).astype(np.uint32), probes.at[sought], size, self.window)
+        beyond = wanted.view(np.uint8).reshape(len(sought), -1).copy()
+        beyond[np.arange(4 * self.window) >= 4 * size[:, None]] = 255
+        low, high = np.searchsorted(self.keys, wanted, "left"), np.searchsorted(self.keys, beyond.view(self.keys.dtype).ravel(), "right")
+        n = np.maximum(0, high - low)
+        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return self.order[rank], np.repeat(sought, n)
+
+    def search(self, probes: Probes) -> None:
+        """Adds what a block of items has in these texts."""
+        at, probe = self.find(probes)
+        if not len(at):
+            return
+        edge = np.zeros(len(self.hit) + 1, dtype=np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + probes.length[probe], -1)
+        self.hit |= np.cumsum(edge[:-1]) > 0
+        text, item, words = self.owner[at], probes.item[probe], probes.longest(at, probe)
+        for i, k in np.unique(np.column_stack([text, item]), axis=0).tolist():
+            self.items.setdefault(i, set()).add(probes.ids[k])
+        order = np.lexsort((item, at, -words, text))  # of equally long matches the first, then the one with the smallest item
+        for j in order[np.r_[True, np.diff(text[order]) > 0]].tolist():
+            i = int(text[j])
+            match = (-int(words[j]), int(at[j] - self.begin[i]), probes.ids[int(item[j])])
+            self.best[i] = min(self.best.get(i, match), match)
+
+    def found(self, item_type: pa.DataType) -> pa.RecordBatch:
+        """One row for each text."""
+        rows = range(len(self.ids))
+        hit = np.flatnonzero(self.hit)
+        ends = np.searchsorted(self.owner[hit], np.arange(len(rows) + 1)).astype(np.int32)
+        hits = pa.ListArray.from_arrays(pa.array(ends), pa.array((hit - self.begin[self.owner[hit]]).astype(np.int32)))
+        items = pa.array([sorted(self.items.get(i, ())) for i in rows], pa.list_(item_type))
+        best = [self.best.get(i, (0, None, None)) for i in rows]
+        longest = (pa.array([-b[0] for b in best], pa.int32()), pa.array([b[2] for b in best], item_type), pa.array([b[1] for b in best], pa.int32()))
+        return pa.RecordBatch.from_arrays([self.ids, pa.array(self.count, pa.int64()), hits, items, *longest], names=["doc_id", "n_words", "hits", "items", "longest", "longest_item", "longest_at"])
+
+
+def _search(item_type: pa.DataType, window: int):
+    array_bytes, block_bytes = ARRAY_BYTES, BLOCK_BYTES
 
-def _search(probes: Probes, item_type: pa.DataType, last: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SHARD_BYTES):
-            rows = batch.num_rows
-            data, offsets = text_bytes(batch.column("text"))
-            starts, ends, owner = word_spans(data, offsets, LETTERS)
-            count = np.bincount(owner, minlength=rows)
-            begin = np.cumsum(count) - count
-            at, probe = probes.find(word_hashes(data, starts, ends), owner) if len(starts) else (starts, starts)
-            hits, items, best = batch.column("hits").to_pylist(), batch.column("items").to_pylist(), [batch.column(c).to_pylist() for c in ("longest", "longest_item", "longest_at")]
-            if len(at):
-                edge = np.zeros(len(starts) + 1, dtype=np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + probes.length[probe], -1)
-                hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                of = owner[hit]
-                words, _ = probes.longest(at, probe)
-                text = owner[at]
-                for i in np.unique(of).tolist():
-                    hits[i] = np.union1d(np.array(hits[i], dtype=np.int64), hit[of == i] - begin[i]).tolist()
-                    mine = np.flatnonzero(text == i)
-                    items[i] = sorted({*items[i], *(probes.ids[k] for k in np.unique(probes.item[probe[mine]]).tolist())})
-                    top = mine[np.lexsort((at[mine], -words[mine]))[0]]
-                    if words[top] > best[0][i]:
-                        best[0][i], best[1][i], best[2][i] = int(words[top]), probes.ids[int(probes.item[probe[top]])], int(at[top] - begin[i])
-            kept = {c: batch.column(c) for c in (("doc_id",) if last else ("doc_id", "text"))}
-            found = [pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(item_type)), pa.array(best[0], pa.int32()), pa.array(best[1], item_type), pa.array(best[2], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*kept.values(), *found], names=[*kept, "n_words", "hits", "items", "longest", "longest_item", "longest_at"])
+        shard, arrays = None, []
+        for at, side, batch in sides(batches):
+            if at != shard:
+                yield from (array.found(item_type) for array in arrays)
+                shard, arrays = at, []
+            if side == 0:
+                arrays.extend(SuffixArray(part.column("doc_id"), part.column("text"), window) for part in slices([batch], most=array_bytes))
+            elif arrays:
+                for part in slices([batch], most=block_bytes):
+                    probes = Probes(list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist())), window)
+                    for array in arrays:
+                        array.search(probes)
+        yield from (array.found(item_type) for array in arrays)
 
     return work
 
@@ -135,18 +169,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
     longest_item, longest_at`` (words, item and first word of the longest match; 0 and null without one) and ``contaminated``.
 
     A null or empty text has no words.  Items with a null id or without words match nothing; items that share an id or a text
-    each count under their id.  Ids may be of any type that can be ordered.  A text longer than a shard is a shard of its own.  Null
+    each count under their id.  Ids may be of any type that can be ordered.  A text is never cut, however long.  Null
     and repeated document ids pass through row by row, an empty benchmark leaves all clean, and other columns are not read.
     """
     items = benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text_column).alias("text")).where("item_id is not null and text is not null")
-    words = items.agg(F.sum(F.size(F.split("text", r"[^\p{Alnum}\P{ASCII}]+")))).first()[0] or 0
-    blocks = max(1, -(-words // BLOCK_WORDS))
-    named = items.schema["item_id"].dataType
-    kind, item = docs.schema[id_column].dataType.simpleString(), named.simpleString()
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast(f"array<{item}>").alias("items"), F.lit(0).alias("longest"), F.lit(None).cast(item).alias("longest_item"), F.lit(None).cast("int").alias("longest_at"))
-    for block in range(blocks):
-        last = block == blocks - 1
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_WORDS words
-        head = f"doc_id {kind}" if last else f"doc_id {kind}, text string"
-        rows = rows.mapInArrow(_search(Probes([(r.item_id, r.text) for r in part], window), to_arrow_type(named), last), f"{head}, n_words long, hits array<int>, items array<{item}>, longest int, longest_item {item}, longest_at int")
-    return rows.withColumn("contaminated", F.size("hits") > 0)
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    kind, item = rows.schema["doc_id"].dataType, items.schema["item_id"].dataType
+    shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), F.lit(0).alias("side"), "doc_id", F.lit(None).cast(item).alias("item_id"), "text")
+    # an item goes to all shards in two steps, so that no task writes more than a root of their number of copies
+    step = math.isqrt(shards - 1) + 1
+    some = items.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(shards - 1), F.lit(step)).cast("array<long>"))).repartition("first")
+    shard = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + step - 1, F.lit(shards - 1).cast("long"))))
+    asked = some.select(shard.alias("shard"), F.lit(1).alias("side"), F.lit(None).cast(kind).alias("doc_id"), "item_id", "text")
+    met = dealt.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "side")
+    shown = kind.simpleString(), item.simpleString()
+    found = met.mapInArrow(_search(to_arrow_type(item), window), f"doc_id {shown[0]}, n_words long, hits array<int>, items array<{shown[1]}>, longest int, longest_item {shown[1]}, longest_at int")
+    return found.withColumn("contaminated", F.size("hits") > 0)

@@ -65,6 +65,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start, end - start)
 
 
+def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Shard, side and rows of the stretches of batches sorted by their columns ``shard`` and ``side``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "side"))
+        edges = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(side) != 0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            yield int(shard[start]), int(side[start]), batch.slice(start, end - start)
+
+
 def word_spans(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word (a run of ``inside`` bytes within one text) and the text it belongs to."""
     mask = inside[data]

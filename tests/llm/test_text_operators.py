@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -94,9 +95,10 @@ def windows_of(items, width):
     return found
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 40])
-def test_decontamination_equals_brute_force(spark, docs, texts, none, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("shard, array, block", [(decontaminate.SHARD_BYTES, decontaminate.ARRAY_BYTES, decontaminate.BLOCK_BYTES), (50_000, 9_000, 40)])
+def test_decontamination_equals_brute_force(spark, docs, texts, none, monkeypatch, shard, array, block):
+    for name, size in (("SHARD_BYTES", shard), ("ARRAY_BYTES", array), ("BLOCK_BYTES", block)):
+        monkeypatch.setattr(decontaminate, name, size)
     rng = random.Random(9)
     known = [t for _, t in texts if t and len(t.split()) > 30]
     items = [(i, " ".join(rng.choice(known).split()[k : k + rng.choice([3, 9, 10, 12, 25])])) for i, k in enumerate(rng.randrange(15) for _ in range(20))]
@@ -116,9 +118,27 @@ def test_decontamination_equals_brute_force(spark, docs, texts, none, monkeypatc
         want.append((str(i), len(words), sorted(hits), sorted(names)))
     assert sorted((str(r.doc_id), r.n_words, r.hits, r["items"]) for r in got) == sorted(want)
     assert all(r.contaminated == bool(r.hits) and (r.longest > 0) == bool(r.hits) for r in got)
+    assert all(r.longest >= min(10, len(r.hits)) and r.longest_at in r.hits and r.longest_item in r["items"] for r in got if r.contaminated and r.longest >= 10)
     assert not decontaminate.overlaps(docs, bench.limit(0)).where("contaminated").count() and decontaminate.overlaps(none, bench).count() == 0
 
 
+def test_one_suffix_array_meets_all_blocks(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30)
+    made = []
+    monkeypatch.setattr(decontaminate, "SuffixArray", lambda *a, real=decontaminate.SuffixArray: made.append(1) or real(*a))
+    shard = lambda n, side, ids, items, texts: pa.RecordBatch.from_arrays([pa.array([n] * len(texts), pa.int64()), pa.array([side] * len(texts), pa.int32()), pa.array(ids, pa.int64()), pa.array(items, pa.int64()), pa.array(texts)], names=["shard", "side", "doc_id", "item_id", "text"])
+    item = "a b c d e f g h i j k"
+    stream = [shard(0, 0, [1, 2], [None] * 2, [f"x {item} y", "a b"]), shard(0, 1, [None] * 3, [7, 8, 9], [item, "x a b c d e f g h i j", "none of it"])]
+    stream += [shard(1, 1, [None], [7], [item]), shard(2, 0, [3], [None], [item])]
+    got = [r for b in decontaminate._search(pa.int64(), 10)(iter(stream)) for r in b.to_pylist()]
+    assert len(made) == 2  # shard 1 has no documents
+    assert [(r["doc_id"], r["n_words"], r["hits"], r["items"], r["longest"], r["longest_item"], r["longest_at"]) for r in got] == [
+        (1, 13, list(range(12)), [7, 8], 11, 8, 0),
+        (2, 2, [], [], 0, None, None),
+        (3, 11, [], [], 0, None, None),
+    ]
+
+
 def test_edits_follow_the_text(spark, texts, none):
     coder = secret_scan.encoding()
     rng = random.Random(4)
