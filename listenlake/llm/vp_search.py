@@ -7,20 +7,24 @@ that gap exceeds the distance of the query's k-th best so far.  Factor 1 is exac
 
 Queries go down a tree together, a block at a time, so that each node costs a few matrix steps.  First every query searches one
 shard; the distance of its k-th best there travels with it to all other shards, where it prunes from the start.  The queries are a
-stated set: each block of them meets each shard once, and a shard returns at most k rows a query, which a second shuffle merges.
+stated set: sorted behind the rows of a shard they pass its tree, however many they are, and a shard returns at most k rows a query,
+which a second shuffle merges.  A task holds one shard, its tree and one block of queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import settled
+from .textops import sides
 
 LEAF = 128
-#: Rows of a shard and queries of a block, on average.
+#: Rows of a shard, on average, and queries of a block, at most.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
@@ -99,6 +103,43 @@ class Block:
         self.worst[some] = np.minimum(self.worst[some], self.d[some, -1])
 
 
+def _by_length(batches: list[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Length, ids, vectors and reach of the rows, for each length of vector."""
+    rows = pa.Table.from_batches(batches)
+    ids, worst = (rows.column(c).to_numpy() for c in ("id", "worst"))
+    vectors = rows.column("vector").combine_chunks()
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    lengths = np.diff(np.r_[0, ends])
+    for n in np.unique(lengths).tolist():
+        some = np.flatnonzero(lengths == n)
+        yield n, ids[some], flat[(ends[some] - n)[:, None] + np.arange(n)], worst[some]
+
+
+def _passing(k: int, factor: float, block: int):
+    """Work on a stream of shards: of each the rows come first, of which a tree is made once, then all its queries pass it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows, trees = None, [], None
+        for at, side, batch in sides(batches):
+            if at != shard:
+                shard, rows, trees = at, [], None
+            if side == 0:
+                rows.append(batch)
+                continue
+            if trees is None:
+                trees, rows = {n: Tree(ids, x) for n, ids, x, _ in _by_length(rows)} if rows else {}, []
+            for start in range(0, batch.num_rows, block):
+                for n, own, x, worst in _by_length([batch.slice(start, block)]):
+                    if n not in trees:
+                        continue
+                    some = Block(own, x, worst.copy(), k, factor)
+                    some.search(trees[n])
+                    found = np.isfinite(some.d)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, found.sum(axis=1))), pa.array(some.i[found]), pa.array(some.d[found])], names=["query_id", "vec_id", "score"])
+
+    return work
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: neither null nor empty nor zero, without null or non-finite components."""
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -122,32 +163,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0
     base = clean(rows)
     asked = settled(clean(queries).groupBy("id").agg(F.min("vector").alias("vector")))
     shards = max(1, -(-base.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)))
-    asked = asked.withColumns({"home": F.pmod(F.xxhash64("id", F.lit(2)), F.lit(shards)), "block": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")})
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size, group in left.groupby(left["vector"].map(len)) if len(left) else ():
-            own = right[right["vector"].map(len) == size]
-            if not len(own):
-                continue
-            tree = Tree(group["id"].to_numpy(np.int64), np.array(group["vector"].tolist(), dtype=np.float64))
-            for start in range(0, len(own), BLOCK_QUERIES):
-                part = own.iloc[start : start + BLOCK_QUERIES]
-                block = Block(part["id"].to_numpy(np.int64), np.array(part["vector"].tolist(), dtype=np.float64), part["worst"].to_numpy(np.float64).copy(), k, factor)
-                block.search(tree)
-                found = np.isfinite(block.d)
-                out.append(pd.DataFrame({"query_id": np.repeat(block.own, found.sum(axis=1)), "vec_id": block.i[found], "score": block.d[found]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    kind = "query_id long, vec_id long, score double"
-    first = asked.select("id", "vector", F.col("home").alias("shard"), F.lit(float("inf")).alias("worst"))
-    near = settled(base.groupBy("shard").cogroup(first.groupBy("shard")).applyInPandas(meet, kind))
+    base = base.select(F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).alias("shard"), F.lit(0).alias("side"), "id", "vector", F.lit(float("inf")).alias("worst"))
+    asked = asked.withColumn("home", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(shards)))
+
+    def met(queries: DataFrame) -> DataFrame:
+        stream = base.unionByName(queries.select("shard", F.lit(1).alias("side"), "id", "vector", "worst")).repartition("shard").sortWithinPartitions("shard", "side")
+        return stream.mapInArrow(_passing(k, factor, BLOCK_QUERIES), "query_id long, vec_id long, score double")
+
+    near = settled(met(asked.select(F.col("home").alias("shard"), "id", "vector", F.lit(float("inf")).alias("worst"))))
     reach = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("score")).otherwise(F.lit(float("inf"))).alias("worst"))
-    asked = asked.join(reach.withColumnRenamed("query_id", "id"), "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("shard <> home")
-    asked = asked.select("id", "vector", "shard", "block", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-    dealt = base.select("id", "vector", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(meet, kind).unionByName(near)
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    asked = asked.join(reach.withColumnRenamed("query_id", "id"), "id", "left").withColumn("shard", others).where("shard <> home")
+    found = met(asked.select("shard", "id", "vector", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))).unionByName(near)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

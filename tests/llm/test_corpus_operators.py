@@ -107,7 +107,10 @@ def test_lines_of_50_to_90_characters_are_linked_after_one_edit(spark):
     assert len(want) >= 0.95 * len(base) and got <= want and len(got) >= 0.97 * len(want)
 
 
-def test_vp_search_is_exact(spark):
+@pytest.mark.parametrize("rows, block", [(vp_search.SHARD_ROWS, vp_search.BLOCK_QUERIES), (150, 3)])
+def test_vp_search_is_exact(spark, monkeypatch, rows, block):
+    monkeypatch.setattr(vp_search, "SHARD_ROWS", rows)
+    monkeypatch.setattr(vp_search, "BLOCK_QUERIES", block)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(700, 8)).round(1)
     base[100:160] = base[5]
