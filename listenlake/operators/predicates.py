@@ -99,15 +99,21 @@ def language_gate(texts: DataFrame, text: str = "text", language: str = "languag
     Short texts pass.  The share of letters in other scripts must fit the language, and an English text needs two different
     connectives; anything unclear passes.
     """
-    body, tag = strip(F.col(text)), F.lower(F.coalesce(F.col(language), F.lit("en")))
-    other = F.regexp_count(body, F.lit("|".join(rf"\p{{Is{s}}}" for s in NON_LATIN_SCRIPTS)))
-    total = other + F.regexp_count(body, F.lit(r"\p{IsLatin}"))
+    texts = texts.withColumn("__body", strip(F.col(text)))
+    body, tag = F.col("__body"), F.lower(F.coalesce(F.col(language), F.lit("en")))
+    # of ASCII only letters are of a script, and Latin; scripts are looked up for the rest alone
+    texts = texts.withColumn("__beyond", F.regexp_replace(body, r"[\x00-\x7F]++", ""))
+    beyond = F.col("__beyond")
+    other = F.regexp_count(beyond, F.lit("|".join(rf"\p{{Is{s}}}" for s in NON_LATIN_SCRIPTS)))
+    latins = F.regexp_count(beyond, F.lit(r"\p{IsLatin}")) + F.length(F.regexp_replace(body, "[^A-Za-z]++", ""))
+    texts = texts.withColumn("__other", other).withColumn("__total", F.col("__other") + latins)
+    other, total = F.col("__other"), F.col("__total")
     latin = ~tag.rlike(rf"^({'|'.join(NON_LATIN_LANGUAGES)})\b")
     share = other / F.nullif(total, F.lit(0))
     wrong = (total >= 20) & ((latin & (share > 0.2)) | (~latin & (share < 0.5)))
     found = F.regexp_extract_all(F.lower(body), F.lit(rf"\b({'|'.join(ENGLISH_CONNECTIVES)})\b"), F.lit(1))
     verdict = F.when(F.length(body) < 24, True).when(wrong, False).when(~tag.startswith("en"), True).otherwise(F.size(F.array_distinct(found)) >= 2)
-    return texts.withColumn("plausible", verdict)
+    return texts.withColumn("plausible", verdict).drop("__body", "__beyond", "__other", "__total")
 
 
 def back_matter_heading(blocks: DataFrame, extra_titles: tuple[str, ...] | DataFrame = ()) -> DataFrame:

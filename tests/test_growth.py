@@ -13,5 +13,5 @@ def test_long_lines_and_blank_runs_of_pages(spark):
     begun = time.monotonic()
     assert [r.seam for r in windows.page_seams(pages).orderBy("page").collect()] == [None, "space", "space"]
     text, spans = windows.assemble_pages(pages)
-    assert [(r.start, r.end) for r in spans.orderBy("page").collect()] == [(0, 200_007), (200_008, 260_013), (260_014, 460_018)]
+    assert [(r.start, r.end) for r in spans.orderBy("page").collect()] == [(0, 200_007), (200_008, 260_014), (260_015, 460_019)]
     assert text.first().text.startswith("Head\nfor for") and time.monotonic() - begun < 60
