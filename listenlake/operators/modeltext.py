@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from listenlake.functions.text import squeeze, strip
 from listenlake.operators.windows import pack_to_budget
-from listenlake.sources.library import current_version, read_latest, upsert_latest
+from listenlake.sources.library import BUCKETS, current_version, read_latest, upsert_latest
 
 #: Token and character budgets by style and kind (fixed values).  A budget of 0 needs no call.
 BUDGETS = {
@@ -77,7 +77,7 @@ def narration_requests(constructs: DataFrame, templates: DataFrame, params: Data
     With a budget of 0 there is nothing to ask and the entry is settled.  ``constructs``: ``document_id, construct_id, kind, source,
     header, context``; ``templates``: ``kind, template``; ``params``: see ``budgets``.
     """
-    rows = constructs.join(templates, "kind", "left").join(params, "kind", "left")
+    rows = constructs.join(F.broadcast(templates), "kind", "left").join(F.broadcast(params), "kind", "left")  # a row a kind: rows of one kind never meet in one task
     long = F.col("kind").isin("mermaid", "code-block") & (F.length("source") > most)
     tail = F.when(F.col("kind") == "mermaid", "\n%% diagram continues").otherwise("\n… snippet continues")
     source = F.when(long, F.concat(F.left("source", F.lit(most)), tail)).otherwise(F.col("source"))
@@ -197,27 +197,31 @@ def ask_once(requests: DataFrame, run: Callable[[list[str], bool], list[str]], a
         wanted = questions.where(F.pmod(F.xxhash64("digest"), F.lit(ROUNDS)) == part)
         if current_version(spark, path) >= 0:
             wanted = wanted.join(read_latest(spark, path).where("status = 'ready'").select("digest"), "digest", "left_anti")
-        upsert_latest(map_model(wanted, run, accept, key="digest").withColumn("asked_at", F.current_timestamp()), path, "digest", "asked_at", buckets=ROUNDS)
+        upsert_latest(map_model(wanted, run, accept, key="digest").withColumn("asked_at", F.current_timestamp()), path, "digest", "asked_at", buckets=ROUNDS * BUCKETS)
     known = read_latest(spark, path).select("digest", "answer", "status")
     return named.select(key, "digest").join(known, "digest").select(key, "answer", "status")
 
 
-#: Parts in which questions are asked and their answers stored.
+#: Parts in which questions are asked and their answers stored; each has buckets of its own, so that no task holds a whole part.
 ROUNDS = 4
 
 
-def _plain(text: Column) -> Column:
-    """What every answer goes through: thoughts, tags, opening phrases, quotes and markup go."""
+def _plain(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with ``__t``, what every answer goes through: thoughts, tags, opening phrases, quotes and markup go."""
     text = F.regexp_replace(text, r"(?s)<think>.*?</think>", " ")
     text = F.regexp_replace(text, r"<[^>\n]{0,120}>", " ")
     text = F.regexp_replace(text, r"(?s)\n\s*\n.*$", "")
-    text = F.regexp_replace(strip(text), r"(?i)^(?:sure|okay|of course|certainly)[,.!:]?\s+", "")
+    rows = rows.withColumn("__bare", text)
+    text = F.regexp_replace(strip(F.col("__bare")), r"(?i)^(?:sure|okay|of course|certainly)[,.!:]?\s+", "")
     text = F.regexp_replace(text, r"(?i)^(?:here(?:'s| is)|this is)\s+(?:the\s+)?(?:narration|description|spoken (?:version|text)|text|sentence)[:.,]?\s*", "")
-    text = F.regexp_replace(F.regexp_replace(text, "^[\"'`]+", ""), "[\"'`]+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, "^[\"'`]+", ""), "(?<![\"'`])[\"'`]++$", "")
     text = F.regexp_replace(text, "[*_#`]+", " ")
+    rows, spelled = rows.withColumn("__plain", text), F.col("__plain")
+    any_symbol = "[" + "".join(symbol.strip("[]") for symbol, _ in SYMBOLS) + "]"
     for symbol, words in SYMBOLS:
-        text = F.regexp_replace(text, symbol, words)
-    return squeeze(text)
+        spelled = F.regexp_replace(spelled, symbol, words)
+    # most answers have no symbol, and are not searched for each of them
+    return rows.withColumn("__t", squeeze(F.when(F.col("__plain").rlike(any_symbol), spelled).otherwise(F.col("__plain")))).drop("__bare", "__plain")
 
 
 def _letter_share(text: Column) -> Column:
@@ -233,7 +237,8 @@ def gate_narration(answers: DataFrame, params: DataFrame) -> DataFrame:
     equation that begins with ``skip`` declines.  Longer answers end with the last sentence that fits, but keep the first.
     """
     prose = F.col("math_prose") if "math_prose" in params.columns else F.lit(None).cast("string")
-    rows = answers.join(params.select("kind", "max_chars", F.coalesce(prose, F.lit("")).alias("__prose")), "kind", "left").withColumn("__t", _plain(F.coalesce("answer", F.lit(""))))
+    rows = answers.join(F.broadcast(params.select("kind", "max_chars", F.coalesce(prose, F.lit("")).alias("__prose"))), "kind", "left")
+    rows = _plain(rows, F.coalesce("answer", F.lit("")))
     text, style = F.col("__t"), F.coalesce("__prose", F.lit(""))
     inline = strip(F.regexp_replace(text, "[.!?]+$", ""))
     first = F.regexp_extract(text, r"^[^.!?]+[.!?]", 0)
