@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listenlake.functions.text import WORD, finite, squeeze, words_in
 
 _UPTO = (Window.unboundedPreceding, 0)
 
 
+def _digest(text: Column) -> Column:
+    """What stands for a text where only its identity counts."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def match_existing(incoming: DataFrame, known: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(new, duplicates)``: incoming documents whose content the library lacks, and those it has.  ``known`` has ``fingerprint``."""
     hashed = incoming.withColumn("fingerprint", F.sha2(F.col(text), 256))
@@ -79,31 +87,81 @@ def annotation_excerpt(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     return anchored_text(annotations, blocks).where("anchored is not null and anchored <> ''").select("document_id", "annotation_id", excerpt(F.col("anchored")).alias("excerpt"))
 
 
-#: Lengths of seeds; a needle of at least ``2 * size - 1`` characters holds a whole seed of its text, wherever it stands.
+#: Lengths of seeds; a needle of at least ``2 * size - 1`` characters has a whole window of ``size`` seeds.
 SEEDS = (12, 4, 1)
+#: Seeds of a needle of which the rarest is looked up; each of them is in every text that holds the needle.
+LOOKED_UP = 8
+
+
+#: Characters that are hashed at once.
+_AT_ONCE = 1 << 20
+
+
+def window_seeds(texts: list[str], size: int) -> list[np.ndarray]:
+    """For each text the smallest hash of each window of ``size`` stretches side by side, each once, in order.  Those of a needle are
+    among those of every text that holds it."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    windows = len(codes) - 2 * size + 2
+    if windows <= 0:
+        return [np.empty(0, np.int64) for _ in texts]
+    least = np.zeros(windows + size - 1, np.uint64)
+    for i in range(size):
+        least = least * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(least)]
+    least = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    least ^= least >> np.uint64(32)
+    hashed = least
+    least = hashed[:windows]
+    for i in range(1, size):
+        least = np.minimum(least, hashed[i : i + windows])
+    row = np.repeat(np.arange(len(texts)), lengths)
+    at = np.arange(windows)
+    own = at + 2 * size - 1 <= np.cumsum(lengths)[row[:windows]]  # no window lies across two texts
+    value, of = least[own].view(np.int64), row[:windows][own]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    value, of = value[new], of[new]
+    order = np.lexsort((value, of))
+    value, of = value[order], of[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    value, of = value[new], of[new]
+    return np.split(value ^ np.int64(size), np.searchsorted(of, np.arange(1, len(texts))))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _seeds(text: pd.Series, size: pd.Series) -> pd.Series:
+    found = np.empty(len(text), dtype=object)
+    for n in size.unique():
+        rows = np.flatnonzero(size.to_numpy() == n)
+        parts = np.cumsum([len(text.iat[i]) for i in rows]) // _AT_ONCE
+        for part in np.split(rows, np.flatnonzero(np.diff(parts)) + 1):
+            for i, seeds in zip(part, window_seeds([text.iat[i] for i in part], int(n))):
+                found[i] = seeds
+    return pd.Series(found)
 
 
 def holders(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """``document_id, needle_id, text_id``: the texts of a document that hold a needle, which is not empty.
 
-    ``needles``: ``document_id, needle_id, needle``; ``texts``: ``document_id, text_id, text``.  Texts are cut into seeds, stretches of
-    one size side by side.  Where a needle stands in a text its own stretches at one of ``size`` offsets are seeds of the text, all
-    of them; so an offset one of whose stretches no text has is out, and of the others the stretch that the fewest texts of the document
-    have is looked up.  What is found is then compared in full.  Only documents with needles are indexed, for the sizes that they need.
+    ``needles``: ``document_id, needle_id, needle``; ``texts``: ``document_id, text_id, text``.  A text is known by the smallest hash of
+    each of its windows, about two in ``size`` characters.  The windows of a needle are windows of every text that holds it, so of a few of
+    its hashes the one that the fewest texts of the document have is looked up, and what is found is compared in full.  Neither texts nor
+    needles travel with the hashes.  Only documents with needles are indexed, for the sizes that they need.
     """
     size = F.coalesce(*(F.when(F.length("needle") >= 2 * n - 1, n) for n in SEEDS))
-    asked = needles.select("document_id", "needle_id", "needle").where("needle <> ''").withColumn("size", size)
-    sized = texts.select("document_id", "text_id", "text").join(asked.select("document_id", "size").distinct(), "document_id")
-    cut = F.coalesce(*(F.when(F.col("size") == n, F.regexp_extract_all("text", F.lit(f"(?s).{{{n}}}"), F.lit(0))) for n in SEEDS))
-    index = sized.select("document_id", "size", "text_id", F.explode(F.array_distinct(cut)).alias("seed"))
-    common = index.groupBy("document_id", "size", "seed").agg(F.count("*").alias("n"))
-    stretches = F.transform(F.sequence(F.lit(0), F.length("needle") - F.col("size")), lambda i: F.substring(F.col("needle"), i + 1, F.col("size")))
-    own = asked.select("document_id", "needle_id", "needle", "size", F.posexplode(stretches).alias("at", "seed")).withColumn("offset", F.col("at") % F.col("size"))
-    rare = own.join(common, ["document_id", "size", "seed"]).groupBy("document_id", "needle_id", "needle", "size", "offset").agg(F.count("*").alias("have"), F.min_by("seed", F.struct("n", "seed")).alias("seed"))
-    rare = rare.where(F.col("have") == F.floor((F.length("needle") - F.col("size") - F.col("offset")) / F.col("size")) + 1)
-    met = rare.join(index, ["document_id", "size", "seed"]).select("document_id", "needle_id", "needle", "text_id").distinct()
+    keyed = needles.select("document_id", "needle_id", "needle").where("needle <> ''").withColumn("key", _digest(F.col("needle")))
+    asked = keyed.groupBy("document_id", "key").agg(F.first("needle").alias("needle")).withColumn("size", size)
+    sized = texts.select("document_id", "text_id", "text").where("text is not null").join(asked.select("document_id", "size").distinct(), "document_id")
+    index = sized.select("document_id", F.explode(_seeds(F.col("text"), F.col("size"))).alias("seed"), "text_id")
+    common = index.groupBy("document_id", "seed").agg(F.count("*").alias("n"))
+    own = asked.select("document_id", "key", F.explode(F.slice(_seeds(F.col("needle"), F.col("size")), 1, LOOKED_UP)).alias("seed"))
+    # a seed that no text has rules its needle out
+    rare = own.join(common, ["document_id", "seed"], "left").groupBy("document_id", "key").agg(F.min_by("seed", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "seed")).alias("seed"))
+    met = rare.join(index, ["document_id", "seed"]).select("document_id", "key", "text_id")
+    met = met.join(asked.select("document_id", "key", "needle"), ["document_id", "key"])
     found = met.join(texts.select("document_id", "text_id", "text"), ["document_id", "text_id"]).where(F.contains("text", F.col("needle")))
-    return found.select("document_id", "needle_id", "text_id")
+    return found.select("document_id", "key", "text_id").join(keyed.select("document_id", "key", "needle_id"), ["document_id", "key"]).select("document_id", "needle_id", "text_id").distinct()
 
 
 def _found_at(text: Column, pattern: Column) -> Column:
@@ -236,32 +294,38 @@ def remap_position(positions: DataFrame, segs: DataFrame) -> DataFrame:
     ``positions``: ``document_id, position_id, block_pos, offset``; ``segs``: ``..., seg_idx, segment_id, block_pos, start, end, text,
     est_duration``.
     """
-    found = F.struct("segment_id", "start", "text", "est_duration")
-    met = positions.join(segs.select("document_id", "seg_idx", "block_pos", "end", found.alias("seg")), ["document_id", "block_pos"])
-    holds = F.col("offset").between(F.col("seg.start"), F.col("end"))
-    best = met.groupBy("document_id", "position_id").agg(F.first("offset").alias("offset"), F.coalesce(F.min_by("seg", F.when(holds, F.col("seg_idx"))), F.max_by("seg", "seg_idx")).alias("seg"))
+    held = segs.select("document_id", "seg_idx", "block_pos", "segment_id", "start", "end", "text", "est_duration", words_in(F.col("text")).alias("words"))
+    met = positions.join(held, ["document_id", "block_pos"])
     # words that begin at or before the place are those of the text up to and with the character there: a word cut short is still one word
-    begun = words_in(F.left("seg.text", F.greatest(F.lit(0), F.col("offset") - F.col("seg.start") + 1).cast("int")))
-    best = best.withColumns({"word_idx": F.greatest(F.lit(0), begun - 1), "words": words_in(F.col("seg.text"))})
-    return best.select("document_id", "position_id", "seg.segment_id", "word_idx", (finite(F.col("seg.est_duration")) * F.col("word_idx") / F.greatest(F.lit(1), F.col("words"))).alias("offset_s"))
+    begun = words_in(F.left("text", F.greatest(F.lit(0), F.col("offset") - F.col("start") + 1).cast("int")))
+    found = F.struct("segment_id", F.greatest(F.lit(0), begun - 1).alias("word_idx"), "words", "est_duration")
+    met = met.select("document_id", "position_id", "seg_idx", F.col("offset").between(F.col("start"), F.col("end")).alias("holds"), found.alias("seg"))  # texts go no further
+    best = met.groupBy("document_id", "position_id").agg(F.coalesce(F.min_by("seg", F.when(F.col("holds"), F.col("seg_idx"))), F.max_by("seg", "seg_idx")).alias("seg"))
+    return best.select("document_id", "position_id", "seg.segment_id", "seg.word_idx", (finite(F.col("seg.est_duration")) * F.col("seg.word_idx") / F.greatest(F.lit(1), F.col("seg.words"))).alias("offset_s"))
 
 
 def migrate_segment(pointers: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """``document_id, pointer_id, segment_id``: the new passage for an old one: of the same id and text, of the same text, or
     the first that holds the pointer's excerpt.  ``pointers``: ``document_id, pointer_id, segment_id, excerpt``."""
-    was = pointers.join(old.select("document_id", "segment_id", F.col("text").alias("old_text")), ["document_id", "segment_id"], "left")
-    same_id = new.select("document_id", "segment_id", F.col("text").alias("id_text"))
+    wanted = F.lower(squeeze(F.coalesce("excerpt", F.lit(""))))
+    asked = pointers.select("document_id", "pointer_id", "segment_id", wanted.alias("needle")).withColumn("needle_id", F.when(F.col("needle") != "", _digest(F.col("needle"))))
+    # only digests of texts travel through the lookups
+    was = asked.drop("needle").join(old.select("document_id", "segment_id", _digest(F.col("text")).alias("old_text")), ["document_id", "segment_id"], "left")
+    same_id = new.select("document_id", "segment_id", _digest(F.col("text")).alias("id_text"))
     was = was.join(same_id, ["document_id", "segment_id"], "left")
-    by_text = new.groupBy("document_id", F.col("text").alias("old_text")).agg(F.min_by("segment_id", "seg_idx").alias("text_segment"))
+    by_text = new.groupBy("document_id", _digest(F.col("text")).alias("old_text")).agg(F.min_by("segment_id", "seg_idx").alias("text_segment"))
     was = was.join(by_text, ["document_id", "old_text"], "left")
     direct = F.when(F.col("id_text").isNotNull() & (F.col("old_text").isNull() | (F.col("id_text") == F.col("old_text"))), F.col("segment_id"))
     was = was.withColumn("found", F.coalesce(direct, "text_segment"))
-    wanted = F.lower(squeeze(F.coalesce("excerpt", F.lit(""))))
-    open_ = was.where("found is null").select("document_id", "pointer_id", wanted.alias("wanted")).where("wanted <> ''")
-    texts = new.select("document_id", F.struct("seg_idx", "segment_id").alias("text_id"), F.lower("text").alias("text"))
-    hits = holders(open_.select("document_id", F.col("pointer_id").alias("needle_id"), F.col("wanted").alias("needle")), texts)
-    hits = hits.groupBy("document_id", F.col("needle_id").alias("pointer_id")).agg(F.min("text_id").getField("segment_id").alias("hit"))
-    return was.join(hits, ["document_id", "pointer_id"], "left").select("document_id", "pointer_id", F.coalesce("found", "hit").alias("segment_id"))
+    open_ = was.where("found is null and needle_id is not null").select("document_id", "needle_id").distinct()
+    needles = asked.where("needle_id is not null").join(open_, ["document_id", "needle_id"], "left_semi").select("document_id", "needle_id", "needle")
+    # of equal texts the first stands for all
+    texts = new.select("document_id", F.lower("text").alias("text"), F.col("seg_idx").alias("text_id"))
+    texts = texts.groupBy("document_id", _digest(F.col("text")).alias("key")).agg(F.min("text_id").alias("text_id"), F.first("text").alias("text"))
+    hits = holders(needles.dropDuplicates(["document_id", "needle_id"]), texts.where("key is not null"))
+    hits = hits.groupBy("document_id", "needle_id").agg(F.min("text_id").alias("seg_idx"))
+    hits = hits.join(new.groupBy("document_id", "seg_idx").agg(F.min("segment_id").alias("hit")), ["document_id", "seg_idx"]).drop("seg_idx")
+    return was.join(hits, ["document_id", "needle_id"], "left").select("document_id", "pointer_id", F.coalesce("found", "hit").alias("segment_id"))
 
 
 def cached_passages(segs: DataFrame, variants: DataFrame, **setting: object) -> DataFrame:
@@ -341,7 +405,7 @@ def reconcile_narrations(constructs: DataFrame, entries: DataFrame, prompts: Dat
     ``constructs``: ``document_id, ord, construct_id, kind, source_hash``; ``entries``: ``document_id, construct_id, kind, status,
     source_hash, prompt_version, prompt_hash, origin``; ``prompts``: ``kind, prompt_hash``.
     """
-    current = entries.join(prompts.withColumnRenamed("prompt_hash", "now"), "kind", "left")
+    current = entries.join(F.broadcast(prompts.withColumnRenamed("prompt_hash", "now")), "kind", "left")
     good = (F.col("origin") == "manual") | ((F.col("prompt_version") == prompt_version) & F.col("prompt_hash").eqNullSafe(F.col("now")))
     current = current.withColumn("good", F.coalesce(good, F.lit(False)) & (F.col("status") == "ready"))
     own = current.select("document_id", "construct_id", F.col("source_hash").alias("h"), F.col("status").alias("st"), F.col("good").alias("own_good"))

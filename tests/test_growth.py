@@ -15,3 +15,40 @@ def test_long_lines_and_blank_runs_of_pages(spark):
     text, spans = windows.assemble_pages(pages)
     assert [(r.start, r.end) for r in spans.orderBy("page").collect()] == [(0, 200_007), (200_008, 260_014), (260_015, 460_019)]
     assert text.first().text.startswith("Head\nfor for") and time.monotonic() - begun < 60
+
+
+def test_kinds_are_no_hot_keys(spark):
+    kinds = spark.createDataFrame([("image", "Describe {{source}}")], "kind string, template string")
+    params = modeltext.budgets(spark)
+    asked = modeltext.narration_requests(spark.range(9).selectExpr("id as document_id", "'c' as construct_id", "'image' as kind", "'s' as source", "'' as header", "'' as context"), kinds, params)
+    gated = modeltext.gate_narration(spark.range(9).selectExpr("id", "'image' as kind", "'A tree of α leaves.' as answer"), params)
+    assert {r.prompt for r in asked.collect()} == {"Describe s"} and {r.clean for r in gated.collect()} == {"A tree of alpha leaves."}
+    for plan in (asked, gated):
+        assert "hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_remapped_positions_leave_texts_behind(spark):
+    segs = spark.createDataFrame([(1, 0, "s0", 0, 0, 7, "one two", 2.0), (1, 1, "s1", 0, 7, 13, " three", 1.0)], "document_id int, seg_idx int, segment_id string, block_pos int, start int, end int, text string, est_duration double")
+    places = spark.createDataFrame([(1, "p", 0, 5), (1, "q", 0, 99)], "document_id int, position_id string, block_pos int, offset int")
+    out = joins.remap_position(places, segs)
+    assert sorted(tuple(r)[1:] for r in out.collect()) == [("p", "s0", 1, 1.0), ("q", "s1", 0, 0.0)]
+    group = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "text#" not in group.split("Aggregate")[1].split("Project")[0]
+
+
+def test_frames_are_cut_before_they_meet(spark):
+    blocks = spark.createDataFrame([(1, i, "b", "paragraph", f"{i} " + "word " * 900) for i in range(6)], "document_id int, pos int, block_id string, kind string, text string")
+    picked = spark.createDataFrame([(1, "s", 2, 3)], "document_id int, selection_id string, start_pos int, end_pos int")
+    out = windows.explain_context(blocks, picked)
+    r = out.first()
+    assert 1100 < len(r.before) <= 1200 and r.before.endswith("word") and r.after.startswith("4 word") and len(r.after) <= 400
+    assert "part#" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_needles_do_not_multiply(spark):
+    text = "".join(f"word{i} " for i in range(20_000))
+    texts = spark.createDataFrame([(1, 0, "x" + text + "y"), (1, 1, "nothing here"), (1, 2, "ab")], "document_id int, text_id int, text string")
+    needles = spark.createDataFrame([(1, "long", text), (1, "gone", text + "z"), (1, "short", "b"), (1, "mid", "hing he"), (1, "empty", "")], "document_id int, needle_id string, needle string")
+    found = joins.holders(needles, texts)
+    assert sorted(tuple(r)[1:] for r in found.collect()) == [("long", 0), ("mid", 1), ("short", 2)]
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
