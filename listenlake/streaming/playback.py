@@ -28,36 +28,56 @@ def stream_latest_position(events: DataFrame, path: str, checkpoint: str) -> Str
 
 
 class _Ranges(StatefulProcessor):
-    """Keeps the merged ranges of one passage: a sorted list of disjoint ranges, forgotten after ``ttl_ms`` without a change."""
+    """Keeps the merged ranges of a document's passages, disjoint within each; a passage is forgotten after ``ttl_ms`` without a change.
+
+    State is read and written once a document and batch, however many of its passages got events.
+    """
 
     def __init__(self, gap: float, ttl_ms: int | None):
         self.gap, self.ttl_ms = gap, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ranges = handle.getListState("ranges", "start_s double, end_s double", self.ttl_ms)
-
-    def _merge(self, more: list[tuple[float, float]]) -> list[list[float]]:
-        known = [(r[0], r[1]) for r in self.ranges.get()] if self.ranges.exists() else []
-        merged: list[list[float]] = []
-        for start, end in sorted(known + more):
-            if merged and start <= merged[-1][1] + self.gap:
-                merged[-1][1] = max(merged[-1][1], end)
-            else:
-                merged.append([start, end])
-        if merged:
-            self.ranges.put([tuple(r) for r in merged])
-        return merged
+        self.ranges = handle.getListState("ranges", "segment_id string, start_s double, end_s double, seen_ms long", self.ttl_ms)
+
+    def _merge(self, more: dict[str | None, list[tuple[float, float]]], timerValues) -> dict[str | None, list[list[float]]]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms is not None else 0
+        held: dict[str | None, list[tuple]] = {}
+        for r in self.ranges.get() if self.ranges.exists() else ():
+            if self.ttl_ms is None or r[3] + self.ttl_ms > now:
+                held.setdefault(r[0], []).append((r[1], r[2], r[3]))
+        found: dict[str | None, list[list[float]]] = {}
+        for segment, fresh in more.items():
+            merged: list[list[float]] = []
+            for start, end in sorted([r[:2] for r in held.get(segment, ())] + fresh):
+                if merged and start <= merged[-1][1] + self.gap:
+                    merged[-1][1] = max(merged[-1][1], end)
+                else:
+                    merged.append([start, end])
+            found[segment] = merged
+            held[segment] = [(start, end, now) for start, end in merged]
+        if found:
+            self.ranges.put([(segment, *r) for segment, ranges in held.items() for r in ranges])
+        return found
+
+    @staticmethod
+    def _by_segment(segments, starts, ends) -> dict[str | None, list[tuple[float, float]]]:
+        more: dict[str | None, list[tuple[float, float]]] = {}
+        for segment, x, y in zip(segments, starts, ends):
+            if x != y:
+                more.setdefault(segment, []).append((min(x, y), max(x, y)))
+        return more
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._merge([(float(a), float(b)) for a, b in zip(initialState["start_s"], initialState["end_s"])])
+        self._merge(self._by_segment(initialState["segment_id"], initialState["start_s"].astype(float), initialState["end_s"].astype(float)), timerValues)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        more: list[tuple[float, float]] = []
+        more: dict[str | None, list[tuple[float, float]]] = {}
         for pdf in rows:
             a, b = (pdf[c].where(pdf[c].abs() < float("inf"), 0.0).clip(lower=0.0) for c in ("start_s", "end_s"))
-            more += [(min(x, y), max(x, y)) for x, y in zip(a, b) if x != y]
-        if more and (merged := self._merge(more)):
-            yield pd.DataFrame({"document_id": key[0], "segment_id": key[1], "ranges": [[{"start_s": s, "end_s": e} for s, e in merged]]})
+            for segment, ranges in self._by_segment(pdf["segment_id"], a, b).items():
+                more.setdefault(segment, []).extend(ranges)
+        if found := self._merge(more, timerValues) if more else {}:
+            yield pd.DataFrame({"document_id": [key[0]] * len(found), "segment_id": list(found), "ranges": [[{"start_s": s, "end_s": e} for s, e in ranges] for ranges in found.values()]})
 
     def close(self) -> None:
         pass
@@ -70,9 +90,9 @@ def stream_listened(events: DataFrame, stored: DataFrame | None = None, gap: flo
     (``document_id, segment_id, ranges``) is what the first batch of a new stream begins with.  With ``ttl_ms`` a passage that got no
     events for so long leaves the state, and what comes out later are ranges heard since, for ``keep_listened`` to join.
     """
-    first = stored.select("document_id", "segment_id", F.explode("ranges").alias("r")).select("document_id", "segment_id", "r.start_s", "r.end_s").groupBy("document_id", "segment_id") if stored is not None else None
+    first = stored.select("document_id", "segment_id", F.explode("ranges").alias("r")).select("document_id", "segment_id", "r.start_s", "r.end_s").groupBy("document_id") if stored is not None else None
     kind = "document_id long, segment_id string, ranges array<struct<start_s:double,end_s:double>>"
-    return events.groupBy("document_id", "segment_id").transformWithStateInPandas(_Ranges(gap, ttl_ms), kind, "Update", "None" if ttl_ms is None else "ProcessingTime", first)
+    return events.groupBy("document_id").transformWithStateInPandas(_Ranges(gap, ttl_ms), kind, "Update", "None" if ttl_ms is None else "ProcessingTime", first)
 
 
 def keep_listened(events: DataFrame, path: str, checkpoint: str, gap: float = 0.2, ttl_ms: int | None = None) -> StreamingQuery:

@@ -52,3 +52,29 @@ def test_long_needles_do_not_multiply(spark):
     found = joins.holders(needles, texts)
     assert sorted(tuple(r)[1:] for r in found.collect()) == [("long", 0), ("mid", 1), ("short", 2)]
     assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_listened_state_is_written_once_a_document():
+    import pandas as pd
+
+    from listenlake.streaming.playback import _Ranges
+
+    class State:
+        puts, rows = 0, []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.puts, self.rows = self.puts + 1, rows
+
+    held = _Ranges(0.2, None)
+    held.ranges = State()
+    events = pd.DataFrame({"segment_id": ["a", "b", "a"], "start_s": [0.0, 5.0, 3.0], "end_s": [1.0, 4.0, 1.1]})
+    (out,) = held.handleInputRows((1,), iter([events]), None)
+    assert out["segment_id"].tolist() == ["a", "b"] and out["ranges"].tolist() == [[{"start_s": 0.0, "end_s": 3.0}], [{"start_s": 4.0, "end_s": 5.0}]]
+    (out,) = held.handleInputRows((1,), iter([events[1:2]]), None)
+    assert out["segment_id"].tolist() == ["b"] and held.ranges.puts == 2 and len(held.ranges.rows) == 2
