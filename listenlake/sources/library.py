@@ -40,10 +40,33 @@ def _named(path: Column) -> list[Column]:
     return [F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source_name"), F.coalesce(F.element_at(known, ending), F.lit("application/octet-stream")).alias("mime")]
 
 
-def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Text files, whole: ``source_name, mime, path, text``; a byte order mark goes."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    return rows.select(*_named(F.col("path")), "path", F.regexp_replace("value", r"^\x{FEFF}", "").alias("text"))
+#: Ends a text in a bundle, and what stands for it, and for itself, within texts.
+_END, _ESCAPE = "\x1e", "\x1b"
+
+
+def write_bundles(docs: DataFrame, path: str, id_column: str = "document_id", text_column: str = "text") -> None:
+    """Texts as text files that hold many of them, for ``read_text_corpus``: a small file each costs more than what is in it.
+
+    Each text stands behind its id, whatever characters it has; a null one is told apart from an empty one.
+    """
+    escaped = F.replace(F.replace(text_column, F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(_END), F.lit(_ESCAPE + "1"))
+    docs.select(F.concat(F.col(id_column).cast("string"), F.coalesce(F.concat(F.lit("\t"), escaped), F.lit(""))).alias("value")).write.text(path, lineSep=_END)
+
+
+def read_text_corpus(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Text files, whole: ``source_name, mime, path, text``; a byte order mark goes.
+
+    With ``bundled`` the files are those of ``write_bundles``: a row for each of their texts, with its ``id`` as a string.
+    """
+    kind = {"lineSep": _END} if bundled else {"wholetext": True}
+    rows = spark.read.text(path, recursiveFileLookup=True, **kind).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    text, more = F.col("value"), []
+    if bundled:
+        at = F.locate("\t", "value")
+        tail = F.when(at > 0, F.substring("value", at + 1, F.length("value")))
+        text = F.replace(F.replace(tail, F.lit(_ESCAPE + "1"), F.lit(_END)), F.lit(_ESCAPE + "0"), F.lit(_ESCAPE))
+        more = [F.substring_index("value", "\t", 1).alias("id")]
+    return rows.select(*_named(F.col("path")), "path", *more, F.regexp_replace(text, r"^\x{FEFF}", "").alias("text"))
 
 
 def read_binary_corpus(spark: SparkSession, path: str, least_text: float = 0.95) -> DataFrame:

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from listenlake.operators import aggregates, generators, joins, modeltext, predicates, windows  # noqa: F401
+from listenlake.sources import library
 
 
 def test_long_lines_and_blank_runs_of_pages(spark):
@@ -78,3 +79,13 @@ def test_listened_state_is_written_once_a_document():
     assert out["segment_id"].tolist() == ["a", "b"] and out["ranges"].tolist() == [[{"start_s": 0.0, "end_s": 3.0}], [{"start_s": 4.0, "end_s": 5.0}]]
     (out,) = held.handleInputRows((1,), iter([events[1:2]]), None)
     assert out["segment_id"].tolist() == ["b"] and held.ranges.puts == 2 and len(held.ranges.rows) == 2
+
+
+def test_bundled_texts_come_back_whole(spark, tmp_path):
+    texts = ["One\ntwo\r\n\tthree", "", None, "\ufeffmarked", "\x1e\x1b1\x1b\x1b0\x1e", "\t", *("plain" for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    library.write_bundles(docs.coalesce(2), f"{tmp_path}/b")
+    assert len(list((tmp_path / "b").glob("part-*.txt"))) <= 2  # files do not grow with the number of texts
+    got = library.read_text_corpus(spark, f"{tmp_path}/b", bundled=True)
+    want = [None if t is None else t.removeprefix("\ufeff") for t in texts]
+    assert sorted((int(r.id), r.mime, r.text) for r in got.collect()) == [(i, "text/plain", t) for i, t in enumerate(want)]
