@@ -89,3 +89,10 @@ def test_bundled_texts_come_back_whole(spark, tmp_path):
     got = library.read_text_corpus(spark, f"{tmp_path}/b", bundled=True)
     want = [None if t is None else t.removeprefix("\ufeff") for t in texts]
     assert sorted((int(r.id), r.mime, r.text) for r in got.collect()) == [(i, "text/plain", t) for i, t in enumerate(want)]
+
+
+def test_durations_are_those_of_sql_to_the_last_bit(spark):
+    texts = [(w, a, b) for w in (1, 7, 14) for a in range(8) for b in range(8)]
+    rows = spark.createDataFrame([(i, "word " * w + "," * a + "!" * b) for i, (w, a, b) in enumerate(texts)], "seg_idx int, text string")
+    got = {r.seg_idx: r.est_duration for r in generators.estimate_duration(rows).collect()}
+    assert got == {i: max(0.7, w / 2.65 + a * 12 / 100 + b * 24 / 100) for i, (w, a, b) in enumerate(texts)}
