@@ -96,3 +96,29 @@ def test_durations_are_those_of_sql_to_the_last_bit(spark):
     rows = spark.createDataFrame([(i, "word " * w + "," * a + "!" * b) for i, (w, a, b) in enumerate(texts)], "seg_idx int, text string")
     got = {r.seg_idx: r.est_duration for r in generators.estimate_duration(rows).collect()}
     assert got == {i: max(0.7, w / 2.65 + a * 12 / 100 + b * 24 / 100) for i, (w, a, b) in enumerate(texts)}
+
+
+def test_words_are_timed_within_their_row(spark):
+    text = "One two, three. " * 700
+    rows = spark.createDataFrame([(1, 0, 9.0, "A b, c."), (1, 1, 5600.0, text), (1, 2, 1.0, "...")], "document_id int, seg_idx int, est_duration double, text string")
+    out = windows.estimate_word_timing(rows)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.seg_idx, r.word_idx, round(r.start_s, 6), round(r.end_s, 6)) for r in out.collect())
+    assert got[:3] == [(0, 0, 0.0, 1.35), (0, 1, 1.35, 2.7), (0, 2, 4.05, 5.4)] and len(got) == 3 + 2100
+    past, took = [0.0], [w for _ in range(700) for w in ((1.86, 0.0), (1.86, 1.5), (3.1, 4.0))]
+    for speech, pause in took:
+        past.append(past[-1] + speech + pause)
+    scale = 5600.0 / past[-1]
+    assert all(abs(g[2] - p * scale) < 1e-5 and abs(g[3] - (p + t[0]) * scale) < 1e-5 for g, p, t in zip(got[3:], past, took))
+
+
+def test_characters_are_timed_within_their_row(spark):
+    kind = "document_id int, seg_idx int, words array<struct<word_idx int, start int, end int>>, starts array<double>, ends array<double>"
+    rows = spark.createDataFrame([(1, 0, [(0, 0, 3), (1, 4, 6), (2, 6, 6), (3, 7, 8), (4, 6, 40)], [None, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, None, 8.0], [None, 1.5, None, 3.5, 4.5, 5.5, 6.5, None, 8.5])], kind)
+    out = windows.word_timing_in_passages(rows)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    words = rows.selectExpr("document_id", "seg_idx", "inline(words)")
+    chars = rows.selectExpr("document_id", "seg_idx", "posexplode(arrays_zip(starts, ends)) as (char_pos, t)").selectExpr("document_id", "seg_idx", "char_pos", "t.starts as start_s", "t.ends as end_s")
+    chars = chars.where("start_s is not null and end_s is not null")
+    assert sorted(tuple(r) for r in out.where("word_idx <> 0").collect()) == sorted(tuple(r) for r in joins.word_timing_from_chars(words, chars).where("word_idx <> 0").collect())
+    assert [tuple(r)[3:] for r in out.where("word_idx = 0").collect()] == [(1.0, 1.5)]
