@@ -120,62 +120,16 @@ def sessions(touches: DataFrame, gap: str = "30 minutes") -> DataFrame:
 END = "2200-01-01 00:00:00"
 
 
-class _Sessions(StatefulProcessor):
-    """The open sessions of one document, and a timer at the earliest end of them."""
-
-    def __init__(self, gap_us: int):
-        self.gap_us = gap_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "first_us long, last_us long, blocks array<string>, last_block string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spans = [(r[0], r[1], set(r[2]), r[3]) for r in self.open.get()] if self.open.exists() else []
-        for pdf in rows:
-            pdf = pdf[pdf["block_id"].notna()]  # rows without a block only move the watermark
-            spans += [(at, at, {block}, block) for at, block in zip(pdf["at_us"].tolist(), pdf["block_id"])]
-        held: list[tuple[int, int, set[str], str]] = []
-        for first, last, blocks, block in sorted(spans, key=lambda s: s[0]):
-            if held and first <= held[-1][1] + self.gap_us:  # a touch at the very end of a session still belongs to it
-                was = held.pop()
-                last, block = max((was[1], was[3]), (last, block))
-                first, blocks = was[0], was[2] | blocks
-            held.append((first, last, blocks, block))
-        if held:
-            self._hold([(first, last, sorted(blocks), block) for first, last, blocks, block in held])
-        yield from ()
-
-    def _hold(self, sessions: list[tuple]) -> None:
-        if sessions:
-            self.open.put(sessions)
-            self.handle.registerTimer(min(-(-(last + self.gap_us) // 1000) for _, last, *_ in sessions))
-        else:
-            self.open.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [(r[0], r[1], list(r[2]), r[3]) for r in self.open.get()] if self.open.exists() else []
-        done = [r for r in held if r[1] + self.gap_us <= until]  # none if the session went on after this timer was set
-        if held:
-            self._hold([r for r in held if r[1] + self.gap_us > until])
-        if done:
-            yield pd.DataFrame({"document_id": [key[0]] * len(done), "start_us": [r[0] for r in done], "end_us": [r[1] + self.gap_us for r in done], "blocks": [r[2] for r in done], "last_block": [r[3] for r in done]})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_sessions(touches: DataFrame, gap_minutes: int = 30, late: str = "1 hour") -> DataFrame:
     """The rows of ``sessions`` as a stream in append mode: a session comes out, and leaves the state, once the watermark has passed its
     end.  ``touches``: ``document_id, block_id, event_ts``; what comes later than ``late`` is dropped.
 
-    A row without a block at the time ``END`` closes all sessions.  Needs the RocksDB state store.
+    A row without a block only moves the watermark; one at the time ``END`` closes all sessions.  Spark's own session windows: no document
+    is a call to Python.
     """
-    rows = touches.withWatermark("event_ts", late).select("document_id", "block_id", "event_ts", F.unix_micros("event_ts").alias("at_us"))
-    kind = "document_id long, start_us long, end_us long, blocks array<string>, last_block string"
-    found = rows.groupBy("document_id").transformWithStateInPandas(_Sessions(gap_minutes * 60_000_000), kind, "Append", "EventTime")
-    return found.select("document_id", F.timestamp_micros("start_us").alias("session_start"), F.timestamp_micros("end_us").alias("session_end"), "blocks", "last_block")
+    rows = touches.withWatermark("event_ts", late)
+    # the condition names the time, so that it is not moved to before the watermark, which rows without a block are to move
+    return sessions(rows.where(F.when(F.col("block_id").isNotNull(), F.col("event_ts")).isNotNull()), f"{gap_minutes} minutes")
 
 
 def stream_import_dedup(docs: DataFrame, late: str = "7 days") -> DataFrame:

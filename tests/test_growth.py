@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from listenlake.operators import aggregates, generators, joins, modeltext, predicates, windows  # noqa: F401
 from listenlake.sources import library
+from listenlake.streaming import playback
 
 
 def test_long_lines_and_blank_runs_of_pages(spark):
@@ -122,3 +123,10 @@ def test_characters_are_timed_within_their_row(spark):
     chars = chars.where("start_s is not null and end_s is not null")
     assert sorted(tuple(r) for r in out.where("word_idx <> 0").collect()) == sorted(tuple(r) for r in joins.word_timing_from_chars(words, chars).where("word_idx <> 0").collect())
     assert [tuple(r)[3:] for r in out.where("word_idx = 0").collect()] == [(1.0, 1.5)]
+
+
+def test_sessions_need_no_python(spark, tmp_path):
+    kind = "document_id long, block_id string, event_ts timestamp"
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/in")
+    plan = playback.stream_sessions(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "session_window" in plan
