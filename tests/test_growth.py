@@ -130,3 +130,15 @@ def test_sessions_need_no_python(spark, tmp_path):
     spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/in")
     plan = playback.stream_sessions(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" not in plan and "session_window" in plan
+
+
+def test_rules_are_sought_only_where_they_can_match():
+    class Sought:
+        def finditer(self, text):
+            assert "§" in text
+            return iter(())
+
+    rules = [(Sought(), generators.Rule("section", "§", lambda m: "Section", ("§",)))]
+    assert generators.speak("A  plain text.", rules) == {"spoken": "A plain text.", "spans": generators._words("A  plain text.")}
+    assert generators.speak("In § 4", rules)["spoken"] == "In § 4"
+    assert all(rule.needs != ("",) for rules in generators.MODES.values() for rule in rules)
