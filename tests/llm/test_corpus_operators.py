@@ -1,5 +1,6 @@
 """Operators across documents against brute force, the classifiers on held-out texts, and the pipeline stage by stage."""
 
+import pathlib
 import random
 import re
 
@@ -30,6 +31,24 @@ def least(links, nodes):
     return {n: find(n) for n in nodes}
 
 
+def test_rounds_of_components_write_few_files(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 90)], "a long, b long")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    folder = pathlib.Path(graph.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("part-*"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.component for r in graph.components(links).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {n: 0 if n <= 60 else 100 for n in (*range(61), *range(100, 190))}
+    assert 40 <= len(set(folder.rglob("part-*")) - before) < 80
+    assert [graph.gathered(spark.range(10, numPartitions=9), n).rdd.getNumPartitions() for n in (0, 1, graph.ROWS_A_TASK, graph.ROWS_A_TASK + 1, 1 << 40)] == [1, 1, 1, 2, 9]
+
+
 def shingle_set(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
@@ -107,6 +126,12 @@ def test_lines_of_50_to_90_characters_are_linked_after_one_edit(spark):
     assert len(want) >= 0.95 * len(base) and got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_shingle_sets_of_lines(spark):
+    lines = ["", "a", "abcde", "abcdef", "aaaaaaaaaa", "é́ ﬁ 漢字 \U0001f600 zz \U0001f600\U0001f600", "x\r\ty" * 9]
+    got = spark.createDataFrame(list(enumerate(lines)), "i long, line string").select("i", F.size(line_dedup._shingle_set("line")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: len({x[k : k + 5] for k in range(max(1, len(x) - 4))}) for i, x in enumerate(lines)}
+
+
 @pytest.mark.parametrize("rows, block", [(vp_search.SHARD_ROWS, vp_search.BLOCK_QUERIES), (150, 3)])
 def test_vp_search_is_exact(spark, monkeypatch, rows, block):
     monkeypatch.setattr(vp_search, "SHARD_ROWS", rows)
