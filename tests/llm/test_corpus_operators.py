@@ -132,6 +132,16 @@ def test_shingle_sets_of_lines(spark):
     assert {r.i: r.n for r in got} == {i: len({x[k : k + 5] for k in range(max(1, len(x) - 4))}) for i, x in enumerate(lines)}
 
 
+def test_pairs_of_lines_are_counted_without_making_single_sets(spark):
+    lines = ["", "a", "abcde", "abcdef", "aaaaaaaaaa", "xabcdefx" * 5, "xabcdefy" * 5, "é́ ﬁ 漢字 \U0001f600 zz"]
+    sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in lines]
+    texts = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "id long, check int, line string")
+    pairs = [(a, b) for a in range(len(lines)) for b in range(len(lines))]
+    got = line_dedup._compared(spark.createDataFrame(pairs, "a long, b long"), texts)
+    assert {(r.a, r.b): (r.shared, r.total) for r in got.collect()} == {(a, b): (len(sets[a] & sets[b]), len(sets[a]) + len(sets[b])) for a, b in pairs}
+    assert "array_distinct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("rows, block", [(vp_search.SHARD_ROWS, vp_search.BLOCK_QUERIES), (150, 3)])
 def test_vp_search_is_exact(spark, monkeypatch, rows, block):
     monkeypatch.setattr(vp_search, "SHARD_ROWS", rows)
