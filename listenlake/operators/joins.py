@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listenlake.functions import needles as needle_lookups
 from listenlake.functions.text import WORD, finite, squeeze, words_in
+from listenlake.operators.windows import held
 
 _UPTO = (Window.unboundedPreceding, 0)
 
@@ -78,7 +79,10 @@ def anchored_text(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def excerpt(text: Column, head: int = 300, tail: int = 99) -> Column:
     """A text on one line, its middle left out if it is long."""
-    plain = squeeze(text)
+    return _shortened(squeeze(text), head, tail)
+
+
+def _shortened(plain: Column, head: int = 300, tail: int = 99) -> Column:
     return F.when(F.length(plain) <= head + tail + 1, plain).otherwise(F.concat(F.left(plain, F.lit(head)), F.lit("…"), F.right(plain, F.lit(tail))))
 
 
@@ -87,123 +91,74 @@ def annotation_excerpt(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     return anchored_text(annotations, blocks).where("anchored is not null and anchored <> ''").select("document_id", "annotation_id", excerpt(F.col("anchored")).alias("excerpt"))
 
 
-#: Lengths of seeds; a needle of at least ``2 * size - 1`` characters has a whole window of ``size`` seeds.
-SEEDS = (12, 4, 1)
-#: Seeds of a needle of which the rarest is looked up; each of them is in every text that holds the needle.
-LOOKED_UP = 8
-
-
-#: Characters that are hashed at once.
-_AT_ONCE = 1 << 20
-
-
-def window_seeds(texts: list[str], size: int) -> list[np.ndarray]:
-    """For each text the smallest hash of each window of ``size`` stretches side by side, each once, in order.  Those of a needle are
-    among those of every text that holds it."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    windows = len(codes) - 2 * size + 2
-    if windows <= 0:
-        return [np.empty(0, np.int64) for _ in texts]
-    least = np.zeros(windows + size - 1, np.uint64)
-    for i in range(size):
-        least = least * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(least)]
-    least = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    least ^= least >> np.uint64(32)
-    hashed = least
-    least = hashed[:windows]
-    for i in range(1, size):
-        least = np.minimum(least, hashed[i : i + windows])
-    row = np.repeat(np.arange(len(texts)), lengths)
-    at = np.arange(windows)
-    own = at + 2 * size - 1 <= np.cumsum(lengths)[row[:windows]]  # no window lies across two texts
-    value, of = least[own].view(np.int64), row[:windows][own]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
-    value, of = value[new], of[new]
-    order = np.lexsort((value, of))
-    value, of = value[order], of[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
-    value, of = value[new], of[new]
-    return np.split(value ^ np.int64(size), np.searchsorted(of, np.arange(1, len(texts))))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _seeds(text: pd.Series, size: pd.Series) -> pd.Series:
-    found = np.empty(len(text), dtype=object)
-    for n in size.unique():
-        rows = np.flatnonzero(size.to_numpy() == n)
-        parts = np.cumsum([len(text.iat[i]) for i in rows]) // _AT_ONCE
-        for part in np.split(rows, np.flatnonzero(np.diff(parts)) + 1):
-            for i, seeds in zip(part, window_seeds([text.iat[i] for i in part], int(n))):
-                found[i] = seeds
-    return pd.Series(found)
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _holding(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    return pd.Series([needle_lookups.holding(*x) for x in zip(texts, needles)])
+
+
+def _by_document(rows: DataFrame, name: str, *columns: str | Column) -> DataFrame:
+    """One row a document, with its rows as structs of ``columns`` in an array ``name``, sorted."""
+    return rows.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
 
 def holders(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """``document_id, needle_id, text_id``: the texts of a document that hold a needle, which is not empty.
 
-    ``needles``: ``document_id, needle_id, needle``; ``texts``: ``document_id, text_id, text``.  A text is known by the smallest hash of
-    each of its windows, about two in ``size`` characters.  The windows of a needle are windows of every text that holds it, so of a few of
-    its hashes the one that the fewest texts of the document have is looked up, and what is found is compared in full.  Neither texts nor
-    needles travel with the hashes.  Only documents with needles are indexed, for the sizes that they need.
+    ``needles``: ``document_id, needle_id, needle``; ``texts``: ``document_id, text_id, text``.  Each table travels once, to its document;
+    what is looked up there, by hashes of windows if it is much, stays inside the task.
     """
-    size = F.coalesce(*(F.when(F.length("needle") >= 2 * n - 1, n) for n in SEEDS))
-    keyed = needles.select("document_id", "needle_id", "needle").where("needle <> ''").withColumn("key", _digest(F.col("needle")))
-    asked = keyed.groupBy("document_id", "key").agg(F.first("needle").alias("needle")).withColumn("size", size)
-    sized = texts.select("document_id", "text_id", "text").where("text is not null").join(asked.select("document_id", "size").distinct(), "document_id")
-    index = sized.select("document_id", F.explode(_seeds(F.col("text"), F.col("size"))).alias("seed"), "text_id")
-    common = index.groupBy("document_id", "seed").agg(F.count("*").alias("n"))
-    own = asked.select("document_id", "key", F.explode(F.slice(_seeds(F.col("needle"), F.col("size")), 1, LOOKED_UP)).alias("seed"))
-    # a seed that no text has rules its needle out
-    rare = own.join(common, ["document_id", "seed"], "left").groupBy("document_id", "key").agg(F.min_by("seed", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "seed")).alias("seed"))
-    met = rare.join(index, ["document_id", "seed"]).select("document_id", "key", "text_id")
-    met = met.join(asked.select("document_id", "key", "needle"), ["document_id", "key"])
-    found = met.join(texts.select("document_id", "text_id", "text"), ["document_id", "text_id"]).where(F.contains("text", F.col("needle")))
-    return found.select("document_id", "key", "text_id").join(keyed.select("document_id", "key", "needle_id"), ["document_id", "key"]).select("document_id", "needle_id", "text_id").distinct()
-
-
-def _found_at(text: Column, pattern: Column) -> Column:
-    """How many characters, in code points, stand before a pattern's first match."""
-    return F.length(F.call_function("regexp_extract", text, F.concat(F.lit("(?s)^(.*?)(?:"), pattern, F.lit(")")), F.lit(1)))
+    asked = _by_document(needles.where("needle <> ''"), "asked", "needle", "needle_id")
+    met = _by_document(texts.where("text is not null"), "held", "text_id", "text").join(asked, "document_id")
+    found = met.select("document_id", "held.text_id", F.explode(F.arrays_zip("asked", _holding(F.col("held.text"), F.col("asked.needle")).alias("at"))).alias("x"))
+    return found.select("document_id", F.col("x.asked.needle_id").alias("needle_id"), F.explode(F.transform("x.at", lambda i: F.get("text_id", i))).alias("text_id")).distinct()
+
+
+_ANCHORS = ("start_pos", "start_offset", "end_pos", "end_offset")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _anchored(positions: pd.Series, texts: pd.Series, start_pos: pd.Series, start_offset: pd.Series, end_pos: pd.Series, end_offset: pd.Series) -> pd.Series:
+    return pd.Series([[needle_lookups.anchored(blocks, *note) for note in zip(*notes)] for blocks, *notes in zip((dict(zip(*x)) for x in zip(positions, texts)), start_pos, start_offset, end_pos, end_offset)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("status", T.ArrayType(T.StringType())), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in _ANCHORS)]))
+def _rescued(positions: pd.Series, texts: pd.Series, start_pos: pd.Series, start_offset: pd.Series, end_pos: pd.Series, end_offset: pd.Series, excerpts: pd.Series, probe: pd.Series) -> pd.DataFrame:
+    found = [needle_lookups.rescued(p, t, list(zip(*notes)), n) for p, t, *notes, n in zip(positions, texts, start_pos, start_offset, end_pos, end_offset, excerpts, probe)]
+    return pd.DataFrame({c: [[x[i] for x in rows] for rows in found] for i, c in enumerate(("status", *_ANCHORS))})
+
+
+def excerpts_in_documents(rows: DataFrame) -> DataFrame:
+    """``rows`` with the notes that fit only, and their ``excerpt``.  ``rows``, one a document, holds ``notes``, an array of structs with
+    ``annotation_id`` and anchors, and ``blocks``, one of ``pos, text``."""
+    rows = held(rows, noted=F.col("notes"), texts=F.col("blocks"))
+    anchored = _anchored("texts.pos", "texts.text", *(F.col(f"noted.{c}") for c in _ANCHORS))
+    fitting = F.filter(F.arrays_zip(F.col("noted").alias("note"), anchored.alias("plain")), lambda x: x["plain"] != "")
+    rows = held(rows, fitting=F.transform(fitting, lambda x: F.struct(*(x["note"][c].alias(c) for c in ("annotation_id", *_ANCHORS)), squeeze(x["plain"]).alias("plain"))))
+    note = lambda x: F.struct(*(x[c].alias(c) for c in ("annotation_id", *_ANCHORS)), _shortened(x["plain"]).alias("excerpt"))
+    return rows.withColumn("notes", F.transform("fitting", note)).drop("noted", "texts", "fitting")
+
+
+def rescue_in_documents(rows: DataFrame, probe: int = 60) -> DataFrame:
+    """What ``rescue_annotations`` finds where a row holds a document: ``document_id``, ``notes``, an array of structs with
+    ``annotation_id``, anchors and ``excerpt``, and ``blocks``, one of ``pos, text``.  Nothing is shuffled."""
+    rows = held(rows.select("document_id", "notes", "blocks"), noted=F.col("notes"), texts=F.col("blocks"))
+    found = _rescued("texts.pos", "texts.text", *(F.col(f"noted.{c}") for c in (*_ANCHORS, "excerpt")), F.lit(probe))
+    met = rows.select("document_id", "noted", found.alias("found"))
+    each = met.select("document_id", F.explode(F.arrays_zip(F.col("noted").alias("note"), *(F.col(f"found.{c}") for c in ("status", *_ANCHORS)))).alias("x"))
+    moved = F.col("x.status") == "moved"
+    return each.select("document_id", "x.note.annotation_id", "x.status", *(F.when(moved, F.col(f"x.{c}")).otherwise(F.col(f"x.note.{c}")).alias(c) for c in _ANCHORS))
 
 
 def rescue_annotations(annotations: DataFrame, blocks: DataFrame, probe: int = 60) -> DataFrame:
     """``document_id, annotation_id, status`` and anchors after the text changed.
 
     ``kept``: both ends of the stored excerpt still read the same.  ``moved``: the excerpt's head is found in the first block that
-    holds it, and its tail from there on, blanks aside.  ``orphaned``: neither.
+    holds it, and its tail from there on, blanks aside.  ``orphaned``: neither.  Annotations and blocks travel once, to their document.
     """
-    keys = ["document_id", "annotation_id"]
-    rows = annotations.withColumns({"head": F.left("excerpt", F.lit(probe)), "tail": F.when(F.length("excerpt") > probe, F.right("excerpt", F.lit(probe)))})
-    now = anchored_text(annotations, blocks).withColumn("plain", squeeze(F.col("anchored"))).select(*keys, "plain")
-    rows = rows.join(now, keys)
-    same = F.coalesce((F.col("excerpt") != "") & F.startswith("plain", "head") & F.endswith("plain", F.right("excerpt", F.lit(probe))), F.lit(False))
-    rows = rows.withColumn("same", same)
-    # probes as patterns that take any run of blanks for another
-    quoted = lambda c: F.regexp_replace(F.regexp_replace(squeeze(F.col(c)), r"([.*+?^${}()|\[\]\\])", r"\\$1"), " ", r"\\s+")
-    lost = rows.where("not same and coalesce(excerpt, '') <> ''").withColumns({"hp": quoted("head"), "tp": quoted("tail")})
-    # blocks that may hold a probe come from an index, blanks folded; where exactly it stands its pattern tells
-    folded = blocks.select("document_id", F.col("pos").alias("text_id"), F.regexp_replace("text", r"(?U)\s+", " ").alias("text"))
-    needles = lost.select("document_id", F.explode(F.array(F.struct(F.col("annotation_id"), F.lit("h").alias("end"), squeeze(F.col("head")).alias("needle")), F.struct(F.col("annotation_id"), F.lit("t").alias("end"), squeeze(F.col("tail")).alias("needle")))).alias("x"))
-    near = holders(needles.select("document_id", F.struct("x.annotation_id", "x.end").alias("needle_id"), "x.needle").where("needle is not null"), folded)
-    near = near.select("document_id", "needle_id.annotation_id", "needle_id.end", F.col("text_id").alias("pos")).join(blocks.select("document_id", "pos", "text"), ["document_id", "pos"])
-    met = lost.select(*keys, "hp", "tp").join(near.where("end = 'h'"), keys).where(F.regexp_instr("text", F.col("hp")) > 0)
-    place = F.struct("pos", (_found_at(F.col("text"), F.col("hp")) + 1).alias("at"), F.length(F.regexp_substr("text", F.col("hp"))).alias("n"))
-    heads = met.groupBy(*keys, "hp", "tp").agg(F.min(place).alias("h"))
-    rest = F.when(F.col("pos") == F.col("h.pos"), F.substring("text", F.col("h.at"), F.length("text"))).otherwise(F.col("text"))
-    behind = heads.where("tp is not null").join(near.where("end = 't'"), keys).where((F.col("pos") >= F.col("h.pos")) & (F.regexp_instr(rest, F.col("tp")) > 0))
-    behind = behind.withColumns({"rest": rest, "shift": F.when(F.col("pos") == F.col("h.pos"), F.col("h.at") - 1).otherwise(0)})
-    stop = F.col("shift") + _found_at(F.col("rest"), F.col("tp")) + F.length(F.regexp_substr("rest", F.col("tp")))
-    tails = behind.groupBy(*keys).agg(F.min(F.struct("pos", stop.alias("end"))).alias("t"))
-    heads = heads.select(*keys, "h")
-    out = rows.join(heads, keys, "left").join(tails, keys, "left")
-    moved = F.col("h").isNotNull() & (F.col("tail").isNull() | F.col("t").isNotNull())
-    end_pos = F.when(F.col("tail").isNull(), F.col("h.pos")).otherwise(F.col("t.pos"))
-    end = F.when(F.col("tail").isNull(), F.col("h.at") - 1 + F.col("h.n")).otherwise(F.col("t.end"))
-    pick = lambda old, new: F.when(F.col("same") | ~moved, F.col(old)).otherwise(new)
-    return out.select(*keys, F.when(F.col("same"), "kept").when(moved, "moved").otherwise("orphaned").alias("status"), pick("start_pos", F.col("h.pos")).alias("start_pos"), pick("start_offset", F.col("h.at") - 1).alias("start_offset"), pick("end_pos", end_pos).alias("end_pos"), pick("end_offset", end).alias("end_offset"))
+    notes = _by_document(annotations, "notes", "annotation_id", *_ANCHORS, "excerpt")
+    texts = _by_document(blocks, "blocks", "pos", "text")
+    without = notes.join(texts, "document_id", "left_anti").withColumn("blocks", F.array().cast(texts.schema["blocks"].dataType))
+    return rescue_in_documents(notes.join(texts, "document_id").unionByName(without), probe)
 
 
 def section_of_block(blocks: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -304,28 +259,29 @@ def remap_position(positions: DataFrame, segs: DataFrame) -> DataFrame:
     return best.select("document_id", "position_id", "seg.segment_id", "seg.word_idx", (finite(F.col("seg.est_duration")) * F.col("seg.word_idx") / F.greatest(F.lit(1), F.col("seg.words"))).alias("offset_s"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _moved(*columns: pd.Series) -> pd.Series:
+    return pd.Series([needle_lookups.moved_passages(*x) for x in zip(*columns)])
+
+
+def migrate_in_documents(rows: DataFrame) -> DataFrame:
+    """What ``migrate_segment`` finds where a row holds a document: ``document_id`` and arrays of structs, ``pointers`` of ``pointer_id,
+    segment_id, excerpt``, ``old`` of ``segment_id, text`` and ``new`` of ``segment_id, text`` in order.  Nothing is shuffled."""
+    rows = held(rows.select("document_id", "pointers", "old", "new"), asked=F.col("pointers"), was=F.col("old"), now=F.col("new"))
+    needles = F.transform("asked", lambda p: F.lower(squeeze(F.coalesce(p["excerpt"], F.lit("")))))
+    found = _moved(F.col("asked.segment_id"), needles, *(F.col(c) for c in ("was.segment_id", "was.text", "now.segment_id", "now.text")), F.transform("now", lambda n: F.lower(n["text"])))
+    met = rows.select("document_id", F.explode(F.arrays_zip(F.col("asked.pointer_id").alias("pointer_id"), found.alias("segment_id"))).alias("x"))
+    return met.select("document_id", "x.pointer_id", "x.segment_id")
+
+
 def migrate_segment(pointers: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """``document_id, pointer_id, segment_id``: the new passage for an old one: of the same id and text, of the same text, or
-    the first that holds the pointer's excerpt.  ``pointers``: ``document_id, pointer_id, segment_id, excerpt``."""
-    wanted = F.lower(squeeze(F.coalesce("excerpt", F.lit(""))))
-    asked = pointers.select("document_id", "pointer_id", "segment_id", wanted.alias("needle")).withColumn("needle_id", F.when(F.col("needle") != "", _digest(F.col("needle"))))
-    # only digests of texts travel through the lookups
-    was = asked.drop("needle").join(old.select("document_id", "segment_id", _digest(F.col("text")).alias("old_text")), ["document_id", "segment_id"], "left")
-    same_id = new.select("document_id", "segment_id", _digest(F.col("text")).alias("id_text"))
-    was = was.join(same_id, ["document_id", "segment_id"], "left")
-    by_text = new.groupBy("document_id", _digest(F.col("text")).alias("old_text")).agg(F.min_by("segment_id", "seg_idx").alias("text_segment"))
-    was = was.join(by_text, ["document_id", "old_text"], "left")
-    direct = F.when(F.col("id_text").isNotNull() & (F.col("old_text").isNull() | (F.col("id_text") == F.col("old_text"))), F.col("segment_id"))
-    was = was.withColumn("found", F.coalesce(direct, "text_segment"))
-    open_ = was.where("found is null and needle_id is not null").select("document_id", "needle_id").distinct()
-    needles = asked.where("needle_id is not null").join(open_, ["document_id", "needle_id"], "left_semi").select("document_id", "needle_id", "needle")
-    # of equal texts the first stands for all
-    texts = new.select("document_id", F.lower("text").alias("text"), F.col("seg_idx").alias("text_id"))
-    texts = texts.groupBy("document_id", _digest(F.col("text")).alias("key")).agg(F.min("text_id").alias("text_id"), F.first("text").alias("text"))
-    hits = holders(needles.dropDuplicates(["document_id", "needle_id"]), texts.where("key is not null"))
-    hits = hits.groupBy("document_id", "needle_id").agg(F.min("text_id").alias("seg_idx"))
-    hits = hits.join(new.groupBy("document_id", "seg_idx").agg(F.min("segment_id").alias("hit")), ["document_id", "seg_idx"]).drop("seg_idx")
-    return was.join(hits, ["document_id", "needle_id"], "left").select("document_id", "pointer_id", F.coalesce("found", "hit").alias("segment_id"))
+    the first that holds the pointer's excerpt.  ``pointers``: ``document_id, pointer_id, segment_id, excerpt``.  Each table travels once,
+    to its document."""
+    asked = _by_document(pointers, "pointers", "pointer_id", "segment_id", "excerpt")
+    met = asked.join(_by_document(old, "old", "segment_id", "text"), "document_id", "left").join(_by_document(new, "new", "seg_idx", "segment_id", "text"), "document_id", "left")
+    none = F.array().cast("array<struct<segment_id:string,text:string>>")
+    return migrate_in_documents(met.withColumns({c: F.coalesce(F.transform(c, lambda x: F.struct(x["segment_id"].alias("segment_id"), x["text"].alias("text"))), none) for c in ("old", "new")}))
 
 
 def cached_passages(segs: DataFrame, variants: DataFrame, **setting: object) -> DataFrame:

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from listenlake.functions import needles
 from listenlake.operators import aggregates, generators, joins, modeltext, predicates, windows  # noqa: F401
 from listenlake.sources import library
 from listenlake.streaming import playback
@@ -142,3 +143,38 @@ def test_rules_are_sought_only_where_they_can_match():
     assert generators.speak("A  plain text.", rules) == {"spoken": "A plain text.", "spans": generators._words("A  plain text.")}
     assert generators.speak("In § 4", rules)["spoken"] == "In § 4"
     assert all(rule.needs != ("",) for rules in generators.MODES.values() for rule in rules)
+
+
+def test_passages_move_within_their_row(spark):
+    kind = "document_id int, pointers array<struct<pointer_id int, segment_id string, excerpt string>>, old array<struct<segment_id string, text string>>, new array<struct<segment_id string, text string>>"
+    pointers = [(0, "a", "One."), (1, "b", "Two."), (2, "c", "Three  and"), (3, "d", None), (4, "e", "gone"), (5, "f", "TWO")]
+    old, new = [("a", "One."), ("b", "Two."), ("c", "Three and"), ("d", None)], [("a", "One."), ("c", "Two."), ("x", "Now three and four."), ("d", "new"), ("y", "Two.")]
+    out = joins.migrate_in_documents(spark.createDataFrame([(1, pointers, old, new), (2, pointers[:1], [], [])], kind))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [(1, 0, "a"), (1, 1, "c"), (1, 2, "x"), (1, 3, "d"), (1, 4, None), (1, 5, "c"), (2, 0, None)]
+    assert sorted(tuple(r) for r in out.collect()) == want
+    # the same from tables, where a document without new passages has rows too
+    tables = [
+        spark.createDataFrame([(d, *p) for d, of in ((1, pointers), (2, pointers[:1])) for p in of], "document_id int, pointer_id int, segment_id string, excerpt string"),
+        spark.createDataFrame([(1, *o) for o in old], "document_id int, segment_id string, text string"),
+        spark.createDataFrame([(1, i, *n) for i, n in enumerate(new)], "document_id int, seg_idx int, segment_id string, text string"),
+    ]
+    assert sorted(tuple(r) for r in joins.migrate_segment(*tables).collect()) == want
+
+
+def test_much_that_is_sought_is_indexed(monkeypatch):
+    texts = [f"Passage {i} of many, {'é\U0001f600' * (i % 3)} and {i * i} more." for i in range(300)] + ["", "x" * 5000]
+    sought = [t[i % 7 : 9 + i % 40] for i, t in enumerate(texts[:300])] + ["x" * 4000, "more.", "e", "", "no such", "ssage 1 of"]
+    plain = needles.holding(texts, sought)
+    monkeypatch.setattr(needles, "READ_THROUGH", 0)
+    monkeypatch.setattr(needles, "AT_ONCE", 1000)
+    assert needles.holding(texts, sought) == plain == [[i for i, t in enumerate(texts) if n and n in t] for n in sought]
+    assert len(plain[301]) == 300 and plain[303:305] == [[], []]
+
+
+def test_queries_of_moved_texts_shuffle_nothing(spark):
+    from listenlake.plans import queries_structure  # noqa: F401
+    from listenlake.plans.registry import QUERIES
+
+    for name in ("migrate_segment",):
+        assert "Exchange" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
