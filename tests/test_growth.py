@@ -190,3 +190,13 @@ def test_notes_are_rescued_within_their_row(spark):
     out = joins.rescue_in_documents(later)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a", "moved", 1, 3, 1, 8), (1, "b", "orphaned", 0, 4, 1, 3), (1, "e", "kept", 2, 0, 2, 6)]
+
+
+def test_texts_travel_once_to_their_frames(spark):
+    blocks = spark.createDataFrame([(1, 0, "One two."), (1, 2, "w" * 5000 + " end"), (1, 3, " "), (1, 5, "Last line here."), (2, 0, "")], "document_id int, pos int, text string")
+    picked = spark.createDataFrame([(1, "s", 1, 1), (1, "t", 2, 4), (1, "u", 9, 9), (1, "v", -1, 9), (2, "w", 0, 1)], "document_id int, selection_id string, start_pos int, end_pos int")
+    out = windows.explain_context(blocks, picked, before=12, after=9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {r.selection_id: (r.before, r.after) for r in out.collect()}
+    assert got == {"s": ("One two.", "w" * 9), "t": ("end", "Last"), "u": ("line here.", ""), "v": ("", "")}
