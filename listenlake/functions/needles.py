@@ -82,7 +82,8 @@ def holding(texts: Sequence[str], needles: Sequence[str]) -> list[list[int]]:
 
 
 def moved_passages(pointers: Sequence, needles: Sequence, old_ids: Sequence, old_texts: Sequence, new_ids: Sequence, new_texts: Sequence, lowered: Sequence) -> list:
-    """For each pointer the new passage of the same id and text, else the first of the same text, else the first that holds the needle."""
+    """For each pointer the new passage of the same id and text, else the first of the same text, else the first that holds
+    the needle, runs of blanks aside."""
     was, now, first = dict(zip(old_ids, old_texts)), dict(zip(new_ids, new_texts)), {}
     for name, text in zip(new_ids, new_texts):
         first.setdefault(text, name)
@@ -91,12 +92,13 @@ def moved_passages(pointers: Sequence, needles: Sequence, old_ids: Sequence, old
     for name in pointers:
         old, new = was.get(name), now.get(name)
         found.append(name if new is not None and (old is None or old == new) else first.get(old))
-    sought = sorted({needle for needle, hit in zip(needles, found) if hit is None and needle})
+    open_ = {needle: squeezed(needle) for needle, hit in zip(needles, found) if hit is None and needle}
+    sought = sorted({needle for needle in open_.values() if needle})
     if sought:
-        at = {text: i for i, text in reversed(list(enumerate(lowered))) if text is not None}  # of equal texts the first stands for all
+        at = {squeezed(text): i for i, text in reversed(list(enumerate(lowered))) if text is not None}  # of equal texts the first stands for all
         texts = list(at)
         hits = {needle: new_ids[min(at[texts[t]] for t in held)] for needle, held in zip(sought, holding(texts, sought)) if held}
-        found = [hits.get(needle) if hit is None else hit for needle, hit in zip(needles, found)]
+        found = [hits.get(open_.get(needle)) if hit is None else hit for needle, hit in zip(needles, found)]
     return found
 
 

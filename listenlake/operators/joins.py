@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,9 +91,14 @@ def annotation_excerpt(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     return anchored_text(annotations, blocks).where("anchored is not null and anchored <> ''").select("document_id", "annotation_id", excerpt(F.col("anchored")).alias("excerpt"))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def _holding(texts: pd.Series, needles: pd.Series) -> pd.Series:
-    return pd.Series([needle_lookups.holding(*x) for x in zip(texts, needles)])
+def _rows(*columns: pa.Array):
+    """The values of each row, a null array as an empty one; one row after the other, so that a batch is never held as Python objects."""
+    return (tuple([] if (value := x.as_py()) is None else value for x in row) for row in zip(*columns))
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _holding(texts: pa.Array, needles: pa.Array) -> pa.Array:
+    return pa.array((needle_lookups.holding(*row) for row in _rows(texts, needles)), pa.list_(pa.list_(pa.int32())))
 
 
 def _by_document(rows: DataFrame, name: str, *columns: str | Column) -> DataFrame:
@@ -116,15 +121,23 @@ def holders(needles: DataFrame, texts: DataFrame) -> DataFrame:
 _ANCHORS = ("start_pos", "start_offset", "end_pos", "end_offset")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _anchored(positions: pd.Series, texts: pd.Series, start_pos: pd.Series, start_offset: pd.Series, end_pos: pd.Series, end_offset: pd.Series) -> pd.Series:
-    return pd.Series([[needle_lookups.anchored(blocks, *note) for note in zip(*notes)] for blocks, *notes in zip((dict(zip(*x)) for x in zip(positions, texts)), start_pos, start_offset, end_pos, end_offset)])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _anchored(positions: pa.Array, texts: pa.Array, start_pos: pa.Array, start_offset: pa.Array, end_pos: pa.Array, end_offset: pa.Array) -> pa.Array:
+    def of(positions, texts, *notes):
+        blocks = dict(zip(positions, texts))
+        return [needle_lookups.anchored(blocks, *note) for note in zip(*notes)]
+
+    return pa.array((of(*row) for row in _rows(positions, texts, start_pos, start_offset, end_pos, end_offset)), pa.list_(pa.string()))
+
+
+_PLACES = T.ArrayType(T.StructType([T.StructField("status", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in _ANCHORS)]))
 
 
-@F.pandas_udf(T.StructType([T.StructField("status", T.ArrayType(T.StringType())), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in _ANCHORS)]))
-def _rescued(positions: pd.Series, texts: pd.Series, start_pos: pd.Series, start_offset: pd.Series, end_pos: pd.Series, end_offset: pd.Series, excerpts: pd.Series, probe: pd.Series) -> pd.DataFrame:
-    found = [needle_lookups.rescued(p, t, list(zip(*notes)), n) for p, t, *notes, n in zip(positions, texts, start_pos, start_offset, end_pos, end_offset, excerpts, probe)]
-    return pd.DataFrame({c: [[x[i] for x in rows] for rows in found] for i, c in enumerate(("status", *_ANCHORS))})
+@F.arrow_udf(_PLACES)
+def _rescued(positions: pa.Array, texts: pa.Array, start_pos: pa.Array, start_offset: pa.Array, end_pos: pa.Array, end_offset: pa.Array, excerpts: pa.Array, probe: pa.Array) -> pa.Array:
+    found = (needle_lookups.rescued(p, t, list(zip(*notes)), n) for p, t, *notes, n in _rows(positions, texts, start_pos, start_offset, end_pos, end_offset, excerpts, probe))
+    kind = pa.struct([("status", pa.string()), *((c, pa.int32()) for c in _ANCHORS)])
+    return pa.array(([dict(zip(("status", *_ANCHORS), place)) for place in rows] for rows in found), pa.list_(kind))
 
 
 def excerpts_in_documents(rows: DataFrame) -> DataFrame:
@@ -143,10 +156,9 @@ def rescue_in_documents(rows: DataFrame, probe: int = 60) -> DataFrame:
     ``annotation_id``, anchors and ``excerpt``, and ``blocks``, one of ``pos, text``.  Nothing is shuffled."""
     rows = held(rows.select("document_id", "notes", "blocks"), noted=F.col("notes"), texts=F.col("blocks"))
     found = _rescued("texts.pos", "texts.text", *(F.col(f"noted.{c}") for c in (*_ANCHORS, "excerpt")), F.lit(probe))
-    met = rows.select("document_id", "noted", found.alias("found"))
-    each = met.select("document_id", F.explode(F.arrays_zip(F.col("noted").alias("note"), *(F.col(f"found.{c}") for c in ("status", *_ANCHORS)))).alias("x"))
-    moved = F.col("x.status") == "moved"
-    return each.select("document_id", "x.note.annotation_id", "x.status", *(F.when(moved, F.col(f"x.{c}")).otherwise(F.col(f"x.note.{c}")).alias(c) for c in _ANCHORS))
+    each = rows.select("document_id", F.explode(F.arrays_zip(F.col("noted").alias("note"), found.alias("place"))).alias("x"))
+    moved = F.col("x.place.status") == "moved"
+    return each.select("document_id", "x.note.annotation_id", "x.place.status", *(F.when(moved, F.col(f"x.place.{c}")).otherwise(F.col(f"x.note.{c}")).alias(c) for c in _ANCHORS))
 
 
 def rescue_annotations(annotations: DataFrame, blocks: DataFrame, probe: int = 60) -> DataFrame:
@@ -259,16 +271,16 @@ def remap_position(positions: DataFrame, segs: DataFrame) -> DataFrame:
     return best.select("document_id", "position_id", "seg.segment_id", "seg.word_idx", (finite(F.col("seg.est_duration")) * F.col("seg.word_idx") / F.greatest(F.lit(1), F.col("seg.words"))).alias("offset_s"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _moved(*columns: pd.Series) -> pd.Series:
-    return pd.Series([needle_lookups.moved_passages(*x) for x in zip(*columns)])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _moved(pointers: pa.Array, needles: pa.Array, old_ids: pa.Array, old_texts: pa.Array, new_ids: pa.Array, new_texts: pa.Array, lowered: pa.Array) -> pa.Array:
+    return pa.array((needle_lookups.moved_passages(*row) for row in _rows(pointers, needles, old_ids, old_texts, new_ids, new_texts, lowered)), pa.list_(pa.string()))
 
 
 def migrate_in_documents(rows: DataFrame) -> DataFrame:
     """What ``migrate_segment`` finds where a row holds a document: ``document_id`` and arrays of structs, ``pointers`` of ``pointer_id,
     segment_id, excerpt``, ``old`` of ``segment_id, text`` and ``new`` of ``segment_id, text`` in order.  Nothing is shuffled."""
     rows = held(rows.select("document_id", "pointers", "old", "new"), asked=F.col("pointers"), was=F.col("old"), now=F.col("new"))
-    needles = F.transform("asked", lambda p: F.lower(squeeze(F.coalesce(p["excerpt"], F.lit("")))))
+    needles = F.transform("asked", lambda p: F.lower(F.coalesce(p["excerpt"], F.lit(""))))
     found = _moved(F.col("asked.segment_id"), needles, *(F.col(c) for c in ("was.segment_id", "was.text", "now.segment_id", "now.text")), F.transform("now", lambda n: F.lower(n["text"])))
     met = rows.select("document_id", F.explode(F.arrays_zip(F.col("asked.pointer_id").alias("pointer_id"), found.alias("segment_id"))).alias("x"))
     return met.select("document_id", "x.pointer_id", "x.segment_id")

@@ -148,11 +148,11 @@ def test_rules_are_sought_only_where_they_can_match():
 def test_passages_move_within_their_row(spark):
     kind = "document_id int, pointers array<struct<pointer_id int, segment_id string, excerpt string>>, old array<struct<segment_id string, text string>>, new array<struct<segment_id string, text string>>"
     pointers = [(0, "a", "One."), (1, "b", "Two."), (2, "c", "Three  and"), (3, "d", None), (4, "e", "gone"), (5, "f", "TWO")]
-    old, new = [("a", "One."), ("b", "Two."), ("c", "Three and"), ("d", None)], [("a", "One."), ("c", "Two."), ("x", "Now three and four."), ("d", "new"), ("y", "Two.")]
-    out = joins.migrate_in_documents(spark.createDataFrame([(1, pointers, old, new), (2, pointers[:1], [], [])], kind))
+    old, new = [("a", "One."), ("b", "Two."), ("c", "Three and"), ("d", None)], [("a", "One."), ("c", "Two."), ("x", "Now three\t and four."), ("d", "new"), ("y", "Two.")]
+    out = joins.migrate_in_documents(spark.createDataFrame([(1, pointers, old, new), (2, pointers[:1], [], []), (3, None, None, None), (4, pointers[:1], None, None)], kind))
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     want = [(1, 0, "a"), (1, 1, "c"), (1, 2, "x"), (1, 3, "d"), (1, 4, None), (1, 5, "c"), (2, 0, None)]
-    assert sorted(tuple(r) for r in out.collect()) == want
+    assert sorted(tuple(r) for r in out.collect()) == [*want, (4, 0, None)]
     # the same from tables, where a document without new passages has rows too
     tables = [
         spark.createDataFrame([(d, *p) for d, of in ((1, pointers), (2, pointers[:1])) for p in of], "document_id int, pointer_id int, segment_id string, excerpt string"),
@@ -183,7 +183,7 @@ def test_queries_of_moved_texts_shuffle_nothing(spark):
 def test_notes_are_rescued_within_their_row(spark):
     anchors = "annotation_id string, start_pos int, start_offset int, end_pos int, end_offset int"
     notes = [("a", 0, 0, 0, 5), ("b", 0, 4, 1, 3), ("c", 1, 0, 1, 99), ("d", 1, 2, 1, 2), ("e", 2, 0, 2, 6), ("f", 2, None, 2, 6), ("g", 1, 0, 9, 1)]
-    rows = spark.createDataFrame([(1, notes, [(0, "Alpha beta"), (1, "Gamma"), (2, "Delta\u00a0 x")]), (2, [], [])], f"document_id int, notes array<struct<{anchors.replace(' ', ': ').replace(',: ', ', ')}>>, blocks array<struct<pos: int, text: string>>")
+    rows = spark.createDataFrame([(1, notes, [(0, "Alpha beta"), (1, "Gamma"), (2, "Delta\u00a0 x")]), (2, [], []), (3, None, None)], f"document_id int, notes array<struct<{anchors.replace(' ', ': ').replace(',: ', ', ')}>>, blocks array<struct<pos: int, text: string>>")
     stored = joins.excerpts_in_documents(rows)
     assert [(n.annotation_id, n.excerpt) for n in stored.where("document_id = 1").first().notes] == [("a", "Alpha"), ("b", "a beta Gam"), ("e", "Delta")]
     later = stored.withColumn("blocks", F.expr("transform(filter(blocks, b -> b.pos <> 0), b -> named_struct('pos', b.pos, 'text', if(b.pos = 1, 'An Alpha', b.text)))"))
